@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["usage"]
+MODULES = ["usage", "trace"]
 
 _QUERIES: dict[str, Callable] = {}
 _ORACLES: dict[str, str] = {}

@@ -101,8 +101,9 @@ def record_columns(d: str) -> dict[str, str]:
 
 def event_base(d: str) -> dict[str, str]:
     k = "cast(regexp_extract(props, '([0-9]+)', 1) AS int)"
+    unit = "MILLISECOND" if d == "spark" else "milliseconds"
     return {
-        "line_no": "event_id", "ts": "cast(ts AS timestamp)", "uid": "user_id", "et": "event_type", "value": "value",
+        "line_no": "event_id", "ts": f"cast(date_trunc('{unit}', ts) AS timestamp)", "uid": "user_id", "et": "event_type", "value": "value",
         "k": k, "m": f"{k} % 10", "session_id": sid("user_id", d),
         "well": f"concat('-u-code-w', {s('user_id % 12')})",
     }
@@ -308,7 +309,7 @@ def pair_messages(spark: SparkSession, sf: str) -> DataFrame:
 
 def limits(spark: SparkSession, sf: str) -> DataFrame:
     ev = _load(spark, sf, "events")
-    base = ev.selectExpr("event_id AS seq", "cast(ts AS timestamp) AS ts", f"{sid('user_id', 'spark')} AS session_id",
+    base = ev.selectExpr("event_id AS seq", "cast(date_trunc('MILLISECOND', ts) AS timestamp) AS ts", f"{sid('user_id', 'spark')} AS session_id",
                          *[f"{e} AS {n}" for n, e in limit_columns().items()])
     week = F.date_trunc("week", "ts") + F.expr("interval 7 days")
     five = F.timestamp_seconds((F.floor(F.unix_seconds("ts") / 18000) + 1) * 18000)
@@ -395,7 +396,7 @@ def oracle_ctes() -> dict[str, str]:
         "ledger_t": _select(ledger_columns("duckdb"), "part",
                             "TIMESTAMP '2024-01-01' + to_seconds(p_partkey * 60) AS ts, "),
         "limits_t": f"""SELECT *, CASE WHEN kind = 'five_hour' THEN {five} WHEN kind <> 'spend_limit' THEN {week} END AS resets_at
-            FROM (SELECT event_id AS seq, ts, {sid('user_id', 'duckdb')} AS session_id, {', '.join(f'{e} AS {n}' for n, e in limit_columns().items())} FROM events)""",
+            FROM (SELECT event_id AS seq, date_trunc('milliseconds', ts) AS ts, {sid('user_id', 'duckdb')} AS session_id, {', '.join(f'{e} AS {n}' for n, e in limit_columns().items())} FROM events)""",
     }
 
 

@@ -6,12 +6,12 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 _ASTRAL = "[\\x{10000}-\\x{10FFFF}]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
 
@@ -26,7 +26,9 @@ def slug(path: Column) -> Column:
     return dashed(nfc(path))
 
 
-WORKFLOW_META = "struct<name:string,description:string,phases:array<struct<title:string,detail:string>>>"
+_PHASE = T.StructType([T.StructField("title", T.StringType()), T.StructField("detail", T.StringType())])
+WORKFLOW_META = T.StructType([T.StructField("name", T.StringType()), T.StructField("description", T.StringType()),
+                              T.StructField("phases", T.ArrayType(_PHASE))])
 _LEXEME = re.compile(r"""'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*"|`(?:\\.|[^`\\])*`|[{}\[\]]""", re.S)
 _FIELD = r"""\b%s\s*:\s*(?:'((?:\\.|[^'\\])*)'|"((?:\\.|[^"\\])*)"|`((?:\\.|[^`\\])*)`)"""
 _PAIRS = {"{": "}", "[": "]"}

@@ -7,25 +7,19 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["usage", "trace"]
+from logloom.session import tune
+
+MODULES = ["usage", "trace", "jobs", "reports", "corpus", "streams"]
 
 _QUERIES: dict[str, Callable] = {}
 _ORACLES: dict[str, str] = {}
 
 
-def prepare(spark: SparkSession) -> None:
-    """Session settings the engine relies on; all may be set on a running session."""
-    for k, v in {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true",
-                 "spark.sql.adaptive.skewJoin.enabled": "true"}.items():
-        spark.conf.set(k, v)
-
-
 def query(key: str, oracle: str | None = None):
     """Register fn(spark, sf_dir) under key, with the SQL DuckDB runs beside it."""
     def wrap(fn):
         def run(spark: SparkSession, sf: str) -> DataFrame:
-            prepare(spark)
-            return fn(spark, sf)
+            return fn(tune(spark), sf)
 
         _QUERIES[key] = run
         if oracle is not None:

@@ -11,6 +11,7 @@ from logloom.functions import envelope as env, fixed_values as fv, models, prici
 from logloom.functions.text import cut, extract
 from logloom.functions.timekeys import millis_between
 from logloom.operators.ordered import scan
+from logloom.operators.stages import staged
 from logloom.plans import waits
 from logloom.schemas import Corpus
 
@@ -70,8 +71,9 @@ def instructions(rows: DataFrame) -> DataFrame:
     results = found.groupBy(*TX, "tool_use_id").agg(
         F.max_by(F.struct(F.col("ts").alias("result_ts"), F.col("is_error").alias("failed"), F.col("text").alias("result")), _ord()).alias("r"))
     tool = F.coalesce("tool_name", F.lit("?"))
+    at = [F.col("at")] if "at" in rows.columns else []
     paired = (calls.join(results, [*TX, "tool_use_id"], "left").join(ended, ["session_id", "request_id"], "left")
-              .select(*TX, "line_no", "pos", "seq", "ts", "request_id", "tool_use_id", tool.alias("tool"),
+              .select(*TX, *at, "line_no", "pos", "seq", "ts", "request_id", "tool_use_id", tool.alias("tool"),
                       tools.call_input(tool, F.col("text")).alias("payload"),
                       F.coalesce("r.failed", F.lit(False)).alias("error"), F.coalesce("r.result", F.lit("")).alias("result"),
                       F.col("r").isNotNull().alias("answered"),
@@ -89,6 +91,15 @@ def cursors(rows: DataFrame) -> DataFrame:
         "at": F.col("seq") - F.col("is_call").cast("bigint") - F.col("base"), "calls": F.col("top") - F.col("base")}).drop("base", "top")
 
 
+def trace_rows(c: Corpus) -> DataFrame:
+    """Bucketed messages with cursors, written once: the base every trace report reads."""
+    return staged(cursors(bucketed(c.messages)), "trace-rows")
+
+
+def trace_calls(rows: DataFrame) -> DataFrame:
+    return staged(instructions(rows), "trace-calls")
+
+
 def notes_and_replies(at_rows: DataFrame, head: int = 160) -> DataFrame:
     """Assistant texts: the last one after the last call is the reply, the rest are notes."""
     texts = at_rows.filter((F.col("type") == "assistant") & (F.col("lane") == "text"))
@@ -189,10 +200,10 @@ def unplaced(c: Corpus) -> DataFrame:
 STEP_TOKENS = ["input_tokens", "cache_write_tokens", "cache_read_tokens", "output_tokens", "thinking_tokens"]
 
 
-def transactions(c: Corpus, rows: DataFrame | None = None) -> DataFrame:
+def transactions(c: Corpus, rows: DataFrame | None = None, calls: DataFrame | None = None) -> DataFrame:
     """One row per transaction: opener, counters, fee (unrounded), dominant model, annotations."""
-    rows = bucketed(c.messages) if rows is None else rows
-    calls = instructions(rows)
+    rows = trace_rows(c) if rows is None else rows
+    calls = trace_calls(rows) if calls is None else calls
     placed = steps(c, rows)
     fee = placed.groupBy(*TX).agg(
         F.count("*").alias("steps"), *[F.coalesce(F.sum(t), F.lit(0)).alias(t) for t in STEP_TOKENS],
@@ -210,9 +221,10 @@ def session_totals(c: Corpus, txs: DataFrame | None = None, sent: DataFrame | No
 
     Unrounded fees are summed and rounded once.
     """
-    rows = bucketed(c.messages)
-    txs = transactions(c, rows) if txs is None else txs
-    sent = sends(instructions(rows), rows) if sent is None else sent
+    rows = trace_rows(c)
+    calls = trace_calls(rows)
+    txs = transactions(c, rows, calls) if txs is None else txs
+    sent = sends(calls, rows) if sent is None else sent
     kind = lambda k: F.sum((F.col("kind") == k).cast("bigint")).alias(f"{k}_turns")
     placed = txs.groupBy("session_id").agg(
         *[kind(k) for k in ("prompt", "command", "relay", "meta")], F.sum("steps").alias("steps"),
@@ -243,9 +255,8 @@ def fee_by_class(c: Corpus) -> DataFrame:
 
 # --- the same trace read as a dialogue -----------------------------------------
 
-def events(rows: DataFrame, calls: DataFrame, at_rows: DataFrame | None = None) -> DataFrame:
+def events(at_rows: DataFrame) -> DataFrame:
     """Speech in reading order: received (rank 0), said (1), sent (2), by cursor."""
-    at_rows = cursors(rows) if at_rows is None else at_rows
     heard = received(at_rows).filter("kind <> 'meta'").select(
         *TX, "at", F.lit(0).alias("rank"), "line_no", "pos", F.when(F.col("kind") == "prompt", "you").otherwise("peer").alias("beat"), "ts", "text")
     said = notes_and_replies(at_rows).filter("part = 'note'").select(
@@ -256,16 +267,15 @@ def events(rows: DataFrame, calls: DataFrame, at_rows: DataFrame | None = None)
     return heard.unionByName(said).unionByName(sent)
 
 
-def work_beats(c: Corpus, rows: DataFrame | None = None) -> DataFrame:
+def work_beats(c: Corpus, at_rows: DataFrame | None = None, calls: DataFrame | None = None) -> DataFrame:
     """Runs of instructions between events folded to one row each.
 
     A call belongs to the segment numbered by the cuts at or before it. Cuts
     sit where an event is: before the call at that cursor, and both sides of a send.
     """
-    rows = bucketed(c.messages) if rows is None else rows
-    at_rows = cursors(rows)
-    calls = instructions(rows).join(at_rows.filter("is_call").select("session_id", "line_no", "pos", "at"), ["session_id", "line_no", "pos"])
-    cuts = events(rows, calls, at_rows).select(*TX, F.explode(F.when(F.col("beat") == "sent", F.array(F.col("at"), F.col("at") + 1))
+    at_rows = trace_rows(c) if at_rows is None else at_rows
+    calls = trace_calls(at_rows) if calls is None else calls
+    cuts = events(at_rows).select(*TX, F.explode(F.when(F.col("beat") == "sent", F.array(F.col("at"), F.col("at") + 1))
                                                     .otherwise(F.array("at"))).alias("at")).distinct()
     marked = calls.filter("tool <> 'SendMessage'").select(*TX, "at", F.lit(0).alias("cut"), F.lit(1).alias("side"),
                                                          "ts", "ms", "tool", "error", "request_id")
@@ -273,6 +283,7 @@ def work_beats(c: Corpus, rows: DataFrame | None = None) -> DataFrame:
     edges = cuts.select(*TX, "at", F.lit(1).alias("cut"), F.lit(0).alias("side"), none("timestamp").alias("ts"), none("bigint").alias("ms"),
                         none("string").alias("tool"), none("boolean").alias("error"), none("string").alias("request_id"))
     segmented = scan(marked.unionByName(edges), TX, ["at", "side"], running={"segment": F.col("cut")}).filter("cut = 0")
+    segmented = staged(segmented, "work-segments")
     key = [*TX, "segment"]
     by_tool = segmented.groupBy(*key, "tool").agg(F.count("*").alias("n"))
     tool_text = by_tool.groupBy(*key).agg(F.array_join(F.transform(
@@ -296,12 +307,13 @@ def work_beats(c: Corpus, rows: DataFrame | None = None) -> DataFrame:
 
 def conversation(c: Corpus) -> DataFrame:
     """Numbered turns (injections stay unnumbered) with their beat counts."""
-    rows = bucketed(c.messages)
-    txs = transactions(c, rows)
+    rows = trace_rows(c)
+    calls = trace_calls(rows)
+    txs = staged(transactions(c, rows, calls), "transactions")
     numbered = scan(txs, ["session_id"], ["tx"], running={"turn_no": (F.col("kind") != "meta").cast("bigint")})
-    spoken = events(rows, instructions(rows)).groupBy(*TX).agg(
+    spoken = events(rows).groupBy(*TX).agg(
         *[F.sum((F.col("beat") == b).cast("bigint")).alias(b) for b in ("you", "peer", "said", "sent")])
-    worked = work_beats(c, rows).groupBy(*TX).agg(F.count("*").alias("work"))
+    worked = work_beats(c, rows, calls).groupBy(*TX).agg(F.count("*").alias("work"))
     counts = ["you", "peer", "said", "sent", "work"]
     return (numbered.join(spoken, TX, "left").join(worked, TX, "left")
             .withColumns({n: F.coalesce(n, F.lit(0)) for n in counts})

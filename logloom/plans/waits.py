@@ -8,6 +8,7 @@ from logloom.functions import fixed_values as fv, pricing, tools
 from logloom.functions.timekeys import utc_day, window_filter
 from logloom.operators.filters import in_wells
 from logloom.operators.ordered import scan, upper_median
+from logloom.operators.stages import staged
 from logloom.schemas import Corpus
 
 
@@ -107,7 +108,7 @@ def waiting_lint(c: Corpus, well=None, exact=False, since=None, until=None, tz="
     messages = c.messages.join(waiting_sessions(c.messages), "session_id", "left_semi")
     if well or since or until:
         messages = messages.join(picked.select("session_id"), "session_id", "left_semi")
-    calls = calls_of(messages)
+    calls = staged(calls_of(messages), "waiting-calls")
     span = calls.groupBy("session_id").agg(F.min(F.col("ts")).alias("first"), F.max("ts").alias("last"))
     shapes = poll_shape(calls).join(idle_shape(calls), "session_id", "full")
 

@@ -140,6 +140,8 @@ def message_pair_columns(d: str) -> dict[str, str]:
         "msg": f"concat('o', {s('o_orderkey')})",
         "sender": sid(f"o_custkey % {ORDER_SLOTS}", d),
         "receiver": sid(f"o_orderkey % {ORDER_SLOTS}", d),
+        "sender_no": f"o_custkey % {ORDER_SLOTS}",
+        "receiver_no": f"o_orderkey % {ORDER_SLOTS}",
         "sent_at": "cast(o_orderdate AS timestamp)",
         "refused": "o_orderpriority = '5-LOW' AND o_orderstatus = 'F'",
         "copied": "NOT (o_orderpriority = '5-LOW' AND o_orderstatus = 'F') AND o_orderpriority <> '4-NOT SPECIFIED'",
@@ -166,7 +168,7 @@ def ledger_columns(d: str) -> dict[str, str]:
     """part row -> one spawn-ledger line."""
     parent = "p_partkey * 7 % 150"
     return {
-        "child": hex8("p_partkey % 140", d),
+        "child": hex8("p_partkey % 70", d),
         "seq": "p_partkey",
         "kind": "CASE WHEN p_size % 2 = 0 THEN 'spawn' ELSE 'fork' END",
         "parent_session": f"CASE WHEN p_size % 4 = 0 THEN {sid(parent, d)} END",
@@ -279,8 +281,8 @@ def pair_messages(spark: SparkSession, sf: str) -> DataFrame:
     """Messages between sessions as engine rows: call, ack and the receiver's copy."""
     p = _mapped(_load(spark, sf, "orders"), message_pair_columns("spark"))
     order = F.regexp_extract("msg", "([0-9]+)", 1).cast("bigint") * 10
-    name = F.concat(F.lit("n"), F.expr("cast(conv(substring(receiver, 1, 8), 16, 10) AS int) % 40").cast("string"))
-    sender_name = F.concat(F.lit("n"), F.expr("cast(conv(substring(sender, 1, 8), 16, 10) AS int) % 40").cast("string"))
+    name = F.concat(F.lit("n"), (F.col("receiver_no") % 40).cast("string"))
+    sender_name = F.concat(F.lit("n"), (F.col("sender_no") % 40).cast("string"))
     base = dict(uuid=None, git_branch=None, cwd=None, prompt_id=None, tool_name=None, tool_use_id=None,
                 is_error=None, request_id=None, peer=None, msg_id=None)
 
@@ -316,6 +318,22 @@ def limits(spark: SparkSession, sf: str) -> DataFrame:
     return base.withColumn("resets_at", F.when(F.col("kind") == "five_hour", five).when(F.col("kind") != "spend_limit", week))
 
 
+def ref_columns(d: str) -> dict[str, str]:
+    """customer row -> one shell call whose answer prints the id of a spawned job."""
+    return {"session_id": sid("c_custkey % 150", d), "tool_use_id": f"concat('b', {s('c_custkey')})", "seq": "c_custkey",
+            "child": hex8("(c_custkey * 13) % 150", d)}
+
+
+def ref_messages(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _mapped(_load(spark, sf, "customer"), ref_columns("spark"))
+    start = F.unix_seconds(F.lit("2024-01-01").cast("timestamp"))
+    rows = rows.withColumns({"ts": F.timestamp_seconds(start + F.col("seq") * 60), "lane": F.lit("tool"), "line_no": F.col("seq") * 2, "pos": F.lit(0)})
+    calls = rows.withColumns({"type": F.lit("assistant"), "tool_name": F.lit("Bash"), "text": F.lit('Bash {"command":"spawn"}')})
+    said = rows.withColumns({"type": F.lit("user"), "tool_name": F.lit(None).cast("string"), "line_no": F.col("line_no") + 1,
+                             "text": F.concat(F.lit('{"ref": "'), "child", F.lit('", "state": "up"} backgrounded · '), "child")})
+    return calls.drop("child", "seq").unionByName(said.drop("child", "seq"))
+
+
 def jobs(spark: SparkSession, sf: str) -> DataFrame:
     return _mapped(_load(spark, sf, "supplier"), job_columns("spark"))
 
@@ -393,6 +411,7 @@ def oracle_ctes() -> dict[str, str]:
               FROM sreq_t GROUP BY 1) r USING (agent_id)""",
         "pair": _select(message_pair_columns("duckdb"), "orders"),
         "jobs_t": _select(job_columns("duckdb"), "supplier"),
+        "ref_t": _select(ref_columns("duckdb"), "customer", "TIMESTAMP '2024-01-01' + to_seconds(c_custkey * 60) AS ts, "),
         "ledger_t": _select(ledger_columns("duckdb"), "part",
                             "TIMESTAMP '2024-01-01' + to_seconds(p_partkey * 60) AS ts, "),
         "limits_t": f"""SELECT *, CASE WHEN kind = 'five_hour' THEN {five} WHEN kind <> 'spend_limit' THEN {week} END AS resets_at

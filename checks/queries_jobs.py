@@ -11,6 +11,7 @@ from checks.standins import with_ctes
 from logloom.functions import envelope as env
 from logloom.functions.python_helpers import slug
 from logloom.operators import identity as idn, packing
+from logloom.operators.stages import staged
 from logloom.plans import jobs as jb, sessions as ses, threads as th
 
 BASE = ["sessions_t", "jobs_t"]
@@ -53,7 +54,7 @@ def corpus(spark, sf, **kw):
 
 def keyed(spark, sf):
     c = st.corpus(spark, sf, messages=False)
-    return idn.job_keys(c.sessions, st.jobs(spark, sf))
+    return staged(idn.job_keys(c.sessions, st.jobs(spark, sf)), "job-keys")
 
 
 def pair_corpus(spark, sf):

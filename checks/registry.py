@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from logloom.session import tune
 
-MODULES = ["usage", "trace", "jobs"]
+MODULES = ["usage", "trace", "jobs", "reports", "corpus"]
 
 _QUERIES: dict[str, Callable] = {}
 _ORACLES: dict[str, str] = {}

@@ -79,7 +79,7 @@ def family(tool: Column) -> Column:
 def statements(cmd: Column) -> Column:
     """Trimmed, non-empty statements of a command whose white space is folded."""
     parts = F.split(fold_space(F.coalesce(cmd, F.lit(""))), r"&&|\|\||;|\n")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda s: s != "")
 
 
 def programs(cmd: Column) -> Column:
@@ -93,4 +93,4 @@ def programs(cmd: Column) -> Column:
 
 def target_tokens(cmd: Column) -> Column:
     found = F.regexp_extract_all(fold_space(F.coalesce(cmd, F.lit(""))), F.lit(r"([A-Za-z0-9_.:/-]{6,})"), F.lit(1))
-    return F.array_except(F.transform(found, F.lower), F.array(*[F.lit(b) for b in fv.BORING_TOKENS]))
+    return F.array_except(F.transform(found, lambda t: F.lower(t)), F.array(*[F.lit(b) for b in fv.BORING_TOKENS]))

@@ -1,6 +1,6 @@
-"""Range joins without pairs: intervals as power-of-16 blocks, points as one block per level.
+"""Range joins without pairs: intervals as power-of-64 blocks, points as one block per level.
 
-An interval [lo, hi] is covered by at most 30 aligned blocks per level and a
+An interval [lo, hi] is covered by at most 126 aligned blocks per level and a
 point lies in exactly one block of every level, so "which intervals hold this
 point" becomes an equi-join on (level, block). Intervals can be reduced to one
 winner per block before the join.
@@ -10,8 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-BASE = 16
-LEVELS = 11  # 16**11 milliseconds is more than 500 years
+BASE = 64
+LEVELS = 7  # the top blocks are about two years of milliseconds; longer spans take more of them
 
 
 def _level(lo: Column, hi: Column, level: int) -> Column:

@@ -131,6 +131,10 @@ def scored(docs: DataFrame, query: Match, text: str = "text") -> DataFrame:
     return out.drop(*[c for c in out.columns if c.startswith("__")])
 
 
+def _one(test, term):
+    return lambda w: test(w, term)
+
+
 def snippet(text: Column, query: Match, size: int = fv.SNIPPET_TOKENS, marks: tuple[str, str] = ("«", "»")) -> Column:
     """The best slice of `size` words by distinct query terms hit, hits marked."""
     terms = list(dict.fromkeys((w, leaf.prefix and w is leaf.words[-1]) for leaf in query.leaves() for w in leaf.words))
@@ -141,11 +145,11 @@ def snippet(text: Column, query: Match, size: int = fv.SNIPPET_TOKENS, marks: tu
         return F.startswith(bare, F.lit(term[0])) if term[1] else bare == term[0]
 
     any_hit = lambda w: F.array_contains(F.array(*[hit(w, t) for t in terms]), True)
-    starts_ = F.transform(F.filter(F.transform(said, lambda w, i: F.when(any_hit(w), i)), lambda i: i.isNotNull()), lambda i: i)
+    starts_ = F.array_compact(F.transform(said, lambda w, i: F.when(any_hit(w), i)))
 
     def score(i: Column) -> Column:
         part = F.slice(said, i + 1, F.lit(size))
-        n = sum((F.exists(part, lambda w, t=t: hit(w, t)).cast("int") for t in terms), F.lit(0))
+        n = sum((F.exists(part, _one(hit, t)).cast("int") for t in terms), F.lit(0))
         return F.struct(n.alias("n"), (-i).alias("at"))
 
     best = F.array_max(F.transform(starts_, score))

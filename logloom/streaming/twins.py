@@ -50,6 +50,11 @@ def activity_sessions(rows: DataFrame, gap: str = "30 minutes", delay: str = "1
     return out.select("session_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+def _in_order(rows: Iterator[pd.DataFrame], order: str, value: str):
+    """One key's rows of one trigger in order. The trigger size (files per trigger) bounds them."""
+    return pd.concat(rows)[[order, value]].sort_values(order).itertuples(index=False)
+
+
 POLL_ALERT = T.StructType([T.StructField("session_id", T.StringType()), T.StructField("line_no", T.LongType()), T.StructField("ref", T.StringType())])
 
 
@@ -62,13 +67,12 @@ class PollGuard(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         ref, n = self.run.get() if self.run.exists() else (None, 0)
         alerts = []
-        for batch in rows:
-            for line, seen in batch.sort_values("line_no")[["line_no", "ref"]].itertuples(index=False):
-                seen = None if pd.isna(seen) else seen
-                n = n + 1 if seen is not None and seen == ref else (0 if seen is None else 1)
-                ref = seen
-                if n == fv.RUN_MIN:
-                    alerts.append((key[0], int(line), ref))
+        for line, seen in _in_order(rows, "line_no", "ref"):
+            seen = None if pd.isna(seen) else seen
+            n = n + 1 if seen is not None and seen == ref else (0 if seen is None else 1)
+            ref = seen
+            if n == fv.RUN_MIN:
+                alerts.append((key[0], int(line), ref))
         self.run.update((ref, n))
         yield pd.DataFrame(alerts, columns=["session_id", "line_no", "ref"])
 
@@ -94,11 +98,10 @@ class ResetWatch(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         was = self.last.get()[0] if self.last.exists() else None
         alerts = []
-        for batch in rows:
-            for seq, pct in batch.sort_values("seq")[["seq", "pct"]].itertuples(index=False):
-                if was is not None and was - pct >= fv.RESET_DROP:
-                    alerts.append((key[0], key[1], int(seq), float(pct), float(was)))
-                was = float(pct)
+        for seq, pct in _in_order(rows, "seq", "pct"):
+            if was is not None and was - pct >= fv.RESET_DROP:
+                alerts.append((key[0], key[1], int(seq), float(pct), float(was)))
+            was = float(pct)
         self.last.update((was,))
         yield pd.DataFrame(alerts, columns=["kind", "window_id", "seq", "pct", "was"])
 
@@ -124,11 +127,15 @@ def deduplicated_ledger(rows: DataFrame, delay: str = "7 days") -> DataFrame:
     return rows.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["child", "ts"])
 
 
-def run_to_memory(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Drain a stream of closed files into a table of the shared folder and read it back."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_updates(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """Drain an update-mode stream: every batch's changed rows land in Parquet, marked with the batch."""
+    def each(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(folder)
+
+    schema = T.StructType(stream.schema.fields + [T.StructField("epoch", T.LongType())])
+    q = stream.writeStream.foreachBatch(each).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(schema).parquet(folder)
 
 
 def run_to_folder(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:

@@ -196,14 +196,19 @@ def _mapped(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.selectExpr(*[f"{e} AS {n}" for n, e in columns.items()])
 
 
-def event_entries(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as exploded log records (at most one entry each), prompt ids carried by the engine."""
+def flat_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as exploded log records (at most one entry each)."""
     base = _mapped(_load(spark, sf, "events"), event_base("spark"))
     flat = base.selectExpr("*", *[f"{e} AS {n}" for n, e in record_columns("spark").items()])
     none = F.lit(None).cast("string")
     rows = flat.withColumns({"uuid": none, "git_branch": F.lit("main"), "effort": none, "pos": F.lit(0),
                              "head": F.lit(True)}).drop("uid", "et", "value", "k", "m")
-    return tr.carry_prompts(rows.withColumnRenamed("own_prompt", "prompt_id"))
+    return rows.withColumnRenamed("own_prompt", "prompt_id")
+
+
+def event_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with prompt ids carried by the engine."""
+    return tr.carry_prompts(flat_entries(spark, sf))
 
 
 def event_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -351,12 +356,12 @@ def wells_of(sessions: DataFrame) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf: str, *, messages: bool = True, spawns: bool = False) -> Corpus:
-    entries = event_entries(spark, sf)
+    entries = flat_entries(spark, sf)
     sessions = tr.sessions_of(entries)
     out = Corpus(sessions=sessions, requests=tr.requests_of(entries), wells=wells_of(sessions),
                  rates=pricing.rate_table(spark, RATES))
     if messages:
-        out = out.with_tables(messages=tr.messages_of(entries))
+        out = out.with_tables(messages=tr.messages_of(tr.carry_prompts(entries)))
     if spawns:
         spawned, requests = spawn_tables(spark, sf)
         out = out.with_tables(spawns=spawned, spawn_requests=requests)

@@ -108,11 +108,11 @@ def resolve_ids(asked: DataFrame, keyed: DataFrame, jobs: DataFrame) -> DataFram
         F.col("job_id").alias("q"), "key", F.lit(2).alias("rule"))
     roots = keyed.filter("job_session_id IS NOT NULL").groupBy(F.col("job_session_id").alias("q")).agg(
         F.min("key").alias("key"), F.lit(3).alias("rule"))
-    lengths = F.array_distinct(F.array(F.length("q")))
-    probes = asked.select("q", F.explode(lengths).alias("n")).filter("n > 0")
-    sizes = probes.select("n").distinct()
-    prefixes = keyed.select("session_id", "key", F.explode(F.sequence(F.lit(1), F.length("session_id"))).alias("n")).join(
-        sizes, "n", "left_semi").withColumn("q", F.substring(F.col("session_id"), F.lit(1), F.col("n")))
+    probes = asked.select("q", F.length("q").alias("n")).filter("n > 0")
+    # the lengths in question: at most one per character of an id
+    sizes = probes.agg(F.collect_set("n")).scalar()
+    prefixes = keyed.select("session_id", "key", F.explode(F.filter(sizes, lambda n: n <= F.length("session_id"))).alias("n")).withColumn(
+        "q", F.substring(F.col("session_id"), F.lit(1), F.col("n")))
     stub = F.regexp_replace("session_id", r"\.orphaned-.*$", "")
     matched = prefixes.join(probes.select("q").distinct(), "q", "left_semi").groupBy("q").agg(
         F.min("key").alias("key"), F.count_distinct(stub).alias("hits"), F.lit(4).alias("rule")).filter("hits = 1").drop("hits")

@@ -106,7 +106,14 @@ def all_words(query: str, last_is_prefix: bool = False) -> Match:
     return out
 
 
+def _count_of(text: Column, part: str) -> Column:
+    """Non-overlapping occurrences of a plain string (no regular expression)."""
+    return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("int")
+
+
 def _occurrences(text: Column, leaf: Match) -> Column:
+    if len(leaf.words) == 1 and not leaf.prefix:
+        return _count_of(text, f" {leaf.words[0]} ")
     # look-ahead: overlapping phrases each count
     return F.regexp_count(text, F.lit(f"(?={leaf.pattern()})"))
 
@@ -115,7 +122,7 @@ def scored(docs: DataFrame, query: Match, text: str = "text") -> DataFrame:
     """docs matching the query, with bm25 rank (negative, lower is better)."""
     leaves = query.leaves()
     rows = docs.withColumn("__t", token_text(F.col(text)))
-    rows = rows.withColumns({"__len": F.regexp_count("__t", F.lit(" [^ ]+ ")),
+    rows = rows.withColumns({"__len": _count_of(F.col("__t"), "  ") - 1,
                              **{f"__tf{i}": _occurrences(F.col("__t"), leaf) for i, leaf in enumerate(leaves)}})
     sums = rows.agg(F.struct(
         F.count("*").cast("double").alias("n"), F.avg("__len").alias("avg_len"),

@@ -57,7 +57,9 @@ def thread_rows(c: Corpus, keyed: DataFrame) -> DataFrame:
     copies = c.messages.filter("lane = 'relay'").join(key.withColumnRenamed("key", "to_key"), "session_id").select(
         "to_key", "peer", F.struct(*COPY).alias("received"), F.col("msg_id").alias("m"), (F.col("type") == "attachment").alias("mid"),
         env.relay_head(F.col("text"))["text"].alias("heard"))
-    both = sent.join(copies, F.col("msg_id") == F.col("m"), "full")
+    # halves without an id cannot pair; kept out of the join so they never share one null key
+    paired = sent.filter("msg_id IS NOT NULL").join(copies.filter("m IS NOT NULL"), F.col("msg_id") == F.col("m"), "full")
+    both = paired.unionByName(sent.filter("msg_id IS NULL"), True).unionByName(copies.filter("m IS NULL"), True)
     both = both.join(holders, "to_name", "left")
     sender = holders.withColumnsRenamed({"to_name": "peer", "named_key": "peer_key"})
     both = both.join(sender, "peer", "left").withColumns({

@@ -111,8 +111,8 @@ def resolve_ids(asked: DataFrame, keyed: DataFrame, jobs: DataFrame) -> DataFram
     probes = asked.select("q", F.length("q").alias("n")).filter("n > 0")
     # the lengths in question: at most one per character of an id
     sizes = probes.agg(F.collect_set("n")).scalar()
-    prefixes = keyed.select("session_id", "key", F.explode(F.filter(sizes, lambda n: n <= F.length("session_id"))).alias("n")).withColumn(
-        "q", F.substring(F.col("session_id"), F.lit(1), F.col("n")))
+    prefixes = keyed.select("session_id", "key", sizes.alias("sizes")).select("session_id", "key", F.explode("sizes").alias("n")).filter(
+        F.col("n") <= F.length("session_id")).withColumn("q", F.substring(F.col("session_id"), F.lit(1), F.col("n")))
     stub = F.regexp_replace("session_id", r"\.orphaned-.*$", "")
     matched = prefixes.join(probes.select("q").distinct(), "q", "left_semi").groupBy("q").agg(
         F.min("key").alias("key"), F.count_distinct(stub).alias("hits"), F.lit(4).alias("rule")).filter("hits = 1").drop("hits")

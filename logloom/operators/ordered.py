@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-CHUNK_ROWS = 1 << 20
+CHUNK_ROWS = 1 << 16
 
 
 def chunk_of(order: str, rows: int = CHUNK_ROWS) -> Column:
@@ -20,13 +20,6 @@ def chunk_of(order: str, rows: int = CHUNK_ROWS) -> Column:
     return F.floor(F.col(order) / F.lit(rows)).cast("bigint")
 
 
-def _same(a: list[str], b: list[str]) -> Column:
-    cond = F.lit(True)
-    for x, y in zip(a, b):
-        cond = cond & F.col(x).eqNullSafe(F.col(y))
-    return cond
-
-
 def scan(
     df: DataFrame,
     group: list[str],
@@ -50,6 +43,8 @@ def scan(
     running_max   maximum strictly before the row
     island        1-based number of the run of equal (null-safe) columns
     descending    scan from the last row to the first
+
+    Group columns must not be NULL.
     """
     lag, carry, carry_before = lag or {}, carry or {}, carry_before or {}
     running, running_max, island = running or {}, running_max or {}, island or {}
@@ -116,10 +111,8 @@ def scan(
         f"__c_isl_{n}": F.coalesce(F.sum(f"__b_isl_{n}").over(cb), F.lit(0))
         + F.sum(f"__e_isl_{n}").over(cw.rowsBetween(Window.unboundedPreceding, 0)) for n in island})
     kept = [c for c in summary.columns if c.startswith("__c_")]
-    keys = [f"__g{i}" for i in range(len(group) + 1)]
-    summary = summary.select(*[F.col(c).alias(k) for c, k in zip([*group, "__chunk"], keys)], *kept)
-
-    out = rows.join(summary, _same([*group, "__chunk"], keys), "left")
+    # plain equality on the window's own keys: the rows keep their partitioning
+    out = rows.join(summary.select(*group, "__chunk", *kept), [*group, "__chunk"], "left")
     final: dict[str, Column] = {}
     final |= {n: F.when(F.col("__head"), F.col(f"__c_lag_{n}")).otherwise(F.col(f"__l_lag_{n}")) for n in lag}
     for tag, names in (("car", carry), ("cab", carry_before)):

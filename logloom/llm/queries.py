@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import chat, decontamination, fingerprints, line_dedup, mixing, sharding, simhash_dedup
-from logloom.llm.common import table
+from logloom.llm import chat, decontamination, fingerprints, line_dedup, lm_scoring, mixing, quality, sharding, simhash_dedup, toxicity
+from logloom.llm.common import id_remainder, small_batches, table
 from logloom.operators.stages import staged
 from logloom.session import tune
 
@@ -14,7 +14,7 @@ QUERIES, ORACLES = {}, {}
 
 def query(name: str, sql: str | None = None):
     def wrap(fn):
-        QUERIES[name] = lambda spark, sf_dir: fn(tune(spark), sf_dir)
+        QUERIES[name] = lambda spark, sf_dir: fn(small_batches(tune(spark)), sf_dir)
         if sql:
             ORACLES[name] = sql
         return fn
@@ -129,3 +129,27 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_decontamination")
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_lm_scoring")
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
+def _judged(docs: DataFrame, score, divisor: int, remainder: int, threshold: float) -> DataFrame:
+    scored = docs.select("doc_id", (id_remainder(divisor) == remainder).alias("held_out"), score.alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+@query("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), id_remainder(4) != 2)
+    return _judged(docs, quality.quality(model), 4, 2, quality.THRESHOLD)
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), id_remainder(3) != 1)
+    return _judged(docs, toxicity.toxicity(model), 3, 1, toxicity.THRESHOLD)

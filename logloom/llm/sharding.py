@@ -44,7 +44,7 @@ def _slots(rows: DataFrame, shards: int) -> DataFrame:
         rows = rows.withColumn("part", F.lit(0).cast("long"))
     else:
         rows = staged(rows.withColumn("position", F.monotonically_increasing_id()), "shard-rows")
-        rows = rows.join(small_side(over), (F.col("shard") == F.col("s")) & (F.col("bucket") == F.col("b")), "left").withColumn("part", F.pmod("position", F.coalesce("parts", F.lit(1))))
+        rows = rows.join(small_side(over), (F.col("shard") == F.col("s")) & (F.col("bucket") == F.col("b")), "left").withColumn("part", F.pmod("position", F.coalesce("parts", F.lit(1)))).drop("s", "b")
     counts = rows.groupBy("shard", "bucket", "part").count()
     first = F.sum("count").over(Window.partitionBy("shard").orderBy("bucket", "part")) - F.col("count")
     firsts = counts.select(F.col("shard").alias("s"), F.col("bucket").alias("b"), F.col("part").alias("p"), first.alias("first"))

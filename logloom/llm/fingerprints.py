@@ -124,14 +124,16 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     the next different one. Columns: doc_id, copies, text, fingerprint, edited_text, next_fingerprint.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64(text).alias("hash"), text.alias("text"))
-    keys = rows.groupBy("doc_id", "hash", F.char_length("text").cast("long").alias("n")).agg(F.count("*").alias("copies"))
-    links = staged(successors(keys.select("doc_id", "hash", "n"), [F.col("doc_id").desc_nulls_last(), F.col("hash").asc()]), "links")
+    # keys without nulls: plain equality lets the joins keep the partitioning of the grouped texts
+    key = ["unnamed", "id", "hash"]
+    rows = docs.select(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    keys = rows.select(*key, F.char_length("text").cast("long").alias("n")).distinct()
+    links = staged(successors(keys, [F.col("unnamed").asc(), F.col("id").desc(), F.col("hash").asc()]), "links")
     # one exchange of the texts serves both joins: what a document gives and what it becomes
-    whole = rows.withColumn("lanes", fingerprint(F.col("text"))).groupBy("doc_id", "hash").agg(F.any_value("text").alias("text"), F.any_value("lanes").alias("lanes"), F.count("*").alias("copies"))
-    takers = links.select(F.col("doc_id").alias("taker"), F.col("hash").alias("taker_hash"), F.floor(F.col("n") / 2).cast("int").alias("half"), F.col("next.doc_id").alias("giver"), F.col("next.hash").alias("giver_hash"))
-    given = (whole.where("copies > 0").join(takers, F.col("doc_id").eqNullSafe(F.col("giver")) & (F.col("hash") == F.col("giver_hash")))
-             .select("taker", "taker_hash", "half", F.expr("substring(text, 1, half)").alias("tail"), F.col("lanes").alias("next_fingerprint")))
-    met = whole.join(given, F.col("doc_id").eqNullSafe(F.col("taker")) & (F.col("hash") == F.col("taker_hash")))
-    return met.select("doc_id", "copies", "text", F.col("lanes").alias("fingerprint"), "next_fingerprint",
+    whole = rows.withColumn("lanes", fingerprint(F.col("text"))).groupBy(*key).agg(F.any_value("text").alias("text"), F.any_value("lanes").alias("lanes"), F.count("*").alias("copies"))
+    takers = links.select(*[F.col(f"next.{k}").alias(k) for k in key], F.struct(*key).alias("taker"), F.floor(F.col("n") / 2).cast("int").alias("half"))
+    given = (whole.where("copies > 0").join(takers, key)
+             .select("taker.*", "half", F.expr("substring(text, 1, half)").alias("tail"), F.col("lanes").alias("next_fingerprint")))
+    met = whole.join(given, key)
+    return met.select(F.when(~F.col("unnamed"), F.col("id")).alias("doc_id"), "copies", "text", F.col("lanes").alias("fingerprint"), "next_fingerprint",
                       F.concat(F.expr("substring(text, 1, char_length(text) - half)"), "tail").alias("edited_text"))

@@ -201,7 +201,7 @@ def _(spark, sf):
     no = F.regexp_extract("repo", "([0-9]+)", 1).cast("int")
     repos = owned(spark, sf).withColumns({"ref": F.lit("HEAD"), "sha": F.concat(F.lit("s"), "repo")})
     known = repos.filter(no % 4 == 1)  # unchanged since the last run: skipped
-    changed, docs = dc.index_documents(repos, blobs(spark, sf), known)
+    changed, docs = dc.index_documents(repos, blobs(spark, sf), known, max_bytes=2_000_000)
     return docs.select("doc_id", "repo", "size")
 
 
@@ -211,7 +211,7 @@ def _(spark, sf):
     no = F.regexp_extract("repo", "([0-9]+)", 1).cast("int")
     repos = owned(spark, sf).withColumns({"ref": F.lit("HEAD"), "sha": F.concat(F.lit("s"), "repo")}).filter(no != 3)  # repository 3 vanished
     old = blobs(spark, sf).select("repo", "doc_id")
-    changed, fresh = dc.index_documents(repos, blobs(spark, sf), repos.filter(no % 4 == 1))
+    changed, fresh = dc.index_documents(repos, blobs(spark, sf), repos.filter(no % 4 == 1), max_bytes=2_000_000)
     return dc.refreshed_documents(old, changed, fresh, repos).select("doc_id", "repo")
 
 
@@ -365,3 +365,30 @@ def _(spark, sf):
     path = f"{shared_folder(spark)}/logloom/requests-{uuid.uuid4().hex}"
     rf.write_table(st.corpus(spark, sf, messages=False).requests, path)
     return rf.read_table(spark, path).select("session_id", "message_id", "output_tokens")
+
+
+# --- content by its type in the line: strings that look like lists stay texts ------------
+
+_SAID = """CASE doc_id % 5 WHEN 0 THEN concat('[{"a":1}] ', text) WHEN 1 THEN '[]' WHEN 2 THEN '[{"id":1,"title":"x"}]' WHEN 3 THEN concat('{"b":2} ', text) ELSE text END"""
+_SHOWN = f"CASE WHEN length({_SAID}) > 2000 THEN concat(substr({_SAID}, 1, 1200), chr(10), '… … …', chr(10), substr({_SAID}, length({_SAID}) - 799)) ELSE {_SAID} END"
+
+
+@query("b01_content_by_type", f"""SELECT doc_id, lane, text FROM (SELECT doc_id, 'prompt' AS lane, {_SAID} AS text FROM documents
+    UNION ALL SELECT doc_id, 'queued', {_SAID} FROM documents UNION ALL SELECT doc_id, 'tool', {_SHOWN} FROM documents UNION ALL SELECT doc_id, 'listed', text FROM documents)
+    WHERE trim(text, E' \t\n\r') <> '' OR lane = 'tool'""")
+def _(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.expr(_SAID.replace("text", "`text`")).alias("said"), "text")
+    user = lambda content: F.to_json(F.struct(F.lit("user").alias("type"), F.struct(F.lit("user").alias("role"), content.alias("content")).alias("message")))
+    result = F.array(F.struct(F.lit("tool_result").alias("type"), F.lit("t").alias("tool_use_id"), F.col("said").alias("content")))
+    listed = F.array(F.struct(F.lit("tool_result").alias("type"), F.lit("t").alias("tool_use_id"), F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content")))
+    queued = F.to_json(F.struct(F.lit("attachment").alias("type"), F.struct(F.lit("queued_command").alias("type"), F.col("said").alias("prompt")).alias("attachment")))
+    kinds = {"prompt": user(F.col("said")), "queued": queued, "tool": user(result), "listed": user(listed)}
+    lines = d.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in kinds.items()])).alias("l")).select("doc_id", "l.*")
+    rows = tr.entries_of(tr.parse_lines(lines))
+    short = F.when(F.col("kind") == "listed", F.col("raw")).otherwise(F.col("text"))
+    whole = d.select("doc_id", F.col("text").alias("raw"))
+    # the preview of a long list result is cut as any result's is; here it is held against the whole text by its ends
+    joined = rows.filter("lane IS NOT NULL").join(whole, "doc_id")
+    ends = (F.length("raw") <= 2000) & (F.col("text") == F.col("raw")) | (F.length("raw") > 2000) & (F.left("text", F.lit(1200)) == F.left("raw", F.lit(1200))) & (F.right("text", F.lit(800)) == F.right("raw", F.lit(800)))
+    kept = joined.filter((F.col("kind") != "listed") | ends)
+    return kept.select("doc_id", F.col("kind").alias("lane"), short.alias("text")).filter("trim(BOTH ' \t\n\r' FROM text) <> '' OR lane = 'tool'")

@@ -211,13 +211,21 @@ def _(spark, sf):
     return c.sessions.join(relayed, "session_id", "left_semi").join(c.spawns.filter("open_requests > 3").select("session_id"), "session_id", "left_anti").select("session_id", "lines")
 
 
-@query("d19_fleet_tree", """WITH RECURSIVE t AS (SELECT p_partkey AS key, p_partkey AS top, 0 AS depth, p_brand AS repo FROM part WHERE p_partkey < 10
-    UNION ALL SELECT p.p_partkey, t.top, t.depth + 1, t.repo FROM part p JOIN t ON t.key = p.p_partkey // 10 WHERE p.p_partkey >= 10)
-    SELECT cast(key AS string) AS key, cast(top AS string) AS top, cast(least(depth, 3) AS bigint) AS depth, repo AS top_repo FROM t""")
+@query("d19_fleet_tree", """WITH RECURSIVE listed AS (SELECT cast(p_partkey AS string) AS key, CASE WHEN p_partkey >= 10 THEN cast(p_partkey // 10 AS string) END AS up, p_brand AS repo FROM part
+      UNION ALL SELECT concat('chain', c_custkey), CASE WHEN c_custkey > 1 THEN concat('chain', c_custkey - 1) END, c_mktsegment FROM customer WHERE c_custkey <= 700
+      UNION ALL SELECT concat('ring', s_suppkey), CASE WHEN s_suppkey > 5 THEN concat('ring', s_suppkey - 5) WHEN s_suppkey > 1 THEN concat('ring', s_suppkey % 5 + 1) END, s_name FROM supplier),
+    t AS (SELECT key, key AS top, 0 AS depth, repo FROM listed WHERE up IS NULL
+    UNION ALL SELECT l.key, t.top, t.depth + 1, t.repo FROM listed l JOIN t ON t.key = l.up)
+    SELECT key, top, cast(least(depth, 3) AS bigint) AS depth, repo AS top_repo FROM t""")
 def _(spark, sf):
     part = spark.read.parquet(f"{sf}/part.parquet")
     up = F.floor(F.col("p_partkey") / 10).cast("bigint")
     rows = part.select(F.col("p_partkey").cast("string").alias("key"), F.when(F.col("p_partkey") >= 10, up.cast("string")).alias("parent_key"), F.col("p_brand").alias("repo"))
+    c, s = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("customer", "supplier"))
+    chain = c.filter("c_custkey <= 700").select(F.expr("concat('chain', c_custkey)"), F.expr("CASE WHEN c_custkey > 1 THEN concat('chain', c_custkey - 1) END"), "c_mktsegment")
+    # the first five suppliers spawn each other in a ring, which the SQL cuts at the least key; the rest hang on it
+    ring = s.select(F.expr("concat('ring', s_suppkey)"), F.expr("CASE WHEN s_suppkey > 5 THEN concat('ring', s_suppkey - 5) WHEN s_suppkey > 0 THEN concat('ring', s_suppkey % 5 + 1) END"), "s_name")
+    rows = rows.union(chain).union(ring)
     return jb.fleet_tree(rows).select("key", "top", "depth", "top_repo")
 
 
@@ -280,11 +288,11 @@ def _(spark, sf):
     return s.select("key", F.unix_millis("last_prompt").alias("prompt_ms"), F.unix_millis("last_text").alias("text_ms"), F.unix_millis("last_sent").alias("sent_ms"))
 
 
-@query("e28_recent_by_job", with_ctes(SUB_TABLES + ["jobs_t", "messages_t"], f"""WITH {KEYED}, n AS (SELECT * FROM jk ORDER BY act DESC, session_id LIMIT 100),
+@query("e28_recent_by_job", with_ctes(SUB_TABLES + ["jobs_t", "messages_t"], f"""WITH {KEYED}, n AS (SELECT * FROM jk),
     p AS (SELECT session_id, count(*) AS prompts FROM messages_t WHERE lane = 'prompt' GROUP BY 1), f AS (SELECT key AS session_id, requests, list_usd, spawn_usd FROM ({all_in_sql('session')})),
     r AS (SELECT n.*, coalesce(prompts, 0) AS prompts, requests, list_usd, spawn_usd FROM n LEFT JOIN p USING (session_id) LEFT JOIN f USING (session_id) WHERE coalesce(prompts, 0) > 0 OR requests IS NOT NULL)
     SELECT key, kind, arg_max(session_id, act) AS session_id, count(*) AS sessions, cast(sum(prompts) AS bigint) AS prompts, cast(coalesce(sum(requests), 0) AS bigint) AS requests,
-      {r2('coalesce(sum(list_usd), 0)')} AS list_usd, {r2('coalesce(sum(spawn_usd), 0)')} AS spawn_usd FROM r GROUP BY 1, 2"""))
+      {r2('coalesce(sum(list_usd), 0)')} AS list_usd, {r2('coalesce(sum(spawn_usd), 0)')} AS spawn_usd FROM r GROUP BY 1, 2 ORDER BY max(act) DESC, key, kind LIMIT 100"""))
 def _(spark, sf):
     return jb.recent_by_job(corpus(spark, sf, spawns=True)).select("key", "kind", "session_id", "sessions", "prompts", "requests", "list_usd", "spawn_usd")
 

@@ -112,8 +112,7 @@ def _(spark, sf):
 
 # --- search -----------------------------------------------------------------------------
 
-A, B = sr.ACCENTS
-FOLD = f"translate(lower({{}}), '{A}', '{B}')"
+FOLD = "strip_accents(lower({}))"
 
 
 def bm25_sql(table: str, doc_id: str, where: str, leaves: list[str], text: str = "text") -> str:
@@ -138,10 +137,10 @@ _search("e15_search_prefix", "documents", "doc_id", lambda: sr.all_words("les re
 
 
 
-@query("e13_search_messages", with_ctes(["messages_t"], f"""WITH {bm25_sql("(SELECT * FROM messages_t WHERE lane IN ('prompt', 'text', 'tool'))", 'session_id, line_no', 'tf0 > 0 AND tf1 > 0', ["x = 'please'", "x = '42'"])} SELECT * FROM hit"""))
+@query("e13_search_messages", with_ctes(["messages_t"], f"""WITH {bm25_sql("messages_t", 'session_id, line_no', "lane IN ('prompt', 'text', 'tool') AND tf0 > 0 AND tf1 > 0", ["x = 'please'", "x = '42'"])} SELECT * FROM hit"""))
 def _(spark, sf):
-    rows = st.corpus(spark, sf).messages.filter(F.col("lane").isin("prompt", "text", "tool"))
-    return sr.scored(rows, sr.all_words("please 42")).select("session_id", "line_no", F.round("rank", 6).alias("rank"))
+    scope = F.col("lane").isin("prompt", "text", "tool")
+    return sr.scored(st.corpus(spark, sf).messages, sr.all_words("please 42"), scope=scope).select("session_id", "line_no", F.round("rank", 6).alias("rank"))
 
 
 @query("e15_search_phrase", f"""WITH t AS (SELECT doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array({FOLD.format('text')}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), ' ') || ' ' AS s FROM documents)
@@ -165,8 +164,8 @@ def _(spark, sf):
     return sr.scored(typed, sr.word("elle")).select("conv_id", "turn", F.round("rank", 6).alias("rank"))
 
 
-@query("e16_sessions_first", with_ctes(["messages_t", "sessions_t"], f"""WITH {bm25_sql("(SELECT * FROM messages_t WHERE lane IN ('prompt', 'relay'))", 'session_id, line_no', 'tf0 > 0', ["starts_with(x, 'tas')"])},
-    top AS (SELECT * FROM hit ORDER BY rank, session_id, line_no LIMIT 400) SELECT session_id, count(*) AS hits, min(rank) AS best_rank, epoch_ms(any_value(coalesce(last_activity_ts, last_ts))) AS last_ms
+@query("e16_sessions_first", with_ctes(["messages_t", "sessions_t"], f"""WITH {bm25_sql("messages_t", 'session_id, line_no', "lane IN ('prompt', 'relay') AND tf0 > 0", ["starts_with(x, 'tas')"])},
+    top AS (SELECT * FROM hit) SELECT session_id, count(*) AS hits, min(rank) AS best_rank, epoch_ms(any_value(coalesce(last_activity_ts, last_ts))) AS last_ms
     FROM top JOIN sessions_t USING (session_id) GROUP BY 1 ORDER BY best_rank, hits DESC, last_ms DESC LIMIT 20"""))
 def _(spark, sf):
     rows = sr.sessions_first(st.corpus(spark, sf), sr.all_words("tas", last_is_prefix=True), ["prompt", "relay"])
@@ -174,13 +173,13 @@ def _(spark, sf):
 
 
 @query("e13_snippets", r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents WHERE regexp_matches(' ' || lower(text) || ' ', '[^\p{L}\p{N}]und[^\p{L}\p{N}]')),
-    p AS (SELECT *, list_position(list_transform(w, lambda x: regexp_replace(lower(x), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), 'und') AS i FROM d)
-    SELECT doc_id, (CASE WHEN i > 1 THEN ' … ' ELSE '' END) || array_to_string(list_transform(w[i:i + 23], lambda x: CASE WHEN regexp_replace(lower(x), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g') = 'und' THEN '«' || x || '»' ELSE x END), ' ')
-      || (CASE WHEN len(w) > i + 23 THEN ' … ' ELSE '' END) AS snippet FROM p WHERE i > 0""")
+    p AS (SELECT *, list_position(list_transform(w, lambda x: list_contains(regexp_split_to_array(lower(x), '[^\p{L}\p{N}]+'), 'und')), true) AS i FROM d)
+    SELECT doc_id, (CASE WHEN i > 1 THEN ' … ' ELSE '' END) || array_to_string(list_transform(w[i:i + 23], lambda x: CASE WHEN list_contains(regexp_split_to_array(lower(x), '[^\p{L}\p{N}]+'), 'und') THEN '«' || x || '»' ELSE x END), ' ')
+      || (CASE WHEN len(w) > i + 23 THEN ' … ' ELSE '' END) AS snippet FROM p""")
 def _(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     q = sr.word("und")
-    return docs.filter(q.test(sr.token_text(F.col("text")))).select("doc_id", sr.snippet(F.col("text"), q).alias("snippet")).filter(F.contains("snippet", F.lit("«")))
+    return docs.filter(q.test(sr.token_text(F.col("text")))).select("doc_id", sr.snippet(F.col("text"), q).alias("snippet"))
 
 
 @query("e15_postings", f"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array({FOLD.format('text')}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
@@ -295,10 +294,10 @@ def _(spark, sf):
     return dn.handovers(dn.denial_rows(denial_steps(spark, sf)))
 
 
-@query("b25_command_dissection", r"""SELECT doc_id, cast(len(list_filter(string_split(replace(trim(regexp_replace(text, '\s+', ' ', 'g')), ';', '&&'), '&&'), lambda x: trim(x) <> '')) AS int) AS statements,
-    cast(len(list_distinct(list_transform(regexp_extract_all(trim(regexp_replace(text, '\s+', ' ', 'g')), '[A-Za-z0-9_.:/-]{6,}'), lambda x: lower(x)))) AS int) AS tokens FROM documents WHERE NOT contains(text, '||')""")
+@query("b25_command_dissection", r"""SELECT doc_id, cast(len(list_filter(string_split(replace(replace(trim(regexp_replace(text, '\s+', ' ', 'g')), ';', '&&'), '||', '&&'), '&&'), lambda x: trim(x) <> '')) AS int) AS statements,
+    cast(len(list_distinct(list_transform(regexp_extract_all(trim(regexp_replace(text, '\s+', ' ', 'g')), '[A-Za-z0-9_.:/-]{6,}'), lambda x: lower(x)))) AS int) AS tokens FROM documents""")
 def _(spark, sf):
-    d = spark.read.parquet(f"{sf}/documents.parquet").filter(~F.contains("text", F.lit("||")))
+    d = spark.read.parquet(f"{sf}/documents.parquet")
     boring = F.array_distinct(F.transform(F.regexp_extract_all(tx.fold_space(F.col("text")), F.lit(r"([A-Za-z0-9_.:/-]{6,})"), F.lit(1)), F.lower))
     stop = F.size(F.array_except(boring, tools.target_tokens(F.col("text"))))
     return d.select("doc_id", F.size(tools.statements(F.col("text"))).alias("statements"), (F.size(tools.target_tokens(F.col("text"))) + stop).alias("tokens"))

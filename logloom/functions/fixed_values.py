@@ -145,7 +145,6 @@ HOME_STANDIN = "/Users/u"
 HOME_SLUG_STANDIN = "-Users-u"
 
 # --- documents --------------------------------------------------------------
-MAX_DOC_BYTES = 2_000_000
 WORKTREE_MARK = "--claude-worktrees-"
 WORKTREE_PATH = "/.claude/worktrees/"
 SNIPPET_TOKENS = 24

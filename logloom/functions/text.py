@@ -13,11 +13,11 @@ def plain(s: Column) -> Column:
 
 def strip(s: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(s, r"^\s+|\s+$", "")
+    return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
 
 
 def fold_space(s: Column) -> Column:
-    return F.trim(F.regexp_replace(s, r"\s+", " "))
+    return F.trim(F.regexp_replace(s, r"(?U)\s+", " "))
 
 
 def clip(s: Column, n: int) -> Column:

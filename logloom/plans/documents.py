@@ -38,13 +38,15 @@ def listed_suffix(path: Column, suffixes: list[str]) -> Column:
     return cond
 
 
-def index_documents(repos: DataFrame, blobs: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(repositories to re-read, their documents): markdown up to 2 MB, nothing vendored, foreign repositories empty.
+def index_documents(repos: DataFrame, blobs: DataFrame, known: DataFrame | None = None, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(repositories to re-read, their documents): markdown (up to max_bytes, if given), nothing vendored, foreign repositories empty.
 
     A repository whose (ref, sha, ownership) is unchanged is skipped.
     """
     changed = repos if known is None else repos.join(known.select("repo", "ref", "sha", "ownership"), ["repo", "ref", "sha", "ownership"], "left_anti")
-    keep = F.endswith("path", F.lit(".md")) & ~F.contains("path", F.lit("node_modules/")) & (F.col("size") <= fv.MAX_DOC_BYTES)
+    keep = F.endswith("path", F.lit(".md")) & ~F.contains("path", F.lit("node_modules/"))
+    if max_bytes is not None:
+        keep = keep & (F.col("size") <= max_bytes)
     docs = blobs.filter(keep).join(changed.filter("ownership <> 'foreign'").select("repo", "ref"), ["repo", "ref"])
     return changed, docs
 

@@ -176,9 +176,9 @@ def respawns(keyed: DataFrame) -> DataFrame:
 
 
 def recent_by_job(c: Corpus, n: int = 100, keyed: DataFrame | None = None) -> DataFrame:
-    """The last n active sessions folded into jobs, newest session at the head; empty ones dropped."""
+    """Sessions folded into jobs, newest session at the head, empty ones dropped; the n last active jobs."""
     keyed = keyed_sessions(c) if keyed is None else keyed
-    newest = keyed.withColumn("last_at", F.expr(idn.ACTIVE)).orderBy(F.col("last_at").desc(), "session_id").limit(n)
+    newest = keyed.withColumn("last_at", F.expr(idn.ACTIVE))
     prompts = ses.prompt_counts(c.messages)
     fee = us.usage(c, "session", subagents=True).withColumnRenamed("key", "session_id").select("session_id", "requests", "output_tokens", *MONEY)
     rows = newest.join(prompts, "session_id", "left").join(fee, "session_id", "left").withColumn("prompts", F.coalesce("prompts", F.lit(0)))
@@ -187,7 +187,7 @@ def recent_by_job(c: Corpus, n: int = 100, keyed: DataFrame | None = None) -> Da
         F.max_by("session_id", F.struct("last_at", "session_id")).alias("session_id"), F.max("last_at").alias("last_at"),
         F.count("*").alias("sessions"), F.sum("prompts").alias("prompts"),
         *[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("requests", "output_tokens")],
-        *[pricing.round2(F.coalesce(F.sum(x), F.lit(0.0))).alias(x) for x in MONEY])
+        *[pricing.round2(F.coalesce(F.sum(x), F.lit(0.0))).alias(x) for x in MONEY]).orderBy(F.col("last_at").desc(), "key", "kind").limit(n)
 
 
 # --- roster and fleet -------------------------------------------------------------------
@@ -238,22 +238,48 @@ def merged_roster(job_rows: DataFrame, live: DataFrame) -> DataFrame:
 def fleet_tree(rows: DataFrame, depth_cap: int = 3) -> DataFrame:
     """rows(key, parent_key, repo) -> top, depth (capped), repo of the chain's top.
 
-    Parents outside the listing do not count. Pointer doubling: each round
-    joins the ancestor table with itself, so a chain of length n takes log2 n
-    joins; every key keeps one row and no pairs are made. Chains that never
-    reach a top are cycles; their members become tops.
+    Parents outside the listing do not count. Of a cycle the least key is the
+    top; the others, and what hangs on them, nest under it.
     """
     listed = rows.select(F.col("key").alias("parent_key"))
     base = rows.join(listed.distinct().withColumn("known", F.lit(True)), "parent_key", "left").select(
         "key", "repo", F.when(F.col("known") & (F.col("parent_key") != F.col("key")), F.col("parent_key")).alias("up"))
-    walk = base.select("key", F.col("up").alias("anc"), F.col("up").isNotNull().cast("bigint").alias("hops"))
-    for _ in range(6):
-        step = walk.select(F.col("key").alias("anc"), F.col("anc").alias("next"), F.col("hops").alias("more"))
-        walk = staged(walk.join(step, "anc", "left").select(
-            "key", F.coalesce("next", "anc").alias("anc"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")), "fleet-walk")
-    tops = base.filter("up IS NULL").select(F.col("key").alias("anc"), F.lit(True).alias("rooted"))
+    base = staged(base, "fleet-up")
+    walk = _ancestors(base)
+    circling = walk.join(base.filter("up IS NULL").select(F.col("key").alias("anc")), "anc", "left_anti")
+    if not circling.isEmpty():
+        # after as many hops as there are keys, whoever still moves stands on a cycle
+        first = _least_on_cycle(base.join(circling.select(F.col("anc").alias("key")).distinct(), "key", "left_semi"))
+        cut = first.filter("key = least").select("key", F.lit(True).alias("cut"))
+        base = staged(base.join(cut, "key", "left").select("key", "repo", F.when(F.col("cut").isNull(), F.col("up")).alias("up")), "fleet-cut")
+        walk = _ancestors(base)
     home = rows.select(F.col("key").alias("top"), F.col("repo").alias("top_repo"))
-    out = walk.join(tops, "anc", "left").select(
-        "key", F.when(F.col("rooted"), F.col("anc")).otherwise(F.col("key")).alias("top"),
-        F.when(F.col("rooted"), F.least(F.col("hops"), F.lit(depth_cap))).otherwise(0).alias("depth"))
+    out = walk.select("key", F.coalesce("anc", "key").alias("top"), F.least(F.col("hops"), F.lit(depth_cap)).alias("depth"))
     return out.join(home, "top", "left")
+
+
+def _ancestors(base: DataFrame) -> DataFrame:
+    """(key, anc, hops): the furthest ancestor. Pointer doubling: a chain of n keys takes log2 n
+    joins, each key keeps one row, and the rounds end when no pointer has moved or all keys are passed."""
+    walk = staged(base.select("key", F.col("up").alias("anc"), F.col("up").isNotNull().cast("bigint").alias("hops")), "fleet-walk")
+    reach, keys = 1, walk.count()
+    while reach < keys:
+        step = walk.filter("anc IS NOT NULL").select(F.col("key").alias("anc"), F.col("anc").alias("next"), F.col("hops").alias("more"))
+        moved = walk.join(step, "anc", "left")
+        walk = staged(moved.select("key", F.coalesce("next", "anc").alias("anc"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("next").isNotNull().alias("moved")), "fleet-walk")
+        going = not walk.filter("moved").isEmpty()
+        walk, reach = walk.drop("moved"), reach * 2
+        if not going:
+            break
+    return walk
+
+
+def _least_on_cycle(ring: DataFrame) -> DataFrame:
+    """(key, least) for keys that all lie on cycles: the least key of each one's cycle, by pointer doubling."""
+    seen = ring.select("key", F.col("up").alias("far"), F.least("key", "up").alias("least"))
+    reach, keys = 1, ring.count()
+    while reach < keys:
+        step = seen.select(F.col("key").alias("far"), F.col("far").alias("next"), F.col("least").alias("other"))
+        seen = staged(seen.join(step, "far").select("key", F.col("next").alias("far"), F.least("least", "other").alias("least")), "fleet-ring")
+        reach *= 2
+    return seen.select("key", "least")

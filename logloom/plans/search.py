@@ -9,6 +9,7 @@ aggregated.
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -20,7 +21,15 @@ from logloom.operators.stages import staged
 from logloom.plans import sessions as ses
 from logloom.schemas import Corpus
 
-ACCENTS = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _accents() -> tuple[str, str]:
+    """Lower-case Latin letters with marks, and the letters under the marks."""
+    marked = [c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if c == c.lower() and len(unicodedata.normalize("NFD", c)) > 1]
+    return "".join(marked), "".join(unicodedata.normalize("NFD", c)[0] for c in marked)
+
+
+ACCENTS = _accents()
 
 
 def folded(text: Column) -> Column:
@@ -118,8 +127,8 @@ def _occurrences(text: Column, leaf: Match) -> Column:
     return F.regexp_count(text, F.lit(f"(?={leaf.pattern()})"))
 
 
-def scored(docs: DataFrame, query: Match, text: str = "text") -> DataFrame:
-    """docs matching the query, with bm25 rank (negative, lower is better)."""
+def scored(docs: DataFrame, query: Match, text: str = "text", scope: Column | None = None) -> DataFrame:
+    """docs in scope matching the query, with bm25 rank (negative, lower is better); statistics are those of all docs."""
     leaves = query.leaves()
     rows = docs.withColumn("__t", token_text(F.col(text)))
     rows = rows.withColumns({"__len": _count_of(F.col("__t"), "  ") - 1,
@@ -127,7 +136,7 @@ def scored(docs: DataFrame, query: Match, text: str = "text") -> DataFrame:
     sums = rows.agg(F.struct(
         F.count("*").cast("double").alias("n"), F.avg("__len").alias("avg_len"),
         *[F.sum((F.col(f"__tf{i}") > 0).cast("double")).alias(f"df{i}") for i in range(len(leaves))]).alias("s"))
-    hits = rows.filter(query.test(F.col("__t"))).withColumn("__s", sums.scalar())
+    hits = rows.filter(query.test(F.col("__t")) if scope is None else query.test(F.col("__t")) & scope).withColumn("__s", sums.scalar())
     total = F.lit(0.0)
     for i in range(len(leaves)):
         df, tf = F.col(f"__s.df{i}"), F.col(f"__tf{i}").cast("double")
@@ -148,8 +157,7 @@ def snippet(text: Column, query: Match, size: int = fv.SNIPPET_TOKENS, marks: tu
     said = F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
     def hit(w: Column, term: tuple[str, bool]) -> Column:
-        bare = F.regexp_replace(folded(w), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-        return F.startswith(bare, F.lit(term[0])) if term[1] else bare == term[0]
+        return F.exists(tokens(w), lambda t: F.startswith(t, F.lit(term[0])) if term[1] else t == term[0])
 
     any_hit = lambda w: F.array_contains(F.array(*[hit(w, t) for t in terms]), True)
     starts_ = F.array_compact(F.transform(said, lambda w, i: F.when(any_hit(w), i)))
@@ -178,13 +186,13 @@ def postings(docs: DataFrame, doc_id: str, text: str = "text") -> DataFrame:
     return rows.groupBy("term", doc_id).agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
 
 
-def sessions_first(c: Corpus, query: Match, lanes: list[str], limit: int = 20, candidates: int = 400, per_session: int = 3, recent: bool = False) -> DataFrame:
-    """Top hits grouped by session: hits, best rank, first snippets; best rank, then hits, then recency."""
-    rows = c.messages.filter(F.col("lane").isin(lanes))
-    top = staged(scored(rows, query).orderBy("rank", "session_id", "line_no").limit(candidates), "search-hits")
+def sessions_first(c: Corpus, query: Match, lanes: list[str], limit: int = 20, candidates: int | None = None, per_session: int = 3, recent: bool = False) -> DataFrame:
+    """Hits (all, or the first `candidates`) grouped by session: how many, best rank, first snippets; best rank, then hits, then recency."""
+    found = scored(c.messages, query, scope=F.col("lane").isin(lanes))
+    top = staged(found if candidates is None else found.orderBy("rank", "session_id", "line_no").limit(candidates), "search-hits")
     from pyspark.sql import Window
 
-    w = Window.partitionBy("session_id").orderBy("rank", "line_no")  # over at most `candidates` rows
+    w = Window.partitionBy("session_id").orderBy("rank", "line_no")  # the limit on its number is applied before the shuffle too
     shown = (top.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= per_session)
              .withColumn("snippet", snippet(F.col("text"), query, 18)).groupBy("session_id")
              .agg(F.array_sort(F.collect_list(F.struct("i", "lane", "snippet"))).alias("snippets")))

@@ -30,6 +30,9 @@ RECORD = (
 )
 BLOCKS = ("array<struct<type:string,text:string,thinking:string,id:string,name:string,input:string,"
           "tool_use_id:string,content:string,is_error:boolean>>")
+# The same values read as lists: null where the line has a string.
+LIST_KINDS = "message struct<content:array<string>>, attachment struct<prompt:array<string>>"
+RESULT_KINDS = "array<struct<content:array<string>>>"
 TEXT_BLOCKS = "array<struct<type:string,text:string>>"
 HISTORY = "display string, project string, sessionId string, timestamp string, _corrupt string"
 LIMIT_LINE = "ts string, session string, kind string, pct double, resetsAt string, _corrupt string"

@@ -8,7 +8,7 @@ from logloom.functions import fixed_values as fv
 from logloom.functions.envelope import ack_msg_id, bridge_key
 from logloom.functions.text import extract
 from logloom.operators.ordered import scan
-from logloom.schemas import BLOCKS, RECORD, REQUEST_TOKENS, TEXT_BLOCKS
+from logloom.schemas import BLOCKS, LIST_KINDS, RECORD, RESULT_KINDS, REQUEST_TOKENS, TEXT_BLOCKS
 
 SESSION_PATH = r"/([^/]+)/([^/]+)\.jsonl$"
 SPAWN_PATH = r"/([^/]+)/([^/]+)/subagents/(?:workflows/(wf_[^/]+)/)?agent-([^/]+)\.jsonl$"
@@ -58,7 +58,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     """
     ids = [c for c in lines.columns if c != "value"]
     parsed = (lines.filter(F.trim("value") != "")
-              .select(*ids, F.from_json("value", RECORD, {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+              .select(*ids, "value", F.from_json("value", RECORD, {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
               .filter(F.col("r._corrupt").isNull() | F.col("r.type").isNotNull()))
     c = lambda n: F.col(f"r.{n}")
     opt = lambda n: F.coalesce(c(n), F.lit(""))
@@ -67,8 +67,8 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     title = F.coalesce(c("customTitle"), c("aiTitle"), c("title"))
     mode = F.to_json(F.struct(*[c(f"attachment.{n}").alias(n) for n in ("bashFirst", "bashFirstSteer", "steerOnly", "bypass")]),
                      {"ignoreNullFields": "false"})
-    content = c("message.content")
-    is_array = content.rlike(r"^\s*\[\s*(\{|\])")
+    content, prompt = c("message.content"), c("attachment.prompt")
+    is_array, prompt_is_array = (F.col(f"kinds.{n}").isNotNull() for n in ("message.content", "attachment.prompt"))
     event = (F.when(c("type") == "system",
                     F.when(subtype == "away_summary", said).otherwise(F.substring(said, 1, fv.CALL_TEXT_CAP)))
              .when(c("type") == "pr-link", F.trim(F.concat(F.lit("pr-link: "), opt("prRepository"), F.lit("#"),
@@ -76,11 +76,15 @@ def parse_lines(lines: DataFrame) -> DataFrame:
              .when(c("type").isin("custom-title", "ai-title"), F.concat(F.lit("title: "), F.nullif(title, F.lit(""))))
              .when(c("type") == "summary", F.concat(F.lit("summary: "), F.nullif(c("summary"), F.lit(""))))
              .when((c("type") == "attachment") & (c("attachment.type") == "auto_mode"), F.concat(F.lit("auto_mode: "), mode)))
+    # text that starts like a list may be a string: the type in the line decides
+    starts = lambda x: F.coalesce(x.rlike(r"^\s*\["), F.lit(False))
+    parsed = parsed.withColumn("kinds", F.from_json(F.when(starts(content) | starts(prompt), F.col("value")), LIST_KINDS))
     plain_text = (F.when((c("type") == "user") & ~is_array, content)
-                  .when((c("type") == "attachment") & (c("attachment.type") == "queued_command"), _joined_text(c("attachment.prompt"))))
+                  .when((c("type") == "attachment") & (c("attachment.type") == "queued_command"), _joined_text(prompt, prompt_is_array)))
     parsed = parsed.withColumns({
         "plain_text": plain_text, "event_text": event,
-        "listed": F.from_json(F.when(is_array & c("type").isin("user", "assistant"), content), BLOCKS)})
+        "listed": F.from_json(F.when(is_array & c("type").isin("user", "assistant"), content), BLOCKS),
+        "list_results": F.transform(F.from_json(F.when(is_array & F.contains(content, F.lit("tool_result")), content), RESULT_KINDS), lambda b: b["content"].isNotNull())})
     typed_text = lambda kind, col: F.array(F.struct(
         F.lit(kind).alias("type"), F.col(col).alias("text"),
         *[F.lit(None).cast("string").alias(n) for n in ("thinking", "id", "name", "input", "tool_use_id", "content")],
@@ -117,12 +121,12 @@ def parse_lines(lines: DataFrame) -> DataFrame:
                limit["rateLimitType"]).alias("limit_kind"),
         F.timestamp_seconds(limit["resetsAt"]).alias("limit_resets_at"),
         F.col("r.toolDenialKind").alias("denial_kind"), F.col("r.toolUseResult").alias("tool_use_result"),
-        blocks.alias("blocks"))
+        blocks.alias("blocks"), "list_results")
 
 
-def _joined_text(content: Column) -> Column:
+def _joined_text(content: Column, is_array: Column) -> Column:
     """A string as it is, or the text blocks of an array joined by newlines."""
-    blocks = F.from_json(F.when(content.rlike(r"^\s*\[\s*(\{|\])"), content), TEXT_BLOCKS)
+    blocks = F.from_json(F.when(is_array, content), TEXT_BLOCKS)
     texts = F.filter(blocks, lambda b: (b["type"] == "text") & (F.coalesce(b["text"], F.lit("")) != ""))
     return F.coalesce(F.array_join(F.transform(texts, lambda b: b["text"]), "\n"), content, F.lit(""))
 
@@ -157,7 +161,7 @@ def entries_of(records: DataFrame) -> DataFrame:
             .when(replied & (b("type") == "text") & filled(b("text")), "text")
             .when(replied & (b("type") == "thinking") & filled(b("thinking")), "thinking")
             .when(b("type") == "event", "event"))
-    rows = rows.withColumns({"lane": lane, "result_text": F.when(result, _joined_text(b("content")))})
+    rows = rows.withColumns({"lane": lane, "result_text": F.when(result, _joined_text(b("content"), F.coalesce(F.get("list_results", F.col("pos")), F.lit(False))))})
     skill = F.when(call & (b("name") == "Skill"), F.get_json_object(b("input"), "$.skill"))
     text = (F.when(call, F.concat(F.coalesce(b("name"), F.lit("?")), F.lit(" "),
                                   F.substring(F.coalesce(b("input"), F.lit("")), 1, fv.CALL_TEXT_CAP)))
@@ -174,7 +178,7 @@ def entries_of(records: DataFrame) -> DataFrame:
         "text": text, "tool_name": tool,
         "tool_use_id": F.when(call, b("id")).when(result, b("tool_use_id")),
         "is_error": result & F.coalesce(b("is_error"), F.lit(False)),
-        "peer": name, "msg_id": msg_id}).drop("b", "result_text", "origin")
+        "peer": name, "msg_id": msg_id}).drop("b", "result_text", "list_results", "origin")
 
 
 def _head_tail(text: Column) -> Column:
@@ -261,7 +265,7 @@ def spawn_fields(records: DataFrame) -> DataFrame:
         "closing_id": F.when(last["type"] == "tool_use", last["id"]),
         "results": F.when(F.col("type") == "user", results),
         "refused": F.coalesce(F.get_json_object("tool_use_result", "$.success") == "false", F.lit(False)),
-    }).drop("blocks")
+    }).drop("blocks", "list_results")
 
 
 def spawn_requests_of(fields: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -12,6 +13,7 @@ from logloom.session import tune  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     s = (SparkSession.builder.master("local[*]").appName("logloom-tests").config("spark.sql.shuffle.partitions", "4")
+         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="logloom-tests-"))
          .config("spark.ui.enabled", "false").config("spark.driver.memory", "6g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield tune(s)

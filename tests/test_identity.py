@@ -90,7 +90,7 @@ def test_holder_of_a_name_at_an_instant(spark):
 def test_fleet_tree_survives_cycles(spark):
     rows = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "c"), ("e", "d"), ("x", "y"), ("y", "x"), ("z", "missing"), ("s", "s")], "key string, parent_key string").withColumn("repo", F.col("key"))
     got = {r.key: (r.top, r.depth) for r in jb.fleet_tree(rows).collect()}
-    assert got == {"a": ("a", 0), "b": ("a", 1), "c": ("a", 2), "d": ("a", 3), "e": ("a", 3), "x": ("x", 0), "y": ("y", 0), "z": ("z", 0), "s": ("s", 0)}
+    assert got == {"a": ("a", 0), "b": ("a", 1), "c": ("a", 2), "d": ("a", 3), "e": ("a", 3), "x": ("x", 0), "y": ("x", 1), "z": ("z", 0), "s": ("s", 0)}
 
 
 def test_limit_window_reset_and_stale_reading(spark):
@@ -117,3 +117,24 @@ def test_search_semantics(spark):
     assert ids(sr.near(sr.word("alpha"), sr.word("gamma"), 0)) == [2] and ids(sr.near(sr.word("alpha"), sr.word("gamma"), 1)) == [1, 2]
     top = sr.search(docs, sr.word("alpha"), 1, tie="id").first()
     assert top.id == 2 and top.rank < 0 and top.snippet == "«alpha» gamma beta «alpha»"
+
+
+def test_fleet_tree_of_long_chains_and_rings(spark):
+    from logloom.plans import jobs as jb
+
+    rows = [(f"c{i:03}", f"c{i - 1:03}" if i else None, f"r{i}") for i in range(300)]
+    rows += [("x1", "x2", "a"), ("x2", "x3", "b"), ("x3", "x1", "c"), ("tail", "x2", "d"), ("self", "self", "e"), ("orphan", "gone", "f")]
+    got = {r.key: (r.top, r.depth, r.top_repo) for r in jb.fleet_tree(spark.createDataFrame(rows, "key string, parent_key string, repo string")).collect()}
+    assert all(got[f"c{i:03}"] == ("c000", min(i, 3), "r0") for i in range(300))
+    assert got["x1"] == ("x1", 0, "a") and got["x3"] == ("x1", 1, "a") and got["x2"] == ("x1", 2, "a") and got["tail"] == ("x1", 3, "a")
+    assert got["self"] == ("self", 0, "e") and got["orphan"] == ("orphan", 0, "f")
+
+
+def test_search_folds_accents_and_marks_inside_words(spark):
+    from logloom.plans import search as sr
+
+    docs = spark.createDataFrame([(1, "az őz és şu"), (2, "nichts und-mit dabei"), (3, "other")], "id int, text string")
+    assert {r.id for r in sr.scored(docs, sr.word("oz") & sr.word("su")).collect()} == {1}
+    assert [r.snippet for r in sr.search(docs, sr.word("und"), 5).collect()] == [" … «und-mit» dabei"]
+    scoped = sr.scored(docs, sr.word("und"), scope=F.col("id") > 1).collect()
+    assert [(r.id, round(r.rank, 9)) for r in scoped] == [(r.id, round(r.rank, 9)) for r in sr.scored(docs, sr.word("und")).collect()]

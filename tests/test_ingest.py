@@ -165,3 +165,17 @@ def test_denials_end_to_end(spark, tmp_path):
     assert (r.kind, r.tool, r.cmd, r.reason, r.repo) == ("automode-blocked", "Bash", "cat /srv/prod/key.pem", "touches prod", "app")
     assert (r.next_cmd, r.next_text, r.human_first) == ("head -c 9 /srv/prod/key.pem", "Trying another way", False)
     assert [(s.shape, s.n, s.pct) for s in dn.shapes(rows).collect()] == [("different program, same target (READ THIS)", 1, 100)]
+
+
+def test_strings_that_look_like_lists_stay_texts(spark):
+    said = ['[{"a":1}]', '[{"a":1}] fix this json', "[]", '{"a":1}', "[ not json"]
+    records = [user(i, t) for i, t in enumerate(said)] + [user(10 + i, [result(f"t{i}", t)]) for i, t in enumerate(said)]
+    records += [user(20, [result("t9", [{"type": "text", "text": "one"}, {"type": "image"}, {"type": "text", "text": "two"}])]), user(21, []),
+                {"type": "attachment", "timestamp": at(22), "sessionId": "s1", "attachment": {"type": "queued_command", "prompt": said[1]}},
+                {"type": "attachment", "timestamp": at(23), "sessionId": "s1", "attachment": {"type": "queued_command", "prompt": [{"type": "text", "text": "listed"}]}}]
+    lines = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "no long, value string")
+    rows = {r.no: (r.lane, r.text) for r in tr.entries_of(tr.parse_lines(lines)).collect()}
+    assert [rows[i] for i in range(5)] == [("prompt", t) for t in said]
+    assert [rows[i] for i in range(5, 10)] == [("tool", t) for t in said]
+    assert rows[10] == ("tool", "one\ntwo") and rows[11] == (None, None)
+    assert rows[12] == ("prompt", said[1]) and rows[13] == ("prompt", "listed")

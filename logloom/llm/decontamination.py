@@ -86,7 +86,7 @@ class ItemIndex:
         by_length: dict[int, list[int]] = {}
         for i, tokens in enumerate(self.tokens):
             by_length.setdefault(len(tokens), []).append(i)
-        self.lengths, found = {}, {}
+        self.lengths, self.own, found = {}, {}, {}
         popcount = np.array([bin(v).count("1") for v in range(256)])
         values = np.arange(256)
         for length, members in by_length.items():
@@ -95,6 +95,7 @@ class ItemIndex:
             for i in members:
                 shingles = _shingle_hashes(_word_hashes(self.tokens[i]), k)
                 found.setdefault(k, []).append(shingles)
+                self.own[i] = np.unique(shingles)
                 prints.append(_majority(_bit_sums(shingles)[-1:], len(shingles))[0])
             prints = np.array(prints, np.uint64)
             blocks = prints.view(np.uint8).reshape(-1, BLOCKS)
@@ -127,13 +128,18 @@ class ItemIndex:
             runs = np.split(hits, np.flatnonzero(np.diff(hits) > 2 * reach) + 1)
             for run in runs:
                 first = max(0, int(run[0]) - reach)
-                sums = _bit_sums(shingles[first:int(run[-1]) + reach])
+                region = shingles[first:int(run[-1]) + reach]
+                sums = _bit_sums(region)
                 for length in (length for length, (of, *_) in self.lengths.items() if of == k):
-                    self._windows(tokens, run, first, sums, length, best)
+                    self._windows(tokens, run, first, region, sums, length, best)
         return [(self.ids[i], *b) for i, b in sorted(best.items())]
 
-    def _windows(self, tokens: list[bytes], hits: np.ndarray, first: int, sums: np.ndarray, length: int, best: dict) -> None:
-        """Windows of one length that hold a hit, against the items of that length."""
+    def _windows(self, tokens: list[bytes], hits: np.ndarray, first: int, region: np.ndarray, sums: np.ndarray, length: int, best: dict) -> None:
+        """Windows of one length that hold a hit, against the items of that length.
+
+        A candidate within the radius is verified unless the number of its shingles that the
+        item has at all already bounds the similarity below the threshold.
+        """
         k, members, prints, near = self.lengths[length]
         size = min(length, len(tokens))
         span = size - k + 1
@@ -150,13 +156,19 @@ class ItemIndex:
             candidate = candidate | near[b][blocks[:, b]]
         at, of = np.nonzero(candidate)
         distance = np.bitwise_count(windows[at] ^ prints[of])
-        for w, m, d in zip(at[distance <= RADIUS].tolist(), of[distance <= RADIUS].tolist(), distance[distance <= RADIUS].tolist()):
-            item, start = int(members[m]), int(starts[w])
-            if item in best and best[item][0] == 1.0:
-                continue
-            s = similarity(tokens[start:start + size], self.tokens[item], k)
-            if s >= SIMILARITY and (item not in best or s > best[item][0]):
-                best[item] = (s, int(d), start, size)
+        for m in np.unique(of[distance <= RADIUS]).tolist():
+            item = int(members[m])
+            close = np.flatnonzero((of == m) & (distance <= RADIUS))
+            begins = starts[at[close]]
+            held = np.concatenate([[0], np.cumsum(np.isin(region, self.own[item]))])
+            shared = held[begins - first + span] - held[begins - first]
+            possible = shared >= SIMILARITY * (span + length - k + 1 - shared) - 1e-6
+            for start, d in zip(begins[possible].tolist(), distance[close[possible]].tolist()):
+                if item in best and best[item][0] == 1.0:
+                    break
+                s = similarity(tokens[start:start + size], self.tokens[item], k)
+                if s >= SIMILARITY and (item not in best or s > best[item][0]):
+                    best[item] = (s, int(d), start, size)
 
 
 _INDEXES: dict[str, ItemIndex] = {}

@@ -320,7 +320,14 @@ def spawn_lanes(spark, sf):
     return s.select(F.col("session_id").alias("parent"), F.col("agent_id").alias("lane"), start.alias("start_ms"), F.unix_millis(F.greatest("first_ts", "last_ts")).alias("end_ms"))
 
 
-@query("c20_lane_packing")
+# one lane per parent and step, in start order; `ends` holds when each row falls free
+@query("c20_lane_packing", with_ctes(["spawns_t"], """WITH RECURSIVE l AS (SELECT session_id AS parent, agent_id AS lane, epoch_ms(least(first_ts, last_ts)) AS a, epoch_ms(greatest(first_ts, last_ts)) AS z FROM spawns_t),
+    b AS (SELECT *, row_number() OVER w AS i, max(z) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy FROM l WINDOW w AS (PARTITION BY parent ORDER BY a, lane)),
+    o AS MATERIALIZED (SELECT *, sum(CASE WHEN busy > a THEN 0 ELSE 1 END) OVER (PARTITION BY parent ORDER BY i) AS cluster FROM b),
+    s AS (SELECT parent, i, lane, cluster, [z] AS ends, 0 AS "row" FROM o WHERE i = 1
+      UNION ALL SELECT parent, i, lane, cluster, CASE WHEN p IS NULL THEN list_append(ends, z) ELSE list_transform(ends, lambda e, j: CASE WHEN j = p THEN z ELSE e END) END, coalesce(p - 1, len(ends))
+      FROM (SELECT o.parent, o.i, o.lane, o.cluster, o.z, s.ends, nullif(list_position(list_transform(s.ends, lambda e: e <= o.a), true), 0) AS p FROM s JOIN o ON o.parent = s.parent AND o.i = s.i + 1))
+    SELECT parent, cast(cluster AS bigint) AS cluster, lane, cast("row" AS int) AS "row" FROM s"""))
 def _(spark, sf):
     return packing.pack(spawn_lanes(spark, sf))
 

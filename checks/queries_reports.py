@@ -232,6 +232,11 @@ def _(spark, sf):
 
 # --- denials ----------------------------------------------------------------------------
 
+# some closing texts quote a command or name the prefix, some after more than a listing prints
+SAID = """concat('said ', CASE WHEN {k} % 4 = 0 THEN repeat('x', 700) ELSE '' END, cast({k} AS string), CASE WHEN {k} % 5 = 0 THEN ' run `make deploy` now' ELSE '' END,
+    CASE WHEN {k} % 3 = 0 THEN ' with the `!` prefix' ELSE '' END)"""
+
+
 def denial_steps(spark, sf):
     """error events are denials of the call before them; signups are human turns."""
     ev = spark.read.parquet(f"{sf}/events.parquet").selectExpr(*[f"{e} AS {n}" for n, e in st.event_base("spark").items()])
@@ -241,19 +246,19 @@ def denial_steps(spark, sf):
         F.col("session_id").alias("file_path"), "session_id", "line_no", "ts", F.concat(F.lit("/u/code/"), "well").alias("cwd"),
         F.when(F.col("et") == "error", F.when(F.col("k") % 2 == 0, "automode-blocked").otherwise("user-rejected")).alias("kind"),
         F.when(act, F.concat(F.lit("c"), (F.col("k") % 5).cast("string"))).alias("call_id"), F.when(act, F.when(F.col("k") % 7 == 0, "Edit").otherwise("Bash")).alias("call_tool"),
-        F.when(act, cmd).alias("call_cmd"), F.when(F.col("et") == "purchase", F.concat(F.lit("said "), F.col("k").cast("string"))).alias("said"),
+        F.when(act, cmd).alias("call_cmd"), F.when(F.col("et") == "purchase", F.expr(SAID.format(k="k"))).alias("said"),
         F.when(F.col("et") == "error", F.concat(F.lit("c"), (F.col("k") % 5).cast("string"))).alias("result_id"), (F.col("et") == "signup").alias("human"),
         F.when(F.col("et") == "error", F.concat(F.lit("because "), (F.col("k") % 6).cast("string"))).alias("reason"))
 
 
-DENIED = """st0 AS (SELECT *, et = 'click' AS act, 'c' || cast(k % 5 AS string) AS id, CASE WHEN k % 7 = 0 THEN 'Edit' ELSE 'Bash' END AS tool,
+DENIED = f"""st0 AS (SELECT *, et = 'click' AS act, 'c' || cast(k % 5 AS string) AS id, CASE WHEN k % 7 = 0 THEN 'Edit' ELSE 'Bash' END AS tool,
       'run x' || cast(k % 4 AS string) || CASE WHEN k % 3 = 0 THEN ' && make all' ELSE '' END AS cmd, CASE WHEN k % 2 = 0 THEN 'automode-blocked' ELSE 'user-rejected' END AS dk FROM ev),
     nx AS (SELECT *, first_value(CASE WHEN act THEN line_no END IGNORE NULLS) OVER w AS nl, first_value(CASE WHEN et = 'purchase' THEN line_no END IGNORE NULLS) OVER w AS sl,
         first_value(CASE WHEN et = 'signup' THEN line_no END IGNORE NULLS) OVER w AS hl FROM st0 WINDOW w AS (PARTITION BY session_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
     src AS (SELECT session_id, id, arg_max(tool, line_no) AS tool, arg_max(cmd, line_no) AS cmd FROM st0 WHERE act GROUP BY 1, 2),
     den AS (SELECT session_id, id, arg_max(dk, line_no) AS nd FROM st0 WHERE et = 'error' GROUP BY 1, 2),
     dr AS (SELECT n.session_id, n.line_no, n.dk AS kind, 'because ' || cast(n.k % 6 AS string) AS reason, coalesce(s.tool, '?') AS tool, coalesce(s.cmd, '') AS cmd, coalesce(c.tool, '') AS next_tool, coalesce(c.cmd, '') AS next_cmd,
-        coalesce(d.nd, '') AS next_denied, CASE WHEN sl IS NOT NULL AND (nl IS NULL OR sl <= nl) THEN 'said ' || cast(t.k AS string) ELSE '' END AS next_text, hl IS NOT NULL AND (nl IS NULL OR hl < nl) AS human_first,
+        coalesce(d.nd, '') AS next_denied, CASE WHEN sl IS NOT NULL AND (nl IS NULL OR sl <= nl) THEN {SAID.format(k='t.k')} ELSE '' END AS next_text, hl IS NOT NULL AND (nl IS NULL OR hl < nl) AS human_first,
         regexp_extract(n.well, 'w[0-9]+') AS w
       FROM nx n LEFT JOIN src s ON s.session_id = n.session_id AND s.id = n.id LEFT JOIN st0 c ON c.line_no = nl LEFT JOIN st0 t ON t.line_no = sl
       LEFT JOIN den d ON d.session_id = n.session_id AND d.id = c.id WHERE n.et = 'error')"""
@@ -289,7 +294,7 @@ def _(spark, sf):
     return dn.places(dn.denial_rows(denial_steps(spark, sf)))
 
 
-@query("e26_handovers", with_ctes(["ev"], f"WITH {DENIED} SELECT count(*) AS stops, 0::bigint AS quoted, 0::bigint AS named_prefix FROM dr WHERE kind = 'automode-blocked' AND human_first"))
+@query("e26_handovers", with_ctes(["ev"], f"WITH {DENIED} SELECT count(*) AS stops, count(*) FILTER (regexp_matches(next_text, '`[^`]{{6,}}`')) AS quoted, count(*) FILTER (contains(next_text, 'the `!` prefix')) AS named_prefix FROM dr WHERE kind = 'automode-blocked' AND human_first"))
 def _(spark, sf):
     return dn.handovers(dn.denial_rows(denial_steps(spark, sf)))
 

@@ -47,7 +47,7 @@ def _(spark, sf):
 
     def write(batch, epoch):
         rows = tr.messages_of(tr.entries_of(tr.number_records(tr.parse_lines(tr.session_lines(batch)))))
-        rows.write.mode("append").parquet(folder)
+        twins.write_epoch(rows, epoch, folder)
 
     q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -57,26 +57,27 @@ def _(spark, sf):
 TOKENS = ["input_tokens", "cache_write_tokens", "cache_read_tokens", "output_tokens"]
 
 
-@query("s02_stream_snapshot_fold", with_ctes(["requests_t"], f"SELECT session_id, message_id, {', '.join(TOKENS)} FROM requests_t"))
+@query("s02_stream_snapshot_fold", with_ctes(["requests_t"], f"SELECT session_id, message_id, epoch_us(ts) AS ts_us, model, stop_reason, {', '.join(TOKENS)} FROM requests_t"))
 def _(spark, sf):
-    ev = flat_events(stream_of(spark, sf, "events")).filter("request_id IS NOT NULL").select("session_id", F.col("request_id").alias("message_id"), "ts", *TOKENS)
+    ev = flat_events(stream_of(spark, sf, "events")).filter("request_id IS NOT NULL").select("session_id", F.col("request_id").alias("message_id"), "line_no", "ts", "model", "stop_reason", *TOKENS)
     rows = twins.run_updates(twins.folded_requests(ev), *places(spark, "fold"))
-    return rows.groupBy("session_id", "message_id").agg(*[F.max(t).alias(t) for t in TOKENS])
+    newest = rows.groupBy("session_id", "message_id").agg(F.max_by(F.struct("ts", "model", "stop_reason", *TOKENS), "epoch").alias("r"))
+    return newest.select("session_id", "message_id", F.unix_micros("r.ts").alias("ts_us"), "r.model", "r.stop_reason", *[f"r.{t}" for t in TOKENS])
 
 
 @query("s03_stream_usage_by_day", """SELECT strftime(l, '%Y-%m-%d') AS day, event_type AS model, count(*) AS requests, cast(sum(cast(round(value) AS bigint)) AS bigint) AS output_tokens
-    FROM (SELECT *, timezone('America/New_York', timezone('UTC', ts)) AS l FROM events) WHERE date_trunc('day', l) + INTERVAL 1 DAY <= (SELECT max(timezone('America/New_York', timezone('UTC', ts))) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2""")
+    FROM (SELECT *, timezone('America/New_York', timezone('UTC', ts)) AS l FROM events) GROUP BY 1, 2""")
 def _(spark, sf):
     ev = stream_of(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("model"), F.round("value").cast("bigint").alias("output_tokens"))
-    return drained(spark, twins.usage_by_day(ev, "America/New_York"), "usage").select("day", "model", "requests", "output_tokens")
+    return twins.run_to_end(ev, lambda rows: twins.usage_by_day(rows, "America/New_York"), "ts", *places(spark, "usage")).select("day", "model", "requests", "output_tokens")
 
 
 @query("s04_stream_activity_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
     r AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM g)
-    SELECT user_id AS session_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 21600000000 AS end_us, count(*) AS n FROM r GROUP BY user_id, run HAVING max(ts) + INTERVAL 7 HOUR <= (SELECT max(ts) FROM events)""")
+    SELECT user_id AS session_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 21600000000 AS end_us, count(*) AS n FROM r GROUP BY user_id, run""")
 def _(spark, sf):
     ev = stream_of(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"))
-    out = drained(spark, twins.activity_sessions(ev, "6 hours", "1 hour"), "activity")
+    out = twins.run_to_end(ev, lambda rows: twins.activity_sessions(rows, "6 hours", "1 hour"), "ts", *places(spark, "activity"))
     return out.select("session_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 

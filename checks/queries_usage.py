@@ -159,9 +159,9 @@ DRIFT = "CASE WHEN requested_model IS NOT NULL AND model IS NOT NULL THEN NOT co
 
 @query("e06_spawn_observatory", with_ctes(["spawns_t"], f"""SELECT agent_id, well_dir, session_id, agent_type, requested_model, model, boot_tokens, boot_cached,
     requests, cast(output_tokens AS bigint) AS output_tokens, epoch_ms(last_ts) - epoch_ms(first_ts) AS duration_ms, {DRIFT} AS drift, {PARTIAL} AS partial_reason,
-    cast(open_requests AS bigint) AS open_requests, cast(tool_uses AS bigint) AS tool_uses FROM spawns_t WHERE agent_type = '1-URGENT'"""))
+    cast(open_requests AS bigint) AS open_requests, cast(tool_uses AS bigint) AS tool_uses FROM spawns_t"""))
 def _(spark, sf):
-    rows = sp.observatory(st.corpus(spark, sf, messages=False, spawns=True), agent="1-URGENT")
+    rows = sp.observatory(st.corpus(spark, sf, messages=False, spawns=True))
     return rows.select("agent_id", "well_dir", "session_id", "agent_type", "requested_model", "model", "boot_tokens", "boot_cached",
                        "requests", "output_tokens", "duration_ms", "drift", "partial_reason", "open_requests", "tool_uses")
 

@@ -151,3 +151,6 @@ SNIPPET_TOKENS = 24
 BM25_K1 = 1.2
 BM25_B = 0.75
 BM25_IDF_FLOOR = 1e-6
+
+# characters of a denial that a listing prints
+DENIAL_CUTS = {"reason": 240, "next_text": 600}

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from logloom.functions import fixed_values as fv
-from logloom.operators.sizes import small_side
 
 RATE_SCHEMA = ("prefix string, from_day date, rate_input double, rate_write5m double, "
                "rate_write1h double, rate_read double, rate_output double")
@@ -37,7 +36,7 @@ def rates_for(pairs: DataFrame, rates: DataFrame) -> DataFrame:
     dated = F.datediff("from_day", F.lit("1970-01-01").cast("date"))
     rank = F.struct(F.length("prefix"), valid, F.when(valid, dated).otherwise(-dated))
     picked = F.max_by(F.struct("rate_input", "rate_write5m", "rate_write1h", "rate_read", "rate_output"), rank)
-    return probe.join(small_side(rates), "prefix").groupBy("model", "rate_day").agg(picked.alias("r")).select(
+    return probe.join(rates, "prefix").groupBy("model", "rate_day").agg(picked.alias("r")).select(
         "model", "rate_day", "r.*")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -12,12 +14,15 @@ PACKED = T.StructType([T.StructField("parent", T.StringType()), T.StructField("c
 
 
 def _first_fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Lowest row whose end is at or before the start, in start order."""
-    ends: list[int] = []
+    """Lowest row whose end is at or before the start, in start order: one heap of the busy rows by end, one of the free."""
+    busy: list[tuple[int, int]] = []
+    free: list[int] = []
     rows = []
     for r in pdf.sort_values(["start_ms", "lane"]).itertuples(index=False):
-        row = next((i for i, e in enumerate(ends) if e <= r.start_ms), len(ends))
-        ends[row:row + 1] = [r.end_ms]
+        while busy and busy[0][0] <= r.start_ms:
+            heapq.heappush(free, heapq.heappop(busy)[1])
+        row = heapq.heappop(free) if free else len(busy)
+        heapq.heappush(busy, (r.end_ms, row))
         rows.append((r.parent, r.cluster, r.lane, row))
     return pd.DataFrame(rows, columns=["parent", "cluster", "lane", "row"])
 

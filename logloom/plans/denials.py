@@ -19,7 +19,7 @@ def matching_files(lines: DataFrame) -> DataFrame:
 def input_target(payload: Column) -> Column:
     """The one string worth comparing: a command, else a path, else the payload."""
     fields = [F.nullif(F.get_json_object(payload, f"$.{f}"), F.lit("")) for f in fv.TARGET_FIELDS]
-    return F.coalesce(*fields, F.substring(payload, 1, 300), F.lit(""))
+    return F.coalesce(*fields, payload, F.lit(""))
 
 
 def record_steps(records: DataFrame) -> DataFrame:
@@ -61,13 +61,18 @@ def denial_rows(steps: DataFrame) -> DataFrame:
     return (rows.join(calls, ["file_path", "result_id"], "left").withColumn("nid", F.col("next_call.id")).join(denied, ["file_path", "nid"], "left")
             .select("file_path", "session_id", "line_no", "kind", "ts", "cwd", env.repo_name(F.col("cwd")).alias("repo"),
                     F.coalesce("src.tool", F.lit("?")).alias("tool"), F.coalesce("src.cmd", F.lit("")).alias("cmd"),
-                    F.substring(F.coalesce("reason", F.lit("")), 1, 240).alias("reason"),
+                    F.coalesce("reason", F.lit("")).alias("reason"),
                     F.coalesce("next_call.tool", F.lit("")).alias("next_tool"), F.coalesce("next_call.cmd", F.lit("")).alias("next_cmd"),
                     F.coalesce("next_denied", F.lit("")).alias("next_denied"),
-                    F.when(before, F.substring(fold_space(F.coalesce("next_said.said", F.lit(""))), 1, 600)).otherwise("").alias("next_text"),
+                    F.when(before, fold_space(F.coalesce("next_said.said", F.lit("")))).otherwise("").alias("next_text"),
                     human.alias("human_first")))
 
 
+def page(rows: DataFrame) -> DataFrame:
+    """The rows as a listing prints them, long values cut; every count and test works on the whole ones."""
+    return rows.withColumns({c: F.substring(c, 1, n) for c, n in fv.DENIAL_CUTS.items()})
+
+
 def in_window(rows: DataFrame, since: str | None = None, until: str | None = None, kind: str | None = None) -> DataFrame:
     day = F.date_format("ts", "yyyy-MM-dd")
     rows = rows.filter(day >= since) if since else rows

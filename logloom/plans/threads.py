@@ -60,9 +60,12 @@ def thread_rows(c: Corpus, keyed: DataFrame) -> DataFrame:
     # halves without an id cannot pair; kept out of the join so they never share one null key
     paired = sent.filter("msg_id IS NOT NULL").join(copies.filter("m IS NOT NULL"), F.col("msg_id") == F.col("m"), "full")
     both = paired.unionByName(sent.filter("msg_id IS NULL"), True).unionByName(copies.filter("m IS NULL"), True)
-    both = both.join(holders, "to_name", "left")
-    sender = holders.withColumnsRenamed({"to_name": "peer", "named_key": "peer_key"})
-    both = both.join(sender, "peer", "left").withColumns({
+    # rows without a name find nothing; a key of their own keeps them from meeting in one task
+    own = F.concat(F.lit("\x00"), F.xxhash64("msg_id", "m", "sent", "received").cast("string"))
+    both = both.withColumns({"to_at": F.coalesce("to_name", own), "peer_at": F.coalesce("peer", own)})
+    both = both.join(holders.withColumnRenamed("to_name", "to_at"), "to_at", "left")
+    sender = holders.withColumnsRenamed({"to_name": "peer_at", "named_key": "peer_key"})
+    both = both.join(sender, "peer_at", "left").withColumns({
         "from_key": F.coalesce("from_key", "peer_key"), "to_key": F.coalesce("to_key", "named_key")})
     landed = (F.when(F.col("received").isNotNull(), F.when(F.col("mid"), "mid-turn").otherwise("turn"))
               .when(~F.col("delivered"), "lost").otherwise("unseen"))

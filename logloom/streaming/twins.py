@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -23,17 +23,25 @@ def log_stream(spark: SparkSession, root: str, files_per_trigger: int | None = N
 
 
 def ingest(stream: DataFrame, write_batch, checkpoint: str):
-    """Run a batch ingest on every micro-batch of closed files."""
+    """Run a batch ingest on every micro-batch of closed files; write_batch may see an epoch again after a failure (see write_epoch)."""
     def each(batch: DataFrame, epoch: int) -> None:
         write_batch(batch.withColumn("row_seq", F.monotonically_increasing_id()), epoch)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def write_epoch(rows: DataFrame, epoch: int, folder: str) -> None:
+    """Rows of one micro-batch into a partition of its own; a batch that is tried again replaces what it left."""
+    rows.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
+
+
 def folded_requests(snapshots: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Snapshot fold in update mode (S2): the maximum of each token class per request."""
+    """Snapshot fold in update mode (S2): maximum of each token class, first instant, first known model, last known stop per request."""
     tokens = [c for c in snapshots.columns if c.endswith("_tokens")]
-    return snapshots.withWatermark("ts", delay).groupBy("session_id", "message_id").agg(*[F.max(t).alias(t) for t in tokens])
+    known = lambda c: F.when(F.col(c).isNotNull(), F.col("line_no"))
+    return snapshots.withWatermark("ts", delay).groupBy("session_id", "message_id").agg(
+        F.min_by("ts", "line_no").alias("ts"), F.min_by("model", known("model")).alias("model"),
+        F.max_by("stop_reason", known("stop_reason")).alias("stop_reason"), *[F.max(t).alias(t) for t in tokens])
 
 
 def usage_by_day(requests: DataFrame, tz: str = "UTC", delay: str = "1 day") -> DataFrame:
@@ -58,11 +66,17 @@ def _in_order(rows: Iterator[pd.DataFrame], order: str, value: str):
 POLL_ALERT = T.StructType([T.StructField("session_id", T.StringType()), T.StructField("line_no", T.LongType()), T.StructField("ref", T.StringType())])
 
 
+STATE_DAYS = 30
+
+
 class PollGuard(StatefulProcessor):
-    """Alert on every third consecutive read of one task file (S5). State: the current run only."""
+    """Alert on every third consecutive read of one task file (S5). State: the current run only, gone after `days` without a call."""
+
+    def __init__(self, days: int = STATE_DAYS):
+        self.days = days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.run = handle.getValueState("run", "ref string, n bigint")
+        self.run = handle.getValueState("run", "ref string, n bigint", self.days * 86_400_000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         ref, n = self.run.get() if self.run.exists() else (None, 0)
@@ -80,9 +94,9 @@ class PollGuard(StatefulProcessor):
         pass
 
 
-def poll_alerts(calls: DataFrame) -> DataFrame:
+def poll_alerts(calls: DataFrame, days: int = STATE_DAYS) -> DataFrame:
     """calls(session_id, line_no, ref), in order within a trigger."""
-    return calls.groupBy("session_id").transformWithStateInPandas(PollGuard(), POLL_ALERT, "Append", "None")
+    return calls.groupBy("session_id").transformWithStateInPandas(PollGuard(days), POLL_ALERT, "Append", "ProcessingTime")
 
 
 RESET_ALERT = T.StructType([T.StructField("kind", T.StringType()), T.StructField("window_id", T.StringType()), T.StructField("seq", T.LongType()),
@@ -90,10 +104,13 @@ RESET_ALERT = T.StructType([T.StructField("kind", T.StringType()), T.StructField
 
 
 class ResetWatch(StatefulProcessor):
-    """Alert on every drop of at least five points inside one window (S6). State: the last reading."""
+    """Alert on every drop of at least five points inside one window (S6). State: the last reading, gone after `days` without one."""
+
+    def __init__(self, days: int = STATE_DAYS):
+        self.days = days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "pct double")
+        self.last = handle.getValueState("last", "pct double", self.days * 86_400_000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         was = self.last.get()[0] if self.last.exists() else None
@@ -109,9 +126,9 @@ class ResetWatch(StatefulProcessor):
         pass
 
 
-def reset_alerts(readings: DataFrame) -> DataFrame:
+def reset_alerts(readings: DataFrame, days: int = STATE_DAYS) -> DataFrame:
     """readings(kind, window_id, seq, pct): keyed by window, so one kind's history is split over its windows."""
-    return readings.groupBy("kind", "window_id").transformWithStateInPandas(ResetWatch(), RESET_ALERT, "Append", "None")
+    return readings.groupBy("kind", "window_id").transformWithStateInPandas(ResetWatch(days), RESET_ALERT, "Append", "ProcessingTime")
 
 
 def paired_messages(acks: DataFrame, copies: DataFrame, delay: str = "1 hour", reach: str = "1 day") -> DataFrame:
@@ -128,9 +145,11 @@ def deduplicated_ledger(rows: DataFrame, delay: str = "7 days") -> DataFrame:
 
 
 def run_updates(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
-    """Drain an update-mode stream: every batch's changed rows land in Parquet, marked with the batch."""
+    """Drain an update-mode stream: every batch's changed rows land in Parquet, in a partition per batch."""
+    write_epoch(stream.sparkSession.createDataFrame([], stream.schema), -1, folder)  # a stream without rows reads as empty
+
     def each(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(folder)
+        write_epoch(batch, epoch, folder)
 
     schema = T.StructType(stream.schema.fields + [T.StructField("epoch", T.LongType())])
     q = stream.writeStream.foreachBatch(each).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -144,3 +163,19 @@ def run_to_folder(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(folder)
+
+
+def run_to_end(rows: DataFrame, plan: Callable[[DataFrame], DataFrame], time: str, folder: str, checkpoint: str) -> DataFrame:
+    """Drain rows through an append-mode plan over event time, the last windows included.
+
+    Append mode keeps a window back until the watermark has passed it. When the rows are
+    drained, the same query goes on with one closing row that is null but for a far `time`: the
+    watermark passes every window of the rows, and the closing row's own window stays open.
+    """
+    spark, marks = rows.sparkSession, f"{folder}-marks"
+    spark.createDataFrame([], rows.schema).write.parquet(marks)
+    both = rows.unionByName(spark.readStream.schema(rows.schema).parquet(marks))
+    run_to_folder(plan(both), folder, checkpoint)
+    far = {time: F.lit("9999-01-01").cast("timestamp")}
+    spark.range(1).select(*[far.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema]).write.mode("append").parquet(marks)
+    return run_to_folder(plan(both), folder, checkpoint)

@@ -69,14 +69,23 @@ POLL_ALERT = T.StructType([T.StructField("session_id", T.StringType()), T.Struct
 STATE_DAYS = 30
 
 
+def _kept(handle: StatefulProcessorHandle, name: str, schema: str, days: int | None):
+    return handle.getValueState(name, schema) if days is None else handle.getValueState(name, schema, days * 86_400_000)
+
+
+def _alerting(rows: DataFrame, keys: list[str], processor: StatefulProcessor, schema: T.StructType, days: int | None) -> DataFrame:
+    """With `days`, state that old goes; such a stream looks for it in every trigger and does not end by itself, so a drain passes None."""
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "None" if days is None else "ProcessingTime")
+
+
 class PollGuard(StatefulProcessor):
     """Alert on every third consecutive read of one task file (S5). State: the current run only, gone after `days` without a call."""
 
-    def __init__(self, days: int = STATE_DAYS):
+    def __init__(self, days: int | None = STATE_DAYS):
         self.days = days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.run = handle.getValueState("run", "ref string, n bigint", self.days * 86_400_000)
+        self.run = _kept(handle, "run", "ref string, n bigint", self.days)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         ref, n = self.run.get() if self.run.exists() else (None, 0)
@@ -94,9 +103,9 @@ class PollGuard(StatefulProcessor):
         pass
 
 
-def poll_alerts(calls: DataFrame, days: int = STATE_DAYS) -> DataFrame:
+def poll_alerts(calls: DataFrame, days: int | None = STATE_DAYS) -> DataFrame:
     """calls(session_id, line_no, ref), in order within a trigger."""
-    return calls.groupBy("session_id").transformWithStateInPandas(PollGuard(days), POLL_ALERT, "Append", "ProcessingTime")
+    return _alerting(calls, ["session_id"], PollGuard(days), POLL_ALERT, days)
 
 
 RESET_ALERT = T.StructType([T.StructField("kind", T.StringType()), T.StructField("window_id", T.StringType()), T.StructField("seq", T.LongType()),
@@ -106,11 +115,11 @@ RESET_ALERT = T.StructType([T.StructField("kind", T.StringType()), T.StructField
 class ResetWatch(StatefulProcessor):
     """Alert on every drop of at least five points inside one window (S6). State: the last reading, gone after `days` without one."""
 
-    def __init__(self, days: int = STATE_DAYS):
+    def __init__(self, days: int | None = STATE_DAYS):
         self.days = days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "pct double", self.days * 86_400_000)
+        self.last = _kept(handle, "last", "pct double", self.days)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         was = self.last.get()[0] if self.last.exists() else None
@@ -126,9 +135,9 @@ class ResetWatch(StatefulProcessor):
         pass
 
 
-def reset_alerts(readings: DataFrame, days: int = STATE_DAYS) -> DataFrame:
+def reset_alerts(readings: DataFrame, days: int | None = STATE_DAYS) -> DataFrame:
     """readings(kind, window_id, seq, pct): keyed by window, so one kind's history is split over its windows."""
-    return readings.groupBy("kind", "window_id").transformWithStateInPandas(ResetWatch(days), RESET_ALERT, "Append", "ProcessingTime")
+    return _alerting(readings, ["kind", "window_id"], ResetWatch(days), RESET_ALERT, days)
 
 
 def paired_messages(acks: DataFrame, copies: DataFrame, delay: str = "1 hour", reach: str = "1 day") -> DataFrame:

@@ -16,8 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
-    """Python workers get few rows at once: texts may be very long."""
+    """Python workers get few rows at once: texts may be very long.
+
+    Join keys here are hashes worked out in the same plan, and never null; an inferred not-null
+    filter would work them out a second time (in sharding: one hash per row and shard).
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
     return spark
 
 

@@ -9,9 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # the reports chain many computed columns; inferring constraints over them
-    # costs seconds of planning per query and finds no filter worth having
-    "spark.sql.constraintPropagation.enabled": "false",
+    # reports want inferred filters, also after a query of the session that did without
+    "spark.sql.constraintPropagation.enabled": "true",
 }
 
 

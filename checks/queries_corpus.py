@@ -358,6 +358,24 @@ def _(spark, sf):
     return rf.redacted(rows, "/home/me")
 
 
+_BRIEF = "concat('/home/me/', text)"
+
+
+@query("a20_redacted_nested", f"""SELECT doc_id, 'https://example.invalid/link' AS href, CASE WHEN doc_id % 2 = 0 THEN 'frame' ELSE source END AS title, CASE WHEN doc_id % 2 = 0 THEN 'frame.html' ELSE doc_id::VARCHAR END AS id,
+    CASE WHEN length({_BRIEF}) > 200 THEN concat(replace(substr({_BRIEF}, 1, 48), '/home/me', '/Users/u'), '…') ELSE replace({_BRIEF}, '/home/me', '/Users/u') END AS arg,
+    'question' AS question, '/Users/u/a' AS kept, 1 AS n_keys, 'kind,title,href,id' AS fields FROM documents""")
+def _(spark, sf):
+    kind = F.when(F.col("doc_id") % 2 == 0, "frame").otherwise("shell")
+    child = F.struct(kind.alias("kind"), F.col("source").alias("title"), F.col("text").alias("href"), F.col("doc_id").cast("string").alias("id"), F.col("text").alias("api_secret"))
+    state = F.struct(F.array(child).alias("children"), F.struct(F.array(F.concat(F.lit("/home/me/"), "text")).alias("args")).alias("launch"),
+                     F.array(F.struct(F.col("text").alias("question"))).alias("questions"), F.create_map(F.lit("at"), F.lit("/home/me/a"), F.lit("Password"), F.col("text")).alias("env"))
+    rows = table(spark, sf, "documents").select("doc_id", state.alias("state"))
+    typed = rf.redacted(rows, "/home/me").select("doc_id", F.col("state.children")[0].alias("child"), F.col("state.launch.args")[0].alias("arg"),
+                                                F.col("state.questions")[0]["question"].alias("question"), F.col("state.env").alias("env"))
+    return typed.select("doc_id", "child.href", "child.title", "child.id", "arg", "question", F.col("env")["at"].alias("kept"), F.size("env").alias("n_keys"),
+                        F.array_join(F.json_object_keys(F.to_json("child")), ",").alias("fields"))
+
+
 @query("a21_table_sink", with_ctes(["requests_t"], "SELECT session_id, message_id, output_tokens FROM requests_t"))
 def _(spark, sf):
     import uuid

@@ -141,6 +141,11 @@ NOTE_TOPICS = {
 # --- redaction --------------------------------------------------------------
 SECRET_KEYS = r"(?i)auth$|^bridgeOwner|^providerEnv$|^output$|^token$|secret|password"
 PROSE_KEYS = ["intent", "detail", "needs", "label", "question", "header", "description"]
+ARGUMENT_KEYS = ["args", "respawnFlags"]
+ARGUMENT_CHARS, ARGUMENT_HEAD, TITLE_CHARS = 200, 48, 80
+LINK_KEY, LINK_STANDIN = "href", "https://example.invalid/link"
+FRAME_KIND = "frame"
+FRAME_STANDINS = {"id": "frame.html", "title": "frame"}
 HOME_STANDIN = "/Users/u"
 HOME_SLUG_STANDIN = "-Users-u"
 

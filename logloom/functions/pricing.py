@@ -10,6 +10,8 @@ RATE_SCHEMA = ("prefix string, from_day date, rate_input double, rate_write5m do
                "rate_write1h double, rate_read double, rate_output double")
 TOKENS = ["input_tokens", "cache_write_tokens", "cache_write_1h_tokens", "cache_read_tokens",
           "output_tokens", "thinking_tokens"]
+RATE_NAMES = ["rate_input", "rate_write5m", "rate_write1h", "rate_read", "rate_output"]
+MAP_RATES = 1_000
 
 
 def rate_table(spark: SparkSession, rows=None) -> DataFrame:
@@ -35,7 +37,7 @@ def rates_for(pairs: DataFrame, rates: DataFrame) -> DataFrame:
     # among valid rates the latest day ranks first, else the earliest day
     dated = F.datediff("from_day", F.lit("1970-01-01").cast("date"))
     rank = F.struct(F.length("prefix"), valid, F.when(valid, dated).otherwise(-dated))
-    picked = F.max_by(F.struct("rate_input", "rate_write5m", "rate_write1h", "rate_read", "rate_output"), rank)
+    picked = F.max_by(F.struct(*RATE_NAMES), rank)
     return probe.join(rates, "prefix").groupBy("model", "rate_day").agg(picked.alias("r")).select(
         "model", "rate_day", "r.*")
 
@@ -53,19 +55,39 @@ def usd_columns(prefix: str = "") -> dict[str, Column]:
     }
 
 
+def with_rates(rows: DataFrame, rates: DataFrame) -> DataFrame:
+    """rows with the rates of their (model, rate_day), picked as rates_for does, without a join.
+
+    The rate table is read once, as one array beside the rows: for at most MAP_RATES rows.
+    """
+    entry = F.struct("prefix", "from_day", F.struct(*RATE_NAMES).alias("rates"))
+    table = rates.where(F.length("prefix") > 0).agg(F.collect_list(entry).alias("t")).scalar()
+
+    def ranked(r: Column) -> Column:
+        valid = F.col("rate_day").isNull() | (r["from_day"] <= F.col("rate_day"))
+        dated = F.datediff(r["from_day"], F.lit("1970-01-01").cast("date"))
+        return F.struct(F.length(r["prefix"]).alias("n"), valid.alias("valid"), F.when(valid, dated).otherwise(-dated).alias("day"), r["rates"].alias("rates"))
+
+    fitting = F.filter("__table", lambda r: F.startswith(F.col("model"), r["prefix"]))
+    best = F.array_max(F.transform(fitting, ranked))["rates"]
+    return rows.withColumn("__table", table).withColumn("__best", best).select(*rows.columns, "__best.*")
+
+
 def priced(rows: DataFrame, rates: DataFrame) -> DataFrame:
     """rows(model, rate_day, token columns) plus usd_* per class and list_usd (NULL = unpriced).
 
-    Only the distinct (model, day) pairs meet the rate table; they come back as
-    a small dimension Spark may broadcast after measuring it.
+    A rate table of measured size is an expression over the row, so rows are read once and
+    never shuffled on their model; beyond it, the distinct (model, day) pairs meet the table
+    and come back as a dimension.
     """
-    dim = rates_for(rows.select("model", "rate_day"), rates).withColumnsRenamed(
-        {"model": "rm", "rate_day": "rd"})
-    joined = rows.join(dim, (F.col("model") == F.col("rm")) & F.col("rate_day").eqNullSafe(F.col("rd")), "left")
+    if rates.limit(MAP_RATES + 1).count() <= MAP_RATES:
+        joined = with_rates(rows, rates)
+    else:
+        dim = rates_for(rows.select("model", "rate_day"), rates).withColumnsRenamed({"model": "rm", "rate_day": "rd"})
+        joined = rows.join(dim, (F.col("model") == F.col("rm")) & F.col("rate_day").eqNullSafe(F.col("rd")), "left")
     out = joined.withColumns(usd_columns())
     total = F.col("usd_input") + F.col("usd_cache_write") + F.col("usd_cache_read") + F.col("usd_output")
-    drop = ["rm", "rd", "rate_input", "rate_write5m", "rate_write1h", "rate_read", "rate_output"]
-    return out.withColumn("list_usd", total).drop(*drop)
+    return out.withColumn("list_usd", total).drop("rm", "rd", *RATE_NAMES)
 
 
 def poisoned_sum(x: Column) -> Column:

@@ -1,7 +1,7 @@
 """Token and cost profile: main thread, sub-agents, splits and totals.
 
-Cells (key, model, UTC day) are summed first, so only cells, never requests,
-meet the rate table; a row's dollars are NULL when any of its cells is unpriced.
+Cells (key, model, UTC day) are summed first, so only cells, never requests, are
+priced; grouping sets count sessions in the same pass over the requests. A row's dollars are NULL when any of its cells is unpriced.
 """
 
 from __future__ import annotations
@@ -24,15 +24,21 @@ def _key(by: str, tz: str) -> Column:
             "model": F.coalesce("model", F.lit("?"))}[by]
 
 
-def main_requests(c: Corpus, **scope) -> DataFrame:
+def main_requests(c: Corpus, by: str = "well", **scope) -> DataFrame:
+    """Requests in scope; they meet their sessions only where the well is asked for."""
     well, exact = scope.pop("well", None), scope.pop("exact", False)
+    requests = scoped(c.requests, **scope)
+    if by != "well" and not well:
+        return requests
     sessions = in_wells(c.sessions.select("session_id", "well"), c.wells, "well", well, exact)
-    return scoped(c.requests, **scope).join(sessions, "session_id")
+    return requests.join(sessions, "session_id")
 
 
-def sub_requests(c: Corpus, **scope) -> DataFrame:
+def sub_requests(c: Corpus, by: str = "well", **scope) -> DataFrame:
     """Sub-agent requests under their parent session, in the well their log sits in."""
     well, exact = scope.pop("well", None), scope.pop("exact", False)
+    if by != "well" and not well:
+        return scoped(c.spawn_requests, **scope)
     spawns = in_wells(c.spawns.select("agent_id", F.col("well_dir").alias("well")), c.wells, "well", well, exact)
     return scoped(c.spawn_requests, **scope).join(spawns, "agent_id")
 
@@ -46,20 +52,24 @@ def cells(requests: DataFrame, by: str, rates: DataFrame, tz: str = "UTC", keys:
 
 def main_rows(c: Corpus, by: str, tz: str = "UTC", **scope) -> DataFrame:
     """Per key: requests, distinct sessions, token sums and list price."""
-    reqs = main_requests(c, tz=tz, **scope)
-    priced = cells(reqs, by, c.rates, tz)
-    rows = priced.groupBy("key").agg(
-        F.sum("requests").alias("requests"), *[F.sum(t).alias(t) for t in SUMS],
-        pricing.round2(pricing.poisoned_sum(F.col("list_usd"))).alias("list_usd"))
-    if by == "session":
-        return rows.withColumn("sessions", F.lit(1).cast("bigint"))
-    # distinct sessions cannot be summed over cells: recount per key
-    distinct = reqs.groupBy(_key(by, tz).alias("key")).agg(F.count_distinct("session_id").alias("sessions"))
-    return rows.join(distinct, "key")
+    reqs = main_requests(c, by, tz=tz, **scope).withColumns({"key": _key(by, tz), "rate_day": utc_day(F.col("ts"))})
+    # one pass gives the cells, which are priced as sums, and the distinct sessions of each key
+    sets = reqs.groupingSets([["key", "model", "rate_day"], ["key", "session_id"]], "key", "model", "rate_day", "session_id")
+    grouped = sets.agg(F.grouping("session_id").alias("cell"), F.count("*").alias("requests"), *[F.sum(t).alias(t) for t in SUMS])
+
+    def of_cells(name: str) -> Column:
+        return F.when(F.col("cell") == 1, F.col(name))
+
+    usd = of_cells("list_usd")
+    priced_all = F.count(usd) == F.sum("cell")
+    return pricing.priced(grouped, c.rates).groupBy("key").agg(
+        *[F.sum(of_cells(n)).alias(n) for n in ("requests", *SUMS)],
+        pricing.round2(F.when(priced_all, F.coalesce(F.sum(usd), F.lit(0.0)))).alias("list_usd"),
+        F.count(F.when(F.col("cell") == 0, F.col("session_id"))).alias("sessions"))
 
 
 def sub_rows(c: Corpus, by: str, tz: str = "UTC", **scope) -> DataFrame:
-    priced = _billed(cells(sub_requests(c, tz=tz, **scope), by, c.rates, tz))
+    priced = _billed(cells(sub_requests(c, by, tz=tz, **scope), by, c.rates, tz))
     return priced.groupBy("key").agg(
         F.sum("requests").alias("spawn_requests"), F.sum("cache_write_tokens").alias("spawn_cache_write"),
         F.sum("cache_read_tokens").alias("spawn_cache_read"), F.sum("output_tokens").alias("spawn_request_output"),
@@ -124,25 +134,25 @@ def totals(c: Corpus, by: str = "day", tz: str = "UTC", subagents: bool = False,
     folded = rows.agg(*out)
     if subagents:
         folded = folded.withColumn("all_in_usd", pricing.round2(F.col("list_usd") + F.col("spawn_usd")))
-    distinct = main_requests(c, tz=tz, **scope).agg(F.count_distinct("session_id").alias("sessions"))
+    distinct = main_requests(c, "model", tz=tz, **scope).agg(F.count_distinct("session_id").alias("sessions"))
     return folded.withColumn("sessions", distinct.scalar())
 
 
 def unpriced(c: Corpus, subagents: bool = False, **scope) -> DataFrame:
     """Model ids with no rate, sorted."""
-    main = cells(main_requests(c, **scope), "model", c.rates).filter(F.col("list_usd").isNull())
+    main = cells(main_requests(c, "model", **scope), "model", c.rates).filter(F.col("list_usd").isNull())
     names = main.select(F.coalesce("model", F.lit("?")).alias("model"))
     if subagents:
-        sub = _billed(cells(sub_requests(c, **scope), "model", c.rates)).filter(F.col("sub_usd").isNull())
+        sub = _billed(cells(sub_requests(c, "model", **scope), "model", c.rates)).filter(F.col("sub_usd").isNull())
         names = names.union(sub.select(F.coalesce("model", F.lit("?"))))
     return names.distinct().orderBy("model")
 
 
 def class_split(c: Corpus, by: str, tz: str = "UTC", subagents: bool = False, **scope) -> DataFrame:
     """Dollars of a row by token class (priced cells only), both sides when asked."""
-    rows = cells(main_requests(c, tz=tz, **scope), by, c.rates, tz)
+    rows = cells(main_requests(c, by, tz=tz, **scope), by, c.rates, tz)
     if subagents:
-        rows = rows.unionByName(cells(sub_requests(c, tz=tz, **scope), by, c.rates, tz))
+        rows = rows.unionByName(cells(sub_requests(c, by, tz=tz, **scope), by, c.rates, tz))
     names = ["usd_input", "usd_cache_write", "usd_cache_read", "usd_output"]
     return rows.groupBy("key").agg(*[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names])
 
@@ -150,11 +160,11 @@ def class_split(c: Corpus, by: str, tz: str = "UTC", subagents: bool = False, **
 def model_split(c: Corpus, by: str, tz: str = "UTC", subagents: bool = False, **scope) -> DataFrame:
     """One row per (key, model): requests and dollars of each side."""
     named = lambda df: df.withColumn("model", F.coalesce("model", F.lit("?")))
-    main = named(cells(main_requests(c, tz=tz, **scope), by, c.rates, tz)).groupBy("key", "model").agg(
+    main = named(cells(main_requests(c, by, tz=tz, **scope), by, c.rates, tz)).groupBy("key", "model").agg(
         F.sum("requests").alias("requests"), pricing.poisoned_sum(F.col("list_usd")).alias("list_usd"))
     if not subagents:
         return main
-    sub = _billed(cells(sub_requests(c, tz=tz, **scope), by, c.rates, tz)).filter("billed OR list_usd IS NOT NULL")
+    sub = _billed(cells(sub_requests(c, by, tz=tz, **scope), by, c.rates, tz)).filter("billed OR list_usd IS NOT NULL")
     sub = named(sub).groupBy("key", "model").agg(
         F.sum("requests").alias("spawn_requests"), pricing.poisoned_sum(F.col("list_usd")).alias("spawn_usd"))
     both = main.withColumn("m", F.lit(True)).join(sub.withColumn("s", F.lit(True)), ["key", "model"], "full")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+import re
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from logloom.functions import fixed_values as fv
 from logloom.schemas import SCHEMA_VERSION, Corpus
@@ -112,23 +114,64 @@ def purge(c: Corpus, session: str) -> Corpus:
     return c.with_tables(**keep)
 
 
-def redacted(rows: DataFrame, home: str, text: str = "text") -> DataFrame:
-    """A copy without secrets or prose: secret-like keys dropped, prose replaced by its key name
-    (empty stays empty), home paths rewritten, long text kept as its length only."""
-    slugged = "".join(ch if ch.isalnum() and ch.isascii() else "-" for ch in home)
-    out = {}
+class _Redaction:
+    """Rules by key name, applied at every depth of a typed value."""
+
+    def __init__(self, home: str):
+        self.home = home
+        self.slug = "".join(ch if ch.isalnum() and ch.isascii() else "-" for ch in home)
+
+    def rewritten(self, text: Column) -> Column:
+        at_home = F.replace(text, F.lit(self.home), F.lit(fv.HOME_STANDIN))
+        return F.replace(at_home, F.lit(self.slug), F.lit(fv.HOME_SLUG_STANDIN))
+
+    def text(self, text: Column, key: Column, frame: Column) -> Column:
+        """A string under `key`; what is cut is cut before paths are rewritten."""
+        def cut(over: int, to: int) -> Column:
+            return F.when(F.char_length(text) > over, F.concat(F.substring(text, 1, to), F.lit("…"))).otherwise(text)
+
+        out = F.when(text.isNull(), F.lit(None).cast("string")).when(key == fv.LINK_KEY, fv.LINK_STANDIN)
+        for name, standin in fv.FRAME_STANDINS.items():
+            out = out.when(frame & (key == name), standin)
+        out = out.when(key.isin(fv.PROSE_KEYS), F.when(text == "", "").otherwise(key))
+        out = out.when(key.isin(fv.ARGUMENT_KEYS), self.rewritten(cut(fv.ARGUMENT_CHARS, fv.ARGUMENT_HEAD)))
+        out = out.when(key == "title", self.rewritten(cut(fv.TITLE_CHARS, fv.TITLE_CHARS)))
+        return out.otherwise(self.rewritten(text))
+
+    def value(self, value: Column, kind: T.DataType, key: Column, frame: Column) -> Column:
+        if isinstance(kind, T.StringType):
+            return self.text(value, key, frame)
+        if isinstance(kind, T.ArrayType):
+            return F.transform(value, lambda v: self.value(v, kind.elementType, key, F.lit(False)))
+        if isinstance(kind, T.MapType):
+            open_ = F.map_filter(value, lambda k, _: ~k.rlike(fv.SECRET_KEYS))
+            return F.transform_values(open_, lambda k, v: self.value(v, kind.valueType, k, F.lit(False)))
+        if isinstance(kind, T.StructType):
+            own = [f for f in kind.fields if not re.search(fv.SECRET_KEYS, f.name)]
+            framed = F.coalesce(value["kind"] == fv.FRAME_KIND, F.lit(False)) if "kind" in kind.names else F.lit(False)
+            parts = [self.value(value[f.name], f.dataType, F.lit(f.name), framed).alias(f.name) for f in own]
+            return F.when(value.isNotNull(), F.struct(*parts)) if parts else F.lit(None)
+        return value
+
+
+def redacted(rows: DataFrame, home: str, text: str = "text", json: dict[str, str] | None = None) -> DataFrame:
+    """A copy without secrets or prose, at any depth of structs, arrays and maps: secret-like keys
+    dropped, prose replaced by its key name (empty stays empty), links and the names of frames by
+    stand-ins, launch arguments and titles cut, home paths rewritten, long text kept as its length.
+
+    `json` names columns that hold JSON text and their types; they come back as JSON of those
+    fields, so what the type does not name is left out too. Text that is no such JSON becomes an empty object.
+    """
+    rules, out = _Redaction(home), {}
     for f in rows.schema.fields:
-        import re
-
-        if re.search(fv.SECRET_KEYS[4:], f.name, re.I):
+        if re.search(fv.SECRET_KEYS, f.name):
             continue
-        col = F.col(f.name)
-        if f.dataType.typeName() != "string":
-            out[f.name] = col
-        elif f.name == text:
+        col = F.col(f"`{f.name}`")
+        if f.name == text and isinstance(f.dataType, T.StringType):
             out[f"{text}_chars"] = F.length(col)
-        elif f.name in fv.PROSE_KEYS:
-            out[f.name] = F.when(col == "", "").when(col.isNotNull(), f.name)
+        elif json and f.name in json:
+            kind = T.DataType.fromDDL(json[f.name])
+            out[f.name] = F.to_json(rules.value(F.from_json(col, kind), kind, F.lit(f.name), F.lit(False)))
         else:
-            out[f.name] = F.replace(F.replace(col, F.lit(home), F.lit(fv.HOME_STANDIN)), F.lit(slugged), F.lit(fv.HOME_SLUG_STANDIN))
+            out[f.name] = rules.value(col, f.dataType, F.lit(f.name), F.lit(False))
     return rows.select(*[e.alias(n) for n, e in out.items()])

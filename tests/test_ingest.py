@@ -179,3 +179,21 @@ def test_strings_that_look_like_lists_stay_texts(spark):
     assert [rows[i] for i in range(5, 10)] == [("tool", t) for t in said]
     assert rows[10] == ("tool", "one\ntwo") and rows[11] == (None, None)
     assert rows[12] == ("prompt", said[1]) and rows[13] == ("prompt", "listed")
+
+
+def test_rates_as_an_expression_equal_the_join(spark, monkeypatch):
+    pairs = [(m, d) for m in ("claude-fable-5-1-x", "claude-fable-5", "claude-opus-4-8", "mystery", "", None) for d in ("2025-12-01", "2026-09-02", "2026-12-01", None)]
+    rows = spark.createDataFrame(pairs, "model string, d string").select("model", F.to_date("d").alias("rate_day"), *[F.lit(1_000_000).cast("bigint").alias(t) for t in pricing.TOKENS])
+    shown = lambda: sorted(map(str, pricing.priced(rows, pricing.rate_table(spark)).collect()))
+    picked = shown()
+    monkeypatch.setattr(pricing, "MAP_RATES", 0)
+    assert picked == shown() and len(picked) == len(pairs)
+
+
+def test_redaction_reaches_json_text(spark):
+    said = {"detail": "the plan", "token": "t", "at": {"path": "/home/me/x"}, "tags": ["-home-me-y"], "more": 1}
+    rows = spark.createDataFrame([(json.dumps(said),), ("no json",), (None,)], "state string")
+    kind = "struct<detail:string,token:string,at:struct<path:string>,tags:array<string>>"
+    got = [r.state for r in rf.redacted(rows, "/home/me", json={"state": kind}).collect()]
+    assert json.loads(got[0]) == {"detail": "detail", "at": {"path": "/Users/u/x"}, "tags": ["-Users-u-y"]}
+    assert got[1:] == ["{}", None]

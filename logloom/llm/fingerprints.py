@@ -2,9 +2,10 @@
 
 A paragraph (the text between newlines) hashes to a wide vector: four 32-bit lanes of two
 independent 64-bit hashes of it, and 64 lanes in which every pair of neighbouring words of
-the paragraph adds +1 or -1 by the bits of its hash. A document's fingerprint is the sum of
-its paragraphs' vectors, modulo 2^32 in the first four lanes and modulo 2^16 in the others.
-So the order of paragraphs does not matter, and paragraphs can be added to or taken from a
+the paragraph adds +1 or -1 by the bits of its hash, whatever space is between them. Pairs
+overlap: n words are n - 1 pairs; a paragraph of one word adds that word. A document's
+fingerprint is the sum of its paragraphs' vectors, modulo 2^32 in the first four lanes and
+modulo 2^16 in the others. So the order of paragraphs does not matter, and paragraphs can be added to or taken from a
 fingerprint without the text (`plus`, `minus`). Equal multisets of paragraphs have equal
 fingerprints; the +-1 lanes of a difference estimate how many word pairs two documents do
 not share, which gives `likeness`.
@@ -22,7 +23,11 @@ from logloom.operators.sizes import small_side
 from logloom.operators.stages import staged
 
 EXACT, SIGNS = 4, 64
-WORD_PAIR = r"[^\x20\x09-\x0D]+(?:[\x20\x09\x0B-\x0D]+[^\x20\x09-\x0D]+)?"
+_W, _S = r"[^\x20\x09-\x0D]", r"[\x20\x09\x0B-\x0D]"
+#: Every word is a match. Its group 1 is only looked at, not used up: the word and the next one of its line, or the
+#: only word of a line; it is empty at the last of several words.
+WORD_PAIR = rf"(?:(?={_W}++{_S}++{_W})|(?<![^\n]){_S}*+(?={_W}++{_S}*+(?![^\n])))(?=({_W}++(?:{_S}++{_W}++)?)){_W}++|{_W}++"
+WIDE_SPACE = rf"{_S}{{2,}}+|[\x09\x0B-\x0D]"
 _LOW = 0x0001000100010001
 _PIECE = 16_384
 
@@ -56,10 +61,15 @@ def _sign_sums(hashes: Column) -> Column:
     return let(F.size(hashes), lambda n: F.transform(ones, lambda c: (c * 2 - n).bitwiseAND(F.lit(0xFFFF))))
 
 
+def word_pairs(text: Column) -> Column:
+    """Every two words next to each other in a paragraph, with one space between; of a one-word paragraph the word."""
+    return F.array_remove(F.regexp_extract_all(F.regexp_replace(text, WIDE_SPACE, " "), F.lit(WORD_PAIR), F.lit(1)), "")
+
+
 def fingerprint(text: Column) -> Column:
     """array<long>: EXACT lanes below 2^32, then SIGNS lanes below 2^16."""
     text = F.coalesce(text, F.lit(""))
-    return F.concat(let(F.split(text, "\n", -1), _exact_lanes), _sign_lanes(F.regexp_extract_all(text, F.lit(WORD_PAIR), F.lit(0))))
+    return F.concat(let(F.split(text, "\n", -1), _exact_lanes), _sign_lanes(word_pairs(text)))
 
 
 def _lanewise(a: Column, b: Column, sign: int) -> Column:

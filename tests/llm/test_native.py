@@ -1,7 +1,9 @@
 """Mixing, sharding, chat formatting, fingerprints and line dedup on small and awkward inputs."""
 
 import hashlib
+import re
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,6 +126,29 @@ def test_sign_lanes_survive_very_long_texts(spark):
     assert 0.4 < near < 0.9
 
 
+def neighbours(text):
+    """Multiset of the adjacent word pairs of each line; a line of one word has that word."""
+    lines = [re.findall(r"[^\x20\x09-\x0D]+", line) for line in text.split("\n")]
+    return Counter(p for w in lines for p in (map(" ".join, zip(w, w[1:])) if len(w) > 1 else w))
+
+
+def test_every_pair_of_neighbouring_words_counts(spark):
+    texts = ["a b c d", "", " ", "one", "  one \t", "a  b\tc\x0bd \r\n e\n\nf g\n h ", "x\u0085y z\u2028w\nü 🙂 é", "a a a a\nb", "🙂", "é🙂 🙂🙂\n🙂🙂🙂\n ü🙂x 🙂", "w" * 300_000 + "\n" + " " * 300_000 + "z z"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", fingerprints.word_pairs(F.col("t")).alias("p"))
+    assert {r.i: Counter(r.p) for r in rows.collect()} == {i: neighbours(t) for i, t in enumerate(texts)}
+
+
+def test_likeness_holds_when_a_word_is_put_in_front(spark):
+    texts = [" ".join(f"w{k}x{i}" for i in range(40 + 17 * k)) for k in range(12)]
+    for edit in (lambda t: "So " + t, lambda t: t.replace(" ", " so ", 1), lambda t: t.split(" ", 1)[1]):
+        got = lanes(spark, *texts, *map(edit, texts))
+        rows = spark.createDataFrame(list(zip(got, got[len(texts):], texts)), "a array<long>, b array<long>, t string")
+        for r in rows.select("t", fingerprints.likeness(F.col("a"), F.col("b")).alias("near")).collect():
+            a, b = neighbours(r.t), neighbours(edit(r.t))
+            exact = 2 * (a & b).total() / (a.total() + b.total())
+            assert abs(r.near - exact) < 0.05, (r.near, exact)
+
+
 def test_edited_texts_follow_descending_ids(spark):
     rows = [(1, "abcd"), (2, "xyz"), (9, None), (9, None), (5, "12345 é🙂"), (None, "tail")]
     got = {r.doc_id: (r.copies, r.edited_text) for r in fingerprints.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -14,7 +14,8 @@ the smallest that lists the word. That is linear in the group and loses no link.
 Links are joined into components by repeated large-star and small-star steps, each written
 to the shared folder. Null and empty texts have fingerprint zero. Repeated rows and
 doc_ids are rows of one node or of several, as their texts say; component_id is the smallest
-non-null doc_id of the component. An empty table gives an empty result.
+non-null doc_id of the component, so components may share it or have none: root, the
+component's smallest fingerprint, is what tells them apart. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -127,24 +128,24 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def grouped(prints: DataFrame) -> DataFrame:
-    """rows with doc_id and fp -> the same with component_id."""
+    """rows with doc_id and fp -> the same with root, which tells components apart, and component_id, which may be null or shared."""
     nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(links(nodes.select("fp")))
     joined = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = joined.join(named, "root").select("fp", "component_id")
+    of = joined.join(named, "root").select("fp", "root", "component_id")
     return prints.join(of, "fp")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id), one row per row of docs."""
+    """(doc_id, text_hash, fp, root, component_id), one row per row of docs."""
     return grouped(fingerprints(docs))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group: the smallest doc_id; of repeated rows with that id and text, one."""
+    """docs with one document of each component, also of those without an id or with the same one: the smallest doc_id; of repeated rows with that id and text, one."""
     found = near_duplicates(docs)
-    kept = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "fp")).alias("k"))
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "fp")).alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("keep_id"), F.col("k.text_hash").alias("keep_hash"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"))
     met = rows.join(kept, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("text_hash") == F.col("keep_hash")), "left_semi")

@@ -86,6 +86,14 @@ def test_one_document_of_each_group_stays(spark):
     assert simhash_dedup.keep_one(docs(spark, [])).count() == 0
 
 
+def test_unrelated_documents_without_an_id_or_with_one_id_all_stay(spark):
+    rng = random.Random(2)
+    a, b, c, d, e, f = (prose(rng, 60) for _ in range(6))
+    rows = [(None, a), (None, a), (None, b), (None, c), (None, ""), (None, None), (1, d), (1, e), (2, e), (None, e), (1, f), (1, f)]
+    kept = [(r.doc_id, r.text or "") for r in simhash_dedup.keep_one(docs(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(None, a), (None, b), (None, c), (None, ""), (1, d), (1, e), (1, f)], key=str)
+
+
 def test_near_dedup_of_the_given_table(spark):
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     ids = sorted(rows)

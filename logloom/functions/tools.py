@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 from logloom.functions import fixed_values as fv
 from logloom.functions.text import extract, fold_space
 
-_COMMAND = r'"command":"((?:[^"\\]|\\.)*)"'
+_COMMAND = r'"command":"((?:[^"\\]|\\.)*+)"'
 
 
 def call_input(tool: Column, text: Column) -> Column:

@@ -8,6 +8,7 @@ from logloom.functions import fixed_values as fv
 from logloom.functions.envelope import bridge_key
 from logloom.operators import ranges
 from logloom.operators.ordered import top_one
+from logloom.schemas import uncut
 
 ACTIVE = "coalesce(last_activity_ts, last_ts)"
 
@@ -154,7 +155,7 @@ def spawn_edges(keyed: DataFrame, jobs: DataFrame, ledger: DataFrame, messages:
         return edges.select(cols)
     bash = messages.filter("type = 'assistant' AND lane = 'tool' AND tool_name = 'Bash' AND tool_use_id IS NOT NULL").select(
         "session_id", "tool_use_id", "ts")
-    said = messages.filter("type = 'user' AND lane = 'tool' AND tool_use_id IS NOT NULL").filter(
+    said = uncut(messages).filter("type = 'user' AND lane = 'tool' AND tool_use_id IS NOT NULL").filter(
         F.contains("text", F.lit("backgrounded · ")) | F.contains("text", F.lit('"ref"')))
     refs = said.select("session_id", "tool_use_id", F.explode(F.array_union(
         F.regexp_extract_all("text", F.lit(fv.CHILD_ID), F.lit(1)), F.regexp_extract_all("text", F.lit(fv.CHILD_ID), F.lit(2)))).alias("child")).filter("child <> ''")

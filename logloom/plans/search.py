@@ -19,7 +19,7 @@ from logloom.functions.text import headline
 from logloom.operators.ordered import top_one
 from logloom.operators.stages import staged
 from logloom.plans import sessions as ses
-from logloom.schemas import Corpus
+from logloom.schemas import Corpus, whole
 
 
 
@@ -127,10 +127,14 @@ def _occurrences(text: Column, leaf: Match) -> Column:
     return F.regexp_count(text, F.lit(f"(?={leaf.pattern()})"))
 
 
+def _said(docs: DataFrame, text: str) -> Column:
+    return whole(docs) if text == "text" else F.col(text)
+
+
 def scored(docs: DataFrame, query: Match, text: str = "text", scope: Column | None = None) -> DataFrame:
     """docs in scope matching the query, with bm25 rank (negative, lower is better); statistics are those of all docs."""
     leaves = query.leaves()
-    rows = docs.withColumn("__t", token_text(F.col(text)))
+    rows = docs.withColumn("__t", token_text(_said(docs, text)))
     rows = rows.withColumns({"__len": _count_of(F.col("__t"), "  ") - 1,
                              **{f"__tf{i}": _occurrences(F.col("__t"), leaf) for i, leaf in enumerate(leaves)}})
     sums = rows.agg(F.struct(
@@ -177,12 +181,12 @@ def snippet(text: Column, query: Match, size: int = fv.SNIPPET_TOKENS, marks: tu
 def search(docs: DataFrame, query: Match, limit: int, text: str = "text", tie: str | None = None, with_snippet: bool = True) -> DataFrame:
     """Top hits; snippets are cut for the page only."""
     top = scored(docs, query, text).orderBy("rank", *([tie] if tie else [])).limit(limit)
-    return top.withColumn("snippet", snippet(F.col(text), query)) if with_snippet else top
+    return top.withColumn("snippet", snippet(_said(top, text), query)) if with_snippet else top
 
 
 def postings(docs: DataFrame, doc_id: str, text: str = "text") -> DataFrame:
     """Inverted index for repeated queries: (term, doc, tf, first position), combined map-side."""
-    rows = docs.select(doc_id, F.posexplode(tokens(F.col(text))).alias("pos", "term"))
+    rows = docs.select(doc_id, F.posexplode(tokens(_said(docs, text))).alias("pos", "term"))
     return rows.groupBy("term", doc_id).agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
 
 
@@ -194,7 +198,7 @@ def sessions_first(c: Corpus, query: Match, lanes: list[str], limit: int = 20, c
 
     w = Window.partitionBy("session_id").orderBy("rank", "line_no")  # the limit on its number is applied before the shuffle too
     shown = (top.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= per_session)
-             .withColumn("snippet", snippet(F.col("text"), query, 18)).groupBy("session_id")
+             .withColumn("snippet", snippet(whole(top), query, 18)).groupBy("session_id")
              .agg(F.array_sort(F.collect_list(F.struct("i", "lane", "snippet"))).alias("snippets")))
     grouped = top.groupBy("session_id").agg(F.count("*").alias("hits"), F.min("rank").alias("best_rank"))
     s = c.sessions.select("session_id", "well", F.coalesce("last_activity_ts", "last_ts").alias("last_at"))

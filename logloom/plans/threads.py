@@ -8,7 +8,7 @@ from logloom.functions import envelope as env, tools
 from logloom.operators import identity as idn
 from logloom.operators.ordered import top_one
 from logloom.plans.trace import address_book
-from logloom.schemas import Corpus
+from logloom.schemas import Corpus, uncut
 
 COPY = ["session_id", "prompt_id", "ts"]
 
@@ -26,6 +26,7 @@ def sent_halves(messages: DataFrame, spawns: DataFrame | None = None) -> DataFra
 
     Follow-ups to a session's own sub-agents are not part of any thread.
     """
+    messages = uncut(messages)
     calls = messages.filter("type = 'assistant' AND lane = 'tool' AND tool_name = 'SendMessage'")
     head = env.sent_head(tools.call_input(F.col("tool_name"), F.col("text")))
     calls = calls.select("session_id", "prompt_id", "ts", "tool_use_id", "line_no", head.alias("h")).select(

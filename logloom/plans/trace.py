@@ -13,7 +13,7 @@ from logloom.functions.timekeys import millis_between
 from logloom.operators.ordered import scan
 from logloom.operators.stages import staged
 from logloom.plans import waits
-from logloom.schemas import Corpus
+from logloom.schemas import Corpus, uncut
 
 TRACE_LANES = ["prompt", "meta", "text", "thinking", "tool", "relay"]
 TX = ["session_id", "tx"]
@@ -29,7 +29,7 @@ def bucketed(messages: DataFrame) -> DataFrame:
     tx  consecutive rows of one prompt id (NULL is a value); the same id later is a new one
     seq instructions of the session up to and including the row
     """
-    rows = messages.filter(F.col("lane").isin(TRACE_LANES))
+    rows = uncut(messages).filter(F.col("lane").isin(TRACE_LANES))
     call = (F.col("type") == "assistant") & (F.col("lane") == "tool")
     return scan(rows.withColumn("is_call", call), ["session_id"], ["line_no", "pos"],
                 island={"tx": ["prompt_id"]}, running={"seq": F.col("is_call").cast("bigint")})
@@ -162,7 +162,7 @@ def annotations(calls: DataFrame) -> DataFrame:
     failing = F.col("result").rlike(fv.TEST_FAIL) & F.when(fail_n == "", True).otherwise(fail_n.cast("bigint") > 0)
     failed = ran & (failing | F.col("error"))
     passed = ran & ~failed & F.col("result").rlike(fv.TEST_PASS)
-    path = F.when(F.col("tool").isin(fv.FILE_TOOLS), extract(F.col("payload"), r'"(?:file_path|notebook_path)":"((?:[^"\\]|\\.)*)"'))
+    path = F.when(F.col("tool").isin(fv.FILE_TOOLS), extract(F.col("payload"), r'"(?:file_path|notebook_path)":"((?:[^"\\]|\\.)*+)"'))
     rows = calls.select(*TX, "tool", F.when(bash, cmd).alias("cmd"), F.nullif(path, F.lit("")).alias("path"), "result", "error",
                         ran.alias("ran"), failed.alias("failed"), passed.alias("passed"))
     n = lambda c: F.sum(F.col(c).cast("bigint")).alias("tests_" + c)
@@ -180,7 +180,7 @@ def annotations(calls: DataFrame) -> DataFrame:
 
 def touched_files(calls: DataFrame) -> DataFrame:
     """Distinct paths per transaction, long form."""
-    path = extract(F.col("payload"), r'"(?:file_path|notebook_path)":"((?:[^"\\]|\\.)*)"')
+    path = extract(F.col("payload"), r'"(?:file_path|notebook_path)":"((?:[^"\\]|\\.)*+)"')
     return calls.filter(F.col("tool").isin(fv.FILE_TOOLS)).select(*TX, path.alias("path")).filter("path <> ''").distinct()
 
 

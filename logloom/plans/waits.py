@@ -9,12 +9,12 @@ from logloom.functions.timekeys import utc_day, window_filter
 from logloom.operators.filters import in_wells
 from logloom.operators.ordered import scan, upper_median
 from logloom.operators.stages import staged
-from logloom.schemas import Corpus
+from logloom.schemas import Corpus, uncut, whole
 
 
 def calls_of(messages: DataFrame) -> DataFrame:
     """Instructions in order, with class, task reference and idleness."""
-    calls = messages.filter((F.col("type") == "assistant") & (F.col("lane") == "tool"))
+    calls = uncut(messages).filter((F.col("type") == "assistant") & (F.col("lane") == "tool"))
     tool = F.coalesce("tool_name", F.lit("?"))
     rows = calls.select("session_id", "line_no", "pos", "ts", "request_id", tool.alias("tool"),
                         tools.call_input(tool, F.col("text")).alias("payload"))
@@ -89,7 +89,7 @@ def class_rollup(c: Corpus, classes: DataFrame | None = None) -> DataFrame:
 
 def waiting_sessions(messages: DataFrame) -> DataFrame:
     """Loose prefilter: sessions with a call that might poll or idle. The classes judge."""
-    text = F.col("text")
+    text = whole(messages)
     maybe = (F.contains(text, F.lit("tasks/")) | F.contains(text, F.lit('"command":"true"'))
              | F.contains(text, F.lit('"command":":"')) | F.contains(text, F.lit('"command":""'))
              | F.contains(text, F.lit('"command":"echo ')))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 SCHEMA_VERSION = 1
 
@@ -50,6 +50,16 @@ REQUEST_TOKENS = ["input_tokens", "cache_write_tokens", "cache_write_5m_tokens",
                   "cache_read_tokens", "output_tokens", "thinking_tokens"]
 
 
+def whole(messages: DataFrame) -> Column:
+    """The text of messages as it was said; rows stored before whole_text was have only their preview."""
+    return F.coalesce("whole_text", "text") if "whole_text" in messages.columns else F.col("text")
+
+
+def uncut(messages: DataFrame) -> DataFrame:
+    """Messages with the whole text as `text`, for all that reads into it."""
+    return messages.withColumn("text", whole(messages)).drop("whole_text")
+
+
 @dataclass(frozen=True)
 class Corpus:
     """The tables the reports read. A table a report does not use may be absent."""

@@ -167,8 +167,8 @@ def redacted(rows: DataFrame, home: str, text: str = "text", json: dict[str, str
         if re.search(fv.SECRET_KEYS, f.name):
             continue
         col = F.col(f"`{f.name}`")
-        if f.name == text and isinstance(f.dataType, T.StringType):
-            out[f"{text}_chars"] = F.length(col)
+        if f.name in (text, f"whole_{text}") and isinstance(f.dataType, T.StringType):
+            out[f"{f.name}_chars"] = F.length(col)
         elif json and f.name in json:
             kind = T.DataType.fromDDL(json[f.name])
             out[f.name] = F.to_json(rules.value(F.from_json(col, kind), kind, F.lit(f.name), F.lit(False)))

@@ -8,7 +8,7 @@ from logloom.functions import fixed_values as fv
 from logloom.functions.envelope import ack_msg_id, bridge_key
 from logloom.functions.text import extract
 from logloom.operators.ordered import scan
-from logloom.schemas import BLOCKS, LIST_KINDS, RECORD, RESULT_KINDS, REQUEST_TOKENS, TEXT_BLOCKS
+from logloom.schemas import BLOCKS, LIST_KINDS, RECORD, RESULT_KINDS, REQUEST_TOKENS, TEXT_BLOCKS, whole
 
 SESSION_PATH = r"/([^/]+)/([^/]+)\.jsonl$"
 SPAWN_PATH = r"/([^/]+)/([^/]+)/subagents/(?:workflows/(wf_[^/]+)/)?agent-([^/]+)\.jsonl$"
@@ -69,8 +69,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
                      {"ignoreNullFields": "false"})
     content, prompt = c("message.content"), c("attachment.prompt")
     is_array, prompt_is_array = (F.col(f"kinds.{n}").isNotNull() for n in ("message.content", "attachment.prompt"))
-    event = (F.when(c("type") == "system",
-                    F.when(subtype == "away_summary", said).otherwise(F.substring(said, 1, fv.CALL_TEXT_CAP)))
+    event = (F.when(c("type") == "system", said)
              .when(c("type") == "pr-link", F.trim(F.concat(F.lit("pr-link: "), opt("prRepository"), F.lit("#"),
                                                            opt("prNumber"), F.lit(" "), opt("prUrl"))))
              .when(c("type").isin("custom-title", "ai-title"), F.concat(F.lit("title: "), F.nullif(title, F.lit(""))))
@@ -143,6 +142,9 @@ def with_requests(records: DataFrame) -> DataFrame:
 def entries_of(records: DataFrame) -> DataFrame:
     """One row per content block (one per record at least): lane, text and tool fields.
 
+    `text` is the log format's preview: tool inputs and most system events by their head, results by
+    head and tail. `whole_text` is never cut, and what search, traces and payload readers go by.
+
     Blocks that say nothing keep a NULL lane, so record counts survive; `head`
     marks the first row of each record.
     """
@@ -163,10 +165,14 @@ def entries_of(records: DataFrame) -> DataFrame:
             .when(b("type") == "event", "event"))
     rows = rows.withColumns({"lane": lane, "result_text": F.when(result, _joined_text(b("content"), F.coalesce(F.get("list_results", F.col("pos")), F.lit(False))))})
     skill = F.when(call & (b("name") == "Skill"), F.get_json_object(b("input"), "$.skill"))
-    text = (F.when(call, F.concat(F.coalesce(b("name"), F.lit("?")), F.lit(" "),
-                                  F.substring(F.coalesce(b("input"), F.lit("")), 1, fv.CALL_TEXT_CAP)))
+    called = lambda shown: F.concat(F.coalesce(b("name"), F.lit("?")), F.lit(" "), shown)
+    payload = F.coalesce(b("input"), F.lit(""))
+    whole = (F.when(call, called(payload)).when(result, F.col("result_text"))
+             .when(F.col("lane") == "thinking", b("thinking")).otherwise(b("text")))
+    noted = (F.col("lane") == "event") & (F.col("type") == "system") & ~F.startswith(b("text"), F.lit("away_summary: "))
+    text = (F.when(call, called(F.substring(payload, 1, fv.CALL_TEXT_CAP)))
             .when(result, _head_tail(F.col("result_text")))
-            .when(F.col("lane") == "thinking", b("thinking")).otherwise(b("text")))
+            .when(noted, F.substring(b("text"), 1, fv.CALL_TEXT_CAP)).otherwise(whole))
     command = F.when(F.col("lane") == "meta", extract(b("text"), fv.COMMAND_NAME))
     tool = (F.when(skill.isNotNull(), F.concat(F.lit("Skill:"), skill)).when(call, b("name"))
             .otherwise(F.concat(F.lit("command:"), command)))
@@ -175,7 +181,7 @@ def entries_of(records: DataFrame) -> DataFrame:
     msg_id = F.when(relayed, F.nullif(F.col("origin.msg_id"), F.lit(""))).when(result, ack_msg_id(F.col("result_text")))
     return rows.withColumns({
         "head": F.coalesce("pos", F.lit(0)) == 0, "pos": F.coalesce("pos", F.lit(0)),
-        "text": text, "tool_name": tool,
+        "text": text, "whole_text": whole, "tool_name": tool,
         "tool_use_id": F.when(call, b("id")).when(result, b("tool_use_id")),
         "is_error": result & F.coalesce(b("is_error"), F.lit(False)),
         "peer": name, "msg_id": msg_id}).drop("b", "result_text", "list_results", "origin")
@@ -200,12 +206,12 @@ def carry_prompts(records: DataFrame) -> DataFrame:
 # --- records -> tables -------------------------------------------------------------
 
 MESSAGE = ["session_id", "line_no", "pos", "uuid", "ts", "lane", "type", "git_branch", "cwd", "tool_name",
-           "prompt_id", "tool_use_id", "is_error", "request_id", "peer", "msg_id", "text"]
+           "prompt_id", "tool_use_id", "is_error", "request_id", "peer", "msg_id", "text", "whole_text"]
 
 
 def messages_of(entries: DataFrame) -> DataFrame:
     """One row per entry; every entry of a record carries the running prompt id."""
-    return entries.filter(F.col("lane").isNotNull()).withColumn("prompt_id", F.col("turn_id")).select(*MESSAGE)
+    return entries.filter(F.col("lane").isNotNull()).withColumns({"prompt_id": F.col("turn_id"), "whole_text": whole(entries)}).select(*MESSAGE)
 
 
 def _folded(snapshots: DataFrame, keys: list[str], *more: Column) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.functions import pricing
-from logloom.plans import denials as dn, usage as us, waits
+from logloom.plans import denials as dn, search as sr, threads as th, trace as trc, usage as us, waits
 from logloom.schemas import Corpus
 from logloom.sources import refresh as rf, side_files as sd, transcripts as tr, wells as wl
 
@@ -181,6 +181,30 @@ def test_strings_that_look_like_lists_stay_texts(spark):
     assert rows[12] == ("prompt", said[1]) and rows[13] == ("prompt", "listed")
 
 
+def test_reports_read_whole_texts(spark, tmp_path):
+    long = "x" * 3000
+    said = "a" * 1500 + " needlemiddle 3 failed, 4 passed " + "b" * 1500
+    recs = [user(1, "go", promptId="P"), reply(2, "m1", call("t1", "Bash", command=f"pytest -q {long} one")), user(3, [result("t1", said)]),
+            reply(4, "m2", call("t2", "Bash", command=f"pytest -q {long} two")), user(5, [result("t2", "4 passed")]),
+            reply(6, "m3", call("t3", "SendMessage", summary="s", message=f"{long} endofmessage", to="ann")),
+            {"type": "system", "subtype": "note", "timestamp": at(7), "sessionId": "s1", "content": f"{long} needlenote"}]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "s1.jsonl").write_text("\n".join(json.dumps(r, separators=(",", ":")) for r in recs))
+    m = rf.index_sessions(spark, str(tmp_path)).messages
+    rows = {r.line_no: r for r in m.collect()}
+    assert rows[3].whole_text == said and len(rows[3].text) < len(said) and rows[2].whole_text.endswith(' one"}') and rows[7].whole_text.endswith("needlenote")
+    assert len(rows[2].text) == len("Bash ") + 2000 and len(rows[7].text) == 2000 and rows[5].text == rows[5].whole_text == "4 passed"
+    for word, line in (("needlemiddle", 3), ("one", 2), ("endofmessage", 6), ("needlenote", 7)):
+        hits = sr.search(m, sr.all_words(word), 10).collect()
+        assert [r.line_no for r in hits] == [line] and word in hits[0].snippet
+    a = trc.annotations(trc.instructions(trc.bucketed(m))).first()
+    assert (a.commands, a.retries, a.tests_ran, a.tests_failed, a.tests_passed) == (2, 0, 2, 1, 1)
+    assert th.sent_halves(m).first().body.endswith("endofmessage")
+    assert waits.calls_of(m).filter("line_no = 2").first().payload.endswith(' one"}')
+    kept = rf.redacted(m, "/home/me")
+    assert {"text", "whole_text"}.isdisjoint(kept.columns) and kept.filter("line_no = 3").first().whole_text_chars == len(said)
+
+
 def test_rates_as_an_expression_equal_the_join(spark, monkeypatch):
     pairs = [(m, d) for m in ("claude-fable-5-1-x", "claude-fable-5", "claude-opus-4-8", "mystery", "", None) for d in ("2025-12-01", "2026-09-02", "2026-12-01", None)]
     rows = spark.createDataFrame(pairs, "model string, d string").select("model", F.to_date("d").alias("rate_day"), *[F.lit(1_000_000).cast("bigint").alias(t) for t in pricing.TOKENS])

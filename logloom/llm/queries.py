@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import chat, decontamination, fingerprints, line_dedup, lm_scoring, mixing, quality, sharding, simhash_dedup, toxicity
+from logloom.llm import audit_queries, chat, decontamination, fingerprints, line_dedup, lm_scoring, mixing, quality, sharding, simhash_dedup, toxicity
 from logloom.llm.common import id_remainder, small_batches, table
 from logloom.operators.stages import staged
 from logloom.session import tune
@@ -153,3 +153,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), id_remainder(3) != 1)
     return _judged(docs, toxicity.toxicity(model), 3, 1, toxicity.THRESHOLD)
+
+
+query("op11_filter_audit", audit_queries.FILTER_AUDIT_SQL)(audit_queries.op11_filter_audit)
+query("op12_quality_rules", audit_queries.QUALITY_RULES_SQL)(audit_queries.op12_quality_rules)
+query("op13_source_divergence", audit_queries.DIVERGENCE_SQL)(audit_queries.op13_source_divergence)

@@ -10,7 +10,8 @@ from checks.queries_usage import KEYS, MAIN_TABLES, PRICE, main_sql, r2
 from checks.registry import query
 from checks.standins import with_ctes
 from logloom.functions import pricing, text as tx, tools
-from logloom.plans import denials as dn, limits as lm, search as sr, sessions as ses
+from logloom.plans import denials as dn, limits as lm, query_text as qt, search as sr, sessions as ses, text_index as ti
+from logloom.schemas import Corpus
 
 # --- sessions, tools, statistics ---------------------------------------------------------
 
@@ -117,61 +118,132 @@ FOLD = "strip_accents(lower({}))"
 
 def bm25_sql(table: str, doc_id: str, where: str, leaves: list[str], text: str = "text") -> str:
     toks = f"list_filter(regexp_split_to_array({FOLD.format(text)}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
-    tf = ", ".join(f"len(list_filter(w, lambda x: {leaf})) AS tf{i}" for i, leaf in enumerate(leaves))
+    tf = ", ".join(f"len(list_filter(w, lambda x, i: {leaf})) AS tf{i}" for i, leaf in enumerate(leaves))
     df = ", ".join(f"sum(CASE WHEN tf{i} > 0 THEN 1.0 ELSE 0.0 END) AS df{i}" for i in range(len(leaves)))
     rank = " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / al))" for i in range(len(leaves)))
     return f"""tok AS (SELECT *, {toks} AS w FROM {table}), tfs AS (SELECT *, len(w) AS dl, {tf} FROM tok), st AS (SELECT count(*)::double AS n, avg(dl) AS al, {df} FROM tfs),
         hit AS (SELECT {doc_id}, round(-({rank}), 6) AS rank FROM tfs, st WHERE {where})"""
 
 
-def _search(key, table, doc_id, q, where, leaves, extra="", text="text"):
-    @query(key, f"WITH {bm25_sql(table, doc_id, where, leaves, text)} SELECT * FROM hit")
+def _search(key, q, where, leaves, scan=False):
+    @query(key, f"WITH {bm25_sql('documents', 'doc_id', where, leaves)} SELECT * FROM hit")
     def run(spark, sf):
-        docs = spark.read.parquet(f"{sf}/{table}.parquet")
-        return sr.scored(docs, q(), text).select(doc_id, F.round("rank", 6).alias("rank"))
+        said = q() if callable(q) else qt.read(q)
+        hits = sr.scored(spark.read.parquet(f"{sf}/documents.parquet"), said) if scan else st.document_index(spark, sf).hits(said)
+        return hits.select("doc_id", F.round("rank", 6).alias("rank"))
 
 
-_search("e15_search_two_words", "documents", "doc_id", lambda: sr.word("und") & sr.word("mit"), "tf0 > 0 AND tf1 > 0", ["x = 'und'", "x = 'mit'"])
-_search("e15_search_or_not", "documents", "doc_id", lambda: (sr.word("und") | sr.word("avec")) - sr.word("der"), "(tf0 > 0 OR tf1 > 0) AND NOT list_contains(w, 'der')", ["x = 'und'", "x = 'avec'"])
-_search("e15_search_prefix", "documents", "doc_id", lambda: sr.all_words("les retre", last_is_prefix=True), "tf0 > 0 AND tf1 > 0", ["x = 'les'", "starts_with(x, 'retre')"])
-
+_search("e15_search_two_words", lambda: sr.word("und") & sr.word("mit"), "tf0 > 0 AND tf1 > 0", ["x = 'und'", "x = 'mit'"])
+_search("e15_search_or_not", lambda: (sr.word("und") | sr.word("avec")) - sr.word("der"), "(tf0 > 0 OR tf1 > 0) AND NOT list_contains(w, 'der')", ["x = 'und'", "x = 'avec'"])
+_search("e15_search_prefix", lambda: sr.all_words("les retre", last_is_prefix=True), "tf0 > 0 AND tf1 > 0", ["x = 'les'", "starts_with(x, 'retre')"])
+_search("e15_scan_or_not", "(und OR avec) NOT der", "(tf0 > 0 OR tf1 > 0) AND NOT list_contains(w, 'der')", ["x = 'und'", "x = 'avec'"], scan=True)
+# strings: NOT before AND before OR, words side by side before all; what is no query is taken word by word
+_search("e15_string_binding", "und OR avec AND par NOT des", "tf0 > 0 OR (tf1 > 0 AND tf2 > 0 AND NOT list_contains(w, 'des'))", ["x = 'und'", "x = 'avec'", "x = 'par'"])
+_search("e15_string_group", "( und OR avec ) AND text:les", "(tf0 > 0 OR tf1 > 0) AND tf2 > 0", ["x = 'und'", "x = 'avec'", "x = 'les'"])
+_search("e15_string_start", "^the AND tha*", "w[1] = 'the' AND tf1 > 0", ["x = 'the' AND w[1] = 'the' AND i = 1", "starts_with(x, 'tha')"])
+_search("e15_string_retried", 'und "mit (', "tf0 > 0 AND tf1 > 0", ["x = 'und'", "x = 'mit'"])
+_search("e15_string_no_words", "und !!! ... mit", "tf0 > 0 AND tf1 > 0", ["x = 'und'", "x = 'mit'"])
 
 
 @query("e13_search_messages", with_ctes(["messages_t"], f"""WITH {bm25_sql("messages_t", 'session_id, line_no', "lane IN ('prompt', 'text', 'tool') AND tf0 > 0 AND tf1 > 0", ["x = 'please'", "x = '42'"])} SELECT * FROM hit"""))
 def _(spark, sf):
     scope = F.col("lane").isin("prompt", "text", "tool")
-    return sr.scored(st.corpus(spark, sf).messages, sr.all_words("please 42"), scope=scope).select("session_id", "line_no", F.round("rank", 6).alias("rank"))
+    return st.message_index(spark, sf).hits("please 42", scope).select("session_id", "line_no", F.round("rank", 6).alias("rank"))
+
+
+@query("e13_search_in_scope", with_ctes(["messages_t", "sessions_t"], f"""WITH m AS (SELECT messages_t.*, s.well FROM messages_t JOIN (SELECT session_id, well FROM sessions_t) s USING (session_id)),
+    {bm25_sql("m", 'session_id, line_no, lane, prompt_id, well', "lane IN ('prompt', 'text') AND (tf0 > 0 OR tf1 > 0) AND well LIKE '%w1%' AND starts_with(session_id, '000000') AND ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-20 12:00:00'", ["x = '42'", "x = '17'"])}
+    SELECT *, replace(well, '-u-code-', '/u/code/') AS real_path FROM hit"""))
+def _(spark, sf):
+    c = st.corpus(spark, sf)
+    rows = ti.search_messages(c, st.message_index(spark, sf), "42 OR 17", ["prompt", "text"], 1_000_000, well="w1", since="2024-01-03", until="2024-01-20T12:00:00Z", session="000000")
+    return rows.select("session_id", "line_no", "lane", "prompt_id", "well", "real_path", F.round("rank", 6).alias("rank"))
 
 
 @query("e15_search_phrase", f"""WITH t AS (SELECT doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array({FOLD.format('text')}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), ' ') || ' ' AS s FROM documents)
     SELECT doc_id FROM t WHERE contains(s, ' of the ')""")
 def _(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    return sr.scored(docs, sr.phrase("of", "the")).select("doc_id")
+    return st.document_index(spark, sf).hits('"of the"').select("doc_id")
 
 
 @query("e15_search_near", f"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array({FOLD.format('text')}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
     p AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM t)
     SELECT DISTINCT a.doc_id FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.term = 'und' AND b.term = 'mit' AND abs(a.i - b.i) BETWEEN 1 AND 6""")
 def _(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    return sr.scored(docs, sr.near(sr.word("und"), sr.word("mit"), 5)).select("doc_id")
+    return st.document_index(spark, sf).hits("NEAR(und mit, 5)").select("doc_id")
+
+
+@query("e15_near_three", f"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array({FOLD.format('text')}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
+    p AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM t),
+    l AS (SELECT doc_id, i, max(CASE WHEN term = 'that' THEN i END) OVER w AS a, max(CASE WHEN starts_with(term, 'for') THEN i END) OVER w AS b,
+          max(CASE WHEN term = 'the' AND before = 'of' THEN i - 1 END) OVER w AS c
+          FROM (SELECT *, lag(term) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM p) WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+    SELECT DISTINCT doc_id FROM l WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND greatest(a, b, c) - a - 1 <= 12 AND greatest(a, b, c) - b - 1 <= 12 AND greatest(a, b, c) - c - 2 <= 12""")
+def _(spark, sf):
+    return st.document_index(spark, sf).hits('NEAR(that for* "of the", 12)').select("doc_id")
+
+
+@query("e15_scan_near_three", f"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array({FOLD.format('text')}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
+    p AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM t),
+    l AS (SELECT doc_id, i, max(CASE WHEN term = 'que' THEN i END) OVER w AS a, max(CASE WHEN term = 'para' THEN i END) OVER w AS b, max(CASE WHEN term = 'con' THEN i END) OVER w AS c FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+    SELECT DISTINCT doc_id FROM l WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND greatest(a, b, c) - least(a, b, c) <= 7""")
+def _(spark, sf):
+    return sr.scored(spark.read.parquet(f"{sf}/documents.parquet"), qt.read("NEAR(que para con, 6)")).select("doc_id")
+
+
+@query("e15_search_documents_flags", f"""WITH {bm25_sql("documents", 'doc_id, source', "tf0 > 0 AND source LIKE '%rc1%'", ["x = 'avec'"])}
+    SELECT source AS repo, doc_id::VARCHAR AS path, rank, 'main' AS ref, length(source) = 4 AS is_husk, CASE WHEN source = 'src1' THEN 'mine' ELSE 'assisted' END AS ownership FROM hit""")
+def _(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("path"), "text")
+    repos = docs.select("repo").distinct().select("repo", F.lit("main").alias("ref"), (F.length("repo") == 4).alias("is_husk"), F.when(F.col("repo") == "src1", "mine").otherwise("assisted").alias("ownership"))
+    index = st.stored_index(spark, sf, "repos", lambda path: ti.index_documents(spark, docs, path))
+    rows = ti.search_documents(Corpus(docs=docs, repos=repos), index, "avec", 1_000_000, repo="rc1")
+    return rows.select("repo", "path", F.round("rank", 6).alias("rank"), "ref", "is_husk", "ownership")
+
+
+@query("e13_e15_index_refresh", f"""WITH now AS (SELECT doc_id, CASE WHEN source IN ('src1', 'src2') THEN 'mit und ' || text ELSE text END AS text FROM documents WHERE source <> 'src3'),
+    {bm25_sql("now", 'doc_id', 'tf0 > 0 AND tf1 > 0', ["x = 'und'", "x = 'mit'"])} SELECT * FROM hit""")
+def _(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text")
+    changed = docs.filter(F.col("source").isin("src1", "src2")).withColumn("text", F.concat(F.lit("mit und "), "text"))
+    first = st.stored_index(spark, sf, "refreshed", lambda path: ti.TextIndex(spark, path, ("doc_id",), "source").write(docs, F.col("text"))
+                            .update(changed, F.col("text"), docs.filter("source = 'src3'").select("source")))
+    return first.hits("und mit").select("doc_id", F.round("rank", 6).alias("rank"))
 
 
 @query("e14_search_history", f"""WITH {bm25_sql("(SELECT * FROM conversations WHERE role = 'user')", 'conv_id, turn', 'tf0 > 0', ["x = 'elle'"])} SELECT * FROM hit""")
 def _(spark, sf):
-    typed = spark.read.parquet(f"{sf}/conversations.parquet").filter("role = 'user'")
-    return sr.scored(typed, sr.word("elle")).select("conv_id", "turn", F.round("rank", 6).alias("rank"))
+    return st.history_index(spark, sf).hits("elle").select("conv_id", "turn", F.round("rank", 6).alias("rank"))
+
+
+@query("e14_search_history_window", f"""WITH {bm25_sql("(SELECT * FROM conversations WHERE role = 'user')", 'conv_id, turn', "tf0 > 0 AND 1704067200000 + conv_id * 3600000 + turn * 60000 >= epoch_ms(TIMESTAMP '2024-01-02') AND 1704067200000 + conv_id * 3600000 + turn * 60000 < epoch_ms(TIMESTAMP '2024-01-04 06:00:00') AND starts_with('c' || conv_id, 'c3')", ["x = 'the'"])}
+    SELECT *, 1704067200000 + conv_id * 3600000 + turn * 60000 AS at_ms FROM hit""")
+def _(spark, sf):
+    rows = ti.search_history(st.typed_history(spark, sf), st.history_index(spark, sf), "the", 1_000_000, since="2024-01-02", until="2024-01-04T06:00:00Z", session="c3")
+    return rows.select("conv_id", "turn", F.round("rank", 6).alias("rank"), F.unix_millis("at").alias("at_ms"))
 
 
 @query("e16_sessions_first", with_ctes(["messages_t", "sessions_t"], f"""WITH {bm25_sql("messages_t", 'session_id, line_no', "lane IN ('prompt', 'relay') AND tf0 > 0", ["starts_with(x, 'tas')"])},
     top AS (SELECT * FROM hit) SELECT session_id, count(*) AS hits, min(rank) AS best_rank, epoch_ms(any_value(coalesce(last_activity_ts, last_ts))) AS last_ms
     FROM top JOIN sessions_t USING (session_id) GROUP BY 1 ORDER BY best_rank, hits DESC, last_ms DESC LIMIT 20"""))
 def _(spark, sf):
-    rows = sr.sessions_first(st.corpus(spark, sf), sr.all_words("tas", last_is_prefix=True), ["prompt", "relay"])
+    rows = sr.sessions_first(st.corpus(spark, sf), qt.read(qt.with_open_end("tas")), ["prompt", "relay"], index=st.message_index(spark, sf))
     return rows.select("session_id", "hits", F.round("best_rank", 6).alias("best_rank"), F.unix_millis("last_at").alias("last_ms"))
 
 
+@query("e15_index_terms", f"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array({FOLD.format('text')}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
+    p AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS i FROM t) SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS docs, sum(i)::BIGINT AS places FROM p GROUP BY 1""")
+def _(spark, sf):
+    places = F.aggregate("positions", F.lit(0).cast("long"), lambda s, i: s + i)
+    return st.document_index(spark, sf).postings().groupBy("term").agg(F.sum(F.size("positions")).alias("occurrences"), F.count("*").alias("docs"), F.sum(places).alias("places"))
+
+
+@query("e13_index_messages", with_ctes(["messages_t"], f"""WITH t AS (SELECT list_filter(regexp_split_to_array({FOLD.format('text')}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w, session_id FROM messages_t)
+    SELECT session_id AS owner, count(*) AS docs, sum(len(w))::BIGINT AS tokens FROM t GROUP BY 1"""))
+def _(spark, sf):
+    return st.message_index(spark, sf).live_owners().select("owner", "docs", "tokens")
+
+
 @query("e13_snippets", r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents WHERE regexp_matches(' ' || lower(text) || ' ', '[^\p{L}\p{N}]und[^\p{L}\p{N}]')),
     p AS (SELECT *, list_position(list_transform(w, lambda x: list_contains(regexp_split_to_array(lower(x), '[^\p{L}\p{N}]+'), 'und')), true) AS i FROM d)
     SELECT doc_id, (CASE WHEN i > 1 THEN ' … ' ELSE '' END) || array_to_string(list_transform(w[i:i + 23], lambda x: CASE WHEN list_contains(regexp_split_to_array(lower(x), '[^\p{L}\p{N}]+'), 'und') THEN '«' || x || '»' ELSE x END), ' ')

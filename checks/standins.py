@@ -7,9 +7,13 @@ both engines understand; operator logic is never shared between the two sides.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logloom.functions import pricing
+from logloom.operators.stages import shared_folder
+from logloom.plans import text_index as ti
 from logloom.schemas import Corpus
 from logloom.sources import transcripts as tr
 
@@ -370,6 +374,37 @@ def corpus(spark: SparkSession, sf: str, *, messages: bool = True, spawns: bool
 
 # --- the same mapping as DuckDB common table expressions ---------------------------
 
+_INDEXES: dict[tuple, object] = {}
+
+
+def stored_index(spark: SparkSession, sf: str, kind: str, build):
+    """A text index of these tables, written once for the session and read by all its queries."""
+    at = (spark.sparkContext.applicationId, sf, kind)
+    if at not in _INDEXES:
+        _INDEXES[at] = build(f"{shared_folder(spark)}/logloom/index-{kind}-{uuid.uuid4().hex}")
+    return _INDEXES[at]
+
+
+def document_index(spark: SparkSession, sf: str):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    return stored_index(spark, sf, "documents", lambda path: ti.TextIndex(spark, path, ("doc_id",), "source").write(docs, F.col("text")))
+
+
+def message_index(spark: SparkSession, sf: str):
+    return stored_index(spark, sf, "messages", lambda path: ti.index_messages(spark, corpus(spark, sf).messages, path))
+
+
+def typed_history(spark: SparkSession, sf: str) -> DataFrame:
+    """User turns as lines of a prompt history: epoch milliseconds as text, a conversation an hour."""
+    ts = F.lit(1704067200000) + F.col("conv_id") * 3600000 + F.col("turn") * 60000
+    return _load(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("display"), ts.cast("string").alias("ts"),
+                                                                            F.lit("p").alias("project"), F.concat(F.lit("c"), "conv_id").alias("session_id"))
+
+
+def history_index(spark: SparkSession, sf: str):
+    return stored_index(spark, sf, "history", lambda path: ti.index_history(spark, typed_history(spark, sf), path, ("conv_id", "turn"), "conv_id"))
+
+
 def _select(columns: dict[str, str], source: str, extra: str = "") -> str:
     return "SELECT " + extra + ", ".join(f"{e} AS {n}" for n, e in columns.items()) + f" FROM {source}"
 

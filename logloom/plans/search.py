@@ -1,7 +1,7 @@
 """Ranked full-text search over any table with a text column.
 
-Queries are small expressions (word, phrase, prefix, near, &, |, ~). A query
-touches each row once: term counts are column expressions over a normalised
+Queries are small expressions (word, phrase, prefix, near, &, |, -), also read from
+strings (query_text). Without an index a query touches each row: term counts are column expressions over a normalised
 token string, and only corpus-wide sums (documents, lengths, hits per term) are
 aggregated.
 """
@@ -12,29 +12,33 @@ import re
 import unicodedata
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logloom.functions import fixed_values as fv
-from logloom.functions.text import headline
-from logloom.operators.ordered import top_one
+from logloom.operators.filters import in_wells
 from logloom.operators.stages import staged
 from logloom.plans import sessions as ses
 from logloom.schemas import Corpus, whole
 
 
 
+#: Marks that stand after their letter.
+MARKS = "\u0300-\u036f"
+
+
 def _accents() -> tuple[str, str]:
-    """Lower-case Latin letters with marks, and the letters under the marks."""
-    marked = [c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if c == c.lower() and len(unicodedata.normalize("NFD", c)) > 1]
-    return "".join(marked), "".join(unicodedata.normalize("NFD", c)[0] for c in marked)
+    """Lower-case letters that come apart into a letter and marks, and the letters under the marks."""
+    apart = {c: unicodedata.normalize("NFD", c) for c in map(chr, range(0xC0, 0x2000)) if c == c.lower()}
+    marked = {c: d[0] for c, d in apart.items() if len(d) > 1 and all("\u0300" <= m <= "\u036f" for m in d[1:])}
+    return "".join(marked), "".join(marked.values())
 
 
 ACCENTS = _accents()
 
 
 def folded(text: Column) -> Column:
-    """Lower case, accents removed."""
-    return F.translate(F.lower(text), *ACCENTS)
+    """Lower case, accents removed, whether they are part of the letter or stand after it."""
+    return F.translate(F.regexp_replace(F.lower(text), f"[{MARKS}]+", ""), *ACCENTS)
 
 
 def token_text(text: Column) -> Column:
@@ -48,12 +52,17 @@ def tokens(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Match:
-    """A query expression: `leaves` are scored, `test` decides over leaf counts."""
+    """A query expression: `leaves` are scored, `test` decides over a text's tokens.
+
+    op: phrase (words in a row, the last may be a prefix, or only at the start of a text), nothing (no
+    word to look for, matches no text), near, and, or, not.
+    """
 
     op: str
     parts: tuple = ()
     words: tuple[str, ...] = ()
     prefix: bool = False
+    first: bool = False
     distance: int = 10
 
     def __and__(self, o: "Match") -> "Match":
@@ -65,32 +74,74 @@ class Match:
     def __sub__(self, o: "Match") -> "Match":
         return Match("not", (self, o))
 
-    def leaves(self) -> list["Match"]:
-        """Scored phrases; what a NOT excludes is tested but never scored."""
+    def leaves(self, scored: bool = True) -> list["Match"]:
+        """Phrases; what a NOT excludes is tested but never scored."""
         if self.op == "phrase":
             return [self]
-        if self.op == "near":
-            return [p for part in self.parts for p in part.leaves()]
-        scored = self.parts[:1] if self.op == "not" else self.parts
-        return [p for part in scored for p in part.leaves()]
+        parts = self.parts[:1] if scored and self.op == "not" else self.parts
+        return [p for part in parts for p in part.leaves(scored)]
 
     def pattern(self) -> str:
         body = "  ".join(re.escape(w) for w in self.words)
-        return f" {body}{'[^ ]*' if self.prefix else ''} "
+        return f"{'^ ?' if self.first else ''} {body}{'[^ ]*' if self.prefix else ''} "
 
-    def test(self, text: Column) -> Column:
+    def decide(self, holds, starts) -> Column:
+        """The condition over what `holds` says of a phrase and `starts`, the places where it begins."""
+        if self.op == "nothing":
+            return F.lit(False)
         if self.op == "phrase":
-            return text.rlike(self.pattern()) if self.prefix else F.contains(text, F.lit(" " + "  ".join(self.words) + " "))
+            return holds(self)
         if self.op == "near":
-            a, b = self.parts
-            gap = f"(?: [^ ]+ ){{0,{self.distance}}}"
-            return text.rlike(f"{a.pattern()}{gap}{b.pattern()}|{b.pattern()}{gap}{a.pattern()}")
-        a, b = (p.test(text) for p in self.parts)
+            return within([starts(p) for p in self.parts], [len(p.words) for p in self.parts], self.distance)
+        a, b = (p.decide(holds, starts) for p in self.parts)
         return a & b if self.op == "and" else a | b if self.op == "or" else a & ~b
 
+    def test(self, text: Column) -> Column:
+        """The condition over a token_text column."""
+        def holds(leaf: Match) -> Column:
+            return text.rlike(leaf.pattern()) if leaf.prefix or leaf.first else F.contains(text, F.lit(" " + "  ".join(leaf.words) + " "))
+        return self.decide(holds, lambda leaf: _starts(text, leaf))
+
+
+def _event(i: int):
+    return lambda p: F.struct(p.cast("int").alias("p"), F.lit(i).alias("i"))
+
+
+def within(starts: list[Column], sizes: list[int], distance: int) -> Column:
+    """Whether some run of tokens holds one of each phrase, at most `distance` tokens lying between any phrase's end and the last one's start.
+
+    All starts are walked once in order, with the latest start of each phrase at hand.
+    """
+    events = F.array_sort(F.flatten(F.array(*[F.transform(s, _event(i)) for i, s in enumerate(starts)])))
+    none = F.struct(*[F.lit(-(1 << 40)).cast("long").alias(f"l{i}") for i in range(len(starts))], F.lit(False).alias("found"))
+
+    def step(seen: Column, e: Column) -> Column:
+        near_enough = F.lit(True)
+        for i, n in enumerate(sizes):
+            near_enough = near_enough & ((e["i"] == i) | (seen[f"l{i}"] + n + distance >= e["p"]))
+        return F.struct(*[F.when(e["i"] == i, e["p"].cast("long")).otherwise(seen[f"l{i}"]).alias(f"l{i}") for i in range(len(sizes))], (seen["found"] | near_enough).alias("found"))
+    return F.aggregate(events, none, step, lambda seen: seen["found"])
 
-def phrase(*words: str, prefix: bool = False) -> Match:
-    return Match("phrase", words=tuple(w for t in words for w in re.findall(r"[^\W_]+", t.lower().translate(str.maketrans(*ACCENTS)))), prefix=prefix)
+
+def _begun(word: str, prefix: bool, after: int):
+    """Where a phrase begins if its word number `after` is at hand."""
+    return lambda w, i: F.when(F.startswith(w, F.lit(word)) if prefix else w == word, i - after)
+
+
+def _starts(text: Column, leaf: Match) -> Column:
+    """Token numbers at which a phrase begins in a token_text column."""
+    said = F.split(F.btrim(text, F.lit(" ")), " +")
+    places = None
+    for j, word in enumerate(leaf.words):
+        at = F.array_compact(F.transform(said, _begun(word, leaf.prefix and j == len(leaf.words) - 1, j)))
+        places = at if places is None else F.array_intersect(places, at)
+    return F.filter(places, lambda i: i == 0) if leaf.first else places
+
+
+def phrase(*words: str, prefix: bool = False, first: bool = False) -> Match:
+    """Words in a row. Text without a letter or digit holds no word: it matches nothing."""
+    said = tuple(w for t in words for w in re.findall(r"[^\W_]+", re.sub(f"[{MARKS}]+", "", t.lower()).translate(str.maketrans(*ACCENTS))))
+    return Match("phrase", words=said, prefix=prefix, first=first) if said else Match("nothing")
 
 
 def word(w: str) -> Match:
@@ -101,14 +152,20 @@ def starts(w: str) -> Match:
     return phrase(w, prefix=True)
 
 
-def near(a: Match, b: Match, distance: int = 10) -> Match:
-    return Match("near", (a, b), distance=distance)
+def near(*parts: Match, distance: int = 10) -> Match:
+    """Phrases close to each other, in any order."""
+    if any(p.op not in ("phrase", "nothing") for p in parts):
+        raise ValueError("near takes words and phrases only")
+    if not parts or any(p.op == "nothing" for p in parts):
+        return Match("nothing")
+    return Match("near", parts, distance=distance)
 
 
 def all_words(query: str, last_is_prefix: bool = False) -> Match:
-    """Blank-separated words, all required; the last may be a prefix (a half-typed word lands)."""
+    """Blank-separated words, all required; the last may be a prefix (a half-typed word lands). Words without a letter or digit are left out."""
     words = query.split()
     parts = [phrase(w, prefix=last_is_prefix and w is words[-1] and re.fullmatch(r"\w+", w) is not None) for w in words]
+    parts = [p for p in parts if p.op != "nothing"] or [Match("nothing")]
     out = parts[0]
     for p in parts[1:]:
         out = out & p
@@ -121,18 +178,31 @@ def _count_of(text: Column, part: str) -> Column:
 
 
 def _occurrences(text: Column, leaf: Match) -> Column:
-    if len(leaf.words) == 1 and not leaf.prefix:
+    if len(leaf.words) == 1 and not leaf.prefix and not leaf.first:
         return _count_of(text, f" {leaf.words[0]} ")
     # look-ahead: overlapping phrases each count
     return F.regexp_count(text, F.lit(f"(?={leaf.pattern()})"))
 
 
 def _said(docs: DataFrame, text: str) -> Column:
-    return whole(docs) if text == "text" else F.col(text)
+    return F.coalesce(whole(docs) if text == "text" else F.col(text), F.lit(""))
+
+
+def bm25(leaves: int, tf, df, n: Column, length: Column, avg_len: Column) -> Column:
+    """Negative, lower is better; tf(i) and df(i) are the counts of leaf i in the text and over all texts."""
+    total = F.lit(0.0)
+    norm = fv.BM25_K1 * (1 - fv.BM25_B + fv.BM25_B * length / avg_len)
+    for i in range(leaves):
+        idf = F.greatest(F.ln((n - df(i) + 0.5) / (df(i) + 0.5)), F.lit(fv.BM25_IDF_FLOOR))
+        total = total + idf * tf(i) * (fv.BM25_K1 + 1) / (tf(i) + norm)
+    return -total
 
 
 def scored(docs: DataFrame, query: Match, text: str = "text", scope: Column | None = None) -> DataFrame:
-    """docs in scope matching the query, with bm25 rank (negative, lower is better); statistics are those of all docs."""
+    """docs in scope matching the query, with their rank, by reading all texts; statistics are those of all docs.
+
+    For a table that is searched more than once see text_index, which reads the query's terms only.
+    """
     leaves = query.leaves()
     rows = docs.withColumn("__t", token_text(_said(docs, text)))
     rows = rows.withColumns({"__len": _count_of(F.col("__t"), "  ") - 1,
@@ -141,13 +211,8 @@ def scored(docs: DataFrame, query: Match, text: str = "text", scope: Column | No
         F.count("*").cast("double").alias("n"), F.avg("__len").alias("avg_len"),
         *[F.sum((F.col(f"__tf{i}") > 0).cast("double")).alias(f"df{i}") for i in range(len(leaves))]).alias("s"))
     hits = rows.filter(query.test(F.col("__t")) if scope is None else query.test(F.col("__t")) & scope).withColumn("__s", sums.scalar())
-    total = F.lit(0.0)
-    for i in range(len(leaves)):
-        df, tf = F.col(f"__s.df{i}"), F.col(f"__tf{i}").cast("double")
-        idf = F.greatest(F.ln((F.col("__s.n") - df + 0.5) / (df + 0.5)), F.lit(fv.BM25_IDF_FLOOR))
-        norm = fv.BM25_K1 * (1 - fv.BM25_B + fv.BM25_B * F.col("__len") / F.col("__s.avg_len"))
-        total = total + idf * tf * (fv.BM25_K1 + 1) / (tf + norm)
-    out = hits.withColumn("rank", -total)
+    rank = bm25(len(leaves), lambda i: F.col(f"__tf{i}").cast("double"), lambda i: F.col(f"__s.df{i}"), F.col("__s.n"), F.col("__len"), F.col("__s.avg_len"))
+    out = hits.withColumn("rank", rank)
     return out.drop(*[c for c in out.columns if c.startswith("__")])
 
 
@@ -190,19 +255,28 @@ def postings(docs: DataFrame, doc_id: str, text: str = "text") -> DataFrame:
     return rows.groupBy("term", doc_id).agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
 
 
-def sessions_first(c: Corpus, query: Match, lanes: list[str], limit: int = 20, candidates: int | None = None, per_session: int = 3, recent: bool = False) -> DataFrame:
-    """Hits (all, or the first `candidates`) grouped by session: how many, best rank, first snippets; best rank, then hits, then recency."""
-    found = scored(c.messages, query, scope=F.col("lane").isin(lanes))
-    top = staged(found if candidates is None else found.orderBy("rank", "session_id", "line_no").limit(candidates), "search-hits")
-    from pyspark.sql import Window
+def sessions_first(c: Corpus, query: Match, lanes: list[str], limit: int = 20, candidates: int | None = None, per_session: int = 3, recent: bool = False,
+                   index=None, well: str | None = None, exact: bool = False) -> DataFrame:
+    """Hits (all, or the first `candidates`) grouped by session: how many, best rank, first snippets; best rank, then hits, then recency.
 
-    w = Window.partitionBy("session_id").orderBy("rank", "line_no")  # the limit on its number is applied before the shuffle too
-    shown = (top.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= per_session)
-             .withColumn("snippet", snippet(whole(top), query, 18)).groupBy("session_id")
-             .agg(F.array_sort(F.collect_list(F.struct("i", "lane", "snippet"))).alias("snippets")))
+    With an index (text_index) only the query's postings are read, and of the texts those of the
+    sessions on the page.
+    """
+    key = ["session_id", "line_no", "pos"]
+    scope = F.col("lane").isin(lanes)
+    found = (scored(c.messages, query, scope=scope) if index is None else index.hits(query, scope)).select(*key, "lane", "rank")
+    if well:
+        found = found.join(in_wells(c.sessions, c.wells, "well", well, exact).select("session_id"), "session_id", "left_semi")
+    top = staged(found if candidates is None else found.orderBy("rank", *key).limit(candidates), "search-hits")
     grouped = top.groupBy("session_id").agg(F.count("*").alias("hits"), F.min("rank").alias("best_rank"))
     s = c.sessions.select("session_id", "well", F.coalesce("last_activity_ts", "last_ts").alias("last_at"))
-    mine = c.messages.join(grouped.select("session_id"), "session_id", "left_semi")
-    out = grouped.join(shown, "session_id").join(s, "session_id").join(ses.openers(mine), "session_id", "left")
     order = [F.col("last_at").desc(), "best_rank"] if recent else ["best_rank", F.col("hits").desc(), F.col("last_at").desc()]
-    return out.orderBy(*order, "session_id").limit(limit)
+    page = staged(grouped.join(s, "session_id").orderBy(*order, "session_id").limit(limit), "search-sessions")
+    ids = [r.session_id for r in page.select("session_id").collect()]
+    mine = c.messages.where(F.col("session_id").isin(ids))
+    w = Window.partitionBy("session_id").orderBy("rank", "line_no", "pos")  # the limit on its number is applied before the shuffle too
+    few = top.where(F.col("session_id").isin(ids)).withColumn("i", F.row_number().over(w)).where(F.col("i") <= per_session).drop("lane")
+    shown = (mine.join(F.broadcast(few), key).withColumn("snippet", snippet(whole(mine), query, 18)).groupBy("session_id")
+             .agg(F.array_sort(F.collect_list(F.struct("i", "lane", "snippet"))).alias("snippets")))
+    out = page.join(shown, "session_id", "left").join(ses.openers(mine), "session_id", "left")
+    return out.orderBy(*order, "session_id")

@@ -114,7 +114,7 @@ def test_search_semantics(spark):
     ids = lambda q: sorted(r.id for r in sr.scored(docs, q).collect())
     assert ids(sr.all_words("alpha beta")) == [1, 2] and ids(sr.phrase("alpha", "beta")) == [1] and ids(sr.starts("alph")) == [1, 2, 3]
     assert ids(sr.word("delta") | sr.word("nothing")) == [3, 4] and ids(sr.starts("alph") - sr.word("gamma")) == [3]
-    assert ids(sr.near(sr.word("alpha"), sr.word("gamma"), 0)) == [2] and ids(sr.near(sr.word("alpha"), sr.word("gamma"), 1)) == [1, 2]
+    assert ids(sr.near(sr.word("alpha"), sr.word("gamma"), distance=0)) == [2] and ids(sr.near(sr.word("alpha"), sr.word("gamma"), distance=1)) == [1, 2]
     top = sr.search(docs, sr.word("alpha"), 1, tie="id").first()
     assert top.id == 2 and top.rank < 0 and top.snippet == "«alpha» gamma beta «alpha»"
 

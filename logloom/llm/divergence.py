@@ -42,10 +42,9 @@ def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flushed() -> Iterator[pa.RecordBatch]:
         for (lang, source), counted in uses.items():
-            docs = holders[lang, source]
-            terms = list(counted)
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(terms), "source": [source] * len(terms), "term": pa.array(terms, pa.binary()).cast(pa.string()),
-                                              "n": pa.array(counted.values(), pa.int64()), "docs": pa.array([docs[t] for t in terms], pa.int64())})
+            docs, terms = holders[lang, source], list(counted)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()), pa.array(terms, pa.binary()).cast(pa.string()),
+                                              pa.array(counted.values(), pa.int64()), pa.array([docs[t] for t in terms], pa.int64())], ["lang", "source", "term", "n", "docs"])
     for batch in batches:
         for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
             own = Counter(_TERM.findall(text.encode().lower()))

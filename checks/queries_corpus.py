@@ -58,11 +58,12 @@ def _(spark, sf):
     return sd.history(as_lines(c, torn))
 
 
-@query("a06_limit_log", with_ctes(["limits_t"], "SELECT session_id, epoch_ms(ts) AS ts_ms, kind, pct, epoch_ms(resets_at) AS resets_ms FROM limits_t WHERE seq % 10 <> 7 AND seq % 10 <> 3"))
+@query("a06_limit_log", with_ctes(["limits_t"], "SELECT session_id, epoch_ms(ts) AS ts_ms, kind, pct, CASE WHEN seq % 10 <> 6 THEN epoch_ms(resets_at) END AS resets_ms FROM limits_t WHERE seq % 10 NOT IN (3, 5, 7)"))
 def _(spark, sf):
     l = st.limits(spark, sf)
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    line = F.to_json(F.struct(iso("ts").alias("ts"), F.col("session_id").alias("session"), F.when(F.col("seq") % 10 != 3, F.col("kind")).alias("kind"), "pct", iso("resets_at").alias("resetsAt")))
+    line = F.to_json(F.struct(F.when(F.col("seq") % 10 == 5, "not a time").when(F.col("seq") % 10 == 4, F.unix_millis("ts").cast("string")).otherwise(iso("ts")).alias("ts"), F.col("session_id").alias("session"),
+                                F.when(F.col("seq") % 10 != 3, F.col("kind")).alias("kind"), "pct", F.when(F.col("seq") % 10 == 6, "soon").otherwise(iso("resets_at")).alias("resetsAt")))
     torn = F.when(F.col("seq") % 10 == 7, F.substring(line, 1, 25)).otherwise(line)
     rows = sd.limit_log(as_lines(l, torn))
     return rows.select("session_id", F.unix_millis("ts").alias("ts_ms"), "kind", "pct", F.unix_millis("resets_at").alias("resets_ms"))
@@ -138,17 +139,20 @@ def _(spark, sf):
 
 
 @query("a11_b23_b27_workflow_runs", """SELECT 'wf_' || cast(p_partkey AS string) AS run_id, 'w' AS well_dir, 's1' AS session_id, CASE WHEN p_partkey % 5 <> 0 THEN p_name END AS name,
-    CASE WHEN p_partkey % 5 <> 0 THEN 'find {' || p_type || '} parts' END AS description, CASE WHEN p_partkey % 5 <> 0 THEN 'scan — read } all|' || p_brand END AS phases FROM part WHERE p_partkey % 8 <> 3""")
+    CASE WHEN p_partkey % 5 <> 0 THEN 'find {' || p_type || '} parts' END AS description, CASE WHEN p_partkey % 5 <> 0 THEN 'scan — read } all|' || p_brand END AS phases,
+    CASE WHEN p_partkey % 4 IN (1, 2) THEN 1704067200000 + p_partkey * 1000 END AS recorded_ms FROM part WHERE p_partkey % 8 <> 3""")
 def _(spark, sf):
     p = table(spark, sf, "part")
     meta = F.concat(F.lit("export const meta = { name: '"), "p_name", F.lit("', description: \"find {"), "p_type",
                     F.lit("} parts\", phases: [ { title: 'scan', detail: `read } all` }, { title: '"), "p_brand", F.lit("' } ] }\nrun({ name: 'other' })"))
     script = F.when(F.col("p_partkey") % 5 != 0, meta).otherwise("run()")
     run = F.concat(F.lit("wf_"), F.col("p_partkey").cast("string"))
-    body = F.to_json(F.struct(run.alias("runId"), script.alias("script")))
+    ms = F.lit(1704067200000) + F.col("p_partkey") * 1000
+    at = F.when(F.col("p_partkey") % 4 == 1, ms.cast("string")).when(F.col("p_partkey") % 4 == 2, F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(F.col("p_partkey") % 4 == 3, "9" * 30)
+    body = F.to_json(F.struct(run.alias("runId"), script.alias("script"), at.alias("timestamp")))
     torn = F.when(F.col("p_partkey") % 8 == 3, F.substring(body, 1, 20)).otherwise(body)
     rows = sd.workflow_runs(p.select(F.concat(F.lit("/logs/w/s1/workflows/"), run, F.lit(".json")).alias("file_path"), torn.alias("value")))
-    return rows.select("run_id", "well_dir", "session_id", "name", "description", F.array_join(sp.phase_labels(F.col("phases")), "|").alias("phases"))
+    return rows.select("run_id", "well_dir", "session_id", "name", "description", F.array_join(sp.phase_labels(F.col("phases")), "|").alias("phases"), F.unix_millis("recorded_ts").alias("recorded_ms"))
 
 
 # --- documents -------------------------------------------------------------------------

@@ -310,25 +310,30 @@ SAID = """concat('said ', CASE WHEN {k} % 4 = 0 THEN repeat('x', 700) ELSE '' EN
 
 
 def denial_steps(spark, sf):
-    """error events are denials of the call before them; signups are human turns."""
+    """error events are denials of a call; signups are human turns. Some records make two calls, some deny the second, some deny two."""
     ev = spark.read.parquet(f"{sf}/events.parquet").selectExpr(*[f"{e} AS {n}" for n, e in st.event_base("spark").items()])
     cmd = F.concat(F.lit("run x"), (F.col("k") % 4).cast("string"), F.when(F.col("k") % 3 == 0, F.lit(" && make all")).otherwise(F.lit("")))
-    act = F.col("et") == "click"
+    act, n = F.col("et") == "click", (F.col("k") % 5).cast("string")
+    second = F.when(F.col("k") % 3 == 1, F.struct(F.concat(F.lit("d"), n).alias("id"), F.lit("Bash").alias("tool"), F.concat(F.lit("also y"), (F.col("k") % 4).cast("string")).alias("cmd")))
     return ev.select(
         F.col("session_id").alias("file_path"), "session_id", "line_no", "ts", F.concat(F.lit("/u/code/"), "well").alias("cwd"),
         F.when(F.col("et") == "error", F.when(F.col("k") % 2 == 0, "automode-blocked").otherwise("user-rejected")).alias("kind"),
         F.when(act, F.concat(F.lit("c"), (F.col("k") % 5).cast("string"))).alias("call_id"), F.when(act, F.when(F.col("k") % 7 == 0, "Edit").otherwise("Bash")).alias("call_tool"),
         F.when(act, cmd).alias("call_cmd"), F.when(F.col("et") == "purchase", F.expr(SAID.format(k="k"))).alias("said"),
-        F.when(F.col("et") == "error", F.concat(F.lit("c"), (F.col("k") % 5).cast("string"))).alias("result_id"), (F.col("et") == "signup").alias("human"),
+        F.when(act, F.array_compact(F.array(F.struct(F.concat(F.lit("c"), n).alias("id"), F.when(F.col("k") % 7 == 0, "Edit").otherwise("Bash").alias("tool"), cmd.alias("cmd")), second))).alias("calls"),
+        F.when(F.col("et") == "error", F.concat(F.when(F.col("k") % 3 == 2, "d").otherwise("c"), n)).alias("result_id"),
+        F.when(F.col("et") == "error", F.when(F.col("k") % 6 == 2, F.array(F.concat(F.lit("d"), n), F.concat(F.lit("c"), n))).otherwise(F.array(F.concat(F.when(F.col("k") % 3 == 2, "d").otherwise("c"), n)))).alias("result_ids"), (F.col("et") == "signup").alias("human"),
         F.when(F.col("et") == "error", F.concat(F.lit("because "), (F.col("k") % 6).cast("string"))).alias("reason"))
 
 
-DENIED = f"""st0 AS (SELECT *, et = 'click' AS act, 'c' || cast(k % 5 AS string) AS id, CASE WHEN k % 7 = 0 THEN 'Edit' ELSE 'Bash' END AS tool,
+DENIED = f"""st0 AS (SELECT *, et = 'click' AS act, CASE WHEN et = 'error' AND k % 3 = 2 THEN 'd' ELSE 'c' END || cast(k % 5 AS string) AS id, CASE WHEN k % 7 = 0 THEN 'Edit' ELSE 'Bash' END AS tool,
       'run x' || cast(k % 4 AS string) || CASE WHEN k % 3 = 0 THEN ' && make all' ELSE '' END AS cmd, CASE WHEN k % 2 = 0 THEN 'automode-blocked' ELSE 'user-rejected' END AS dk FROM ev),
     nx AS (SELECT *, first_value(CASE WHEN act THEN line_no END IGNORE NULLS) OVER w AS nl, first_value(CASE WHEN et = 'purchase' THEN line_no END IGNORE NULLS) OVER w AS sl,
         first_value(CASE WHEN et = 'signup' THEN line_no END IGNORE NULLS) OVER w AS hl FROM st0 WINDOW w AS (PARTITION BY session_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
-    src AS (SELECT session_id, id, arg_max(tool, line_no) AS tool, arg_max(cmd, line_no) AS cmd FROM st0 WHERE act GROUP BY 1, 2),
-    den AS (SELECT session_id, id, arg_max(dk, line_no) AS nd FROM st0 WHERE et = 'error' GROUP BY 1, 2),
+    src AS (SELECT session_id, id, arg_max(tool, line_no) AS tool, arg_max(cmd, line_no) AS cmd FROM (SELECT session_id, id, tool, cmd, line_no FROM st0 WHERE act
+      UNION ALL SELECT session_id, 'd' || cast(k % 5 AS string), 'Bash', 'also y' || cast(k % 4 AS string), line_no FROM st0 WHERE act AND k % 3 = 1) GROUP BY 1, 2),
+    den AS (SELECT session_id, id, arg_max(dk, line_no) AS nd FROM (SELECT session_id, id, dk, line_no FROM st0 WHERE et = 'error'
+      UNION ALL SELECT session_id, 'c' || cast(k % 5 AS string), dk, line_no FROM st0 WHERE et = 'error' AND k % 6 = 2) GROUP BY 1, 2),
     dr AS (SELECT n.session_id, n.line_no, n.dk AS kind, 'because ' || cast(n.k % 6 AS string) AS reason, coalesce(s.tool, '?') AS tool, coalesce(s.cmd, '') AS cmd, coalesce(c.tool, '') AS next_tool, coalesce(c.cmd, '') AS next_cmd,
         coalesce(d.nd, '') AS next_denied, CASE WHEN sl IS NOT NULL AND (nl IS NULL OR sl <= nl) THEN {SAID.format(k='t.k')} ELSE '' END AS next_text, hl IS NOT NULL AND (nl IS NULL OR hl < nl) AS human_first,
         regexp_extract(n.well, 'w[0-9]+') AS w
@@ -354,7 +359,7 @@ def _(spark, sf):
 
 @query("e26_response_shapes", with_ctes(["ev"], f"""WITH {DENIED}, s AS (SELECT CASE WHEN human_first THEN 'stopped, handed to the human' WHEN next_cmd = '' THEN 'no further tool call' WHEN cmd = next_cmd THEN 'RETRIED VERBATIM'
       WHEN tool <> next_tool THEN 'switched to another tool' WHEN cmd LIKE '%&&%' AND (split_part(cmd, ' && ', 1) = split_part(next_cmd, ' && ', 1) OR next_cmd LIKE '%make all%') THEN 'split the compound, ran the allowed part'
-      WHEN cmd <> '' THEN 'same program, reshaped' ELSE 'dropped it, moved on' END AS shape FROM dr WHERE kind = 'automode-blocked')
+      WHEN cmd LIKE 'run %' THEN 'same program, reshaped' ELSE 'dropped it, moved on' END AS shape FROM dr WHERE kind = 'automode-blocked')
     SELECT shape, count(*) AS n, {half_even('100.0 * count(*) / (SELECT count(*) FROM s)')} AS pct FROM s GROUP BY 1"""))
 def _(spark, sf):
     return dn.shapes(dn.denial_rows(denial_steps(spark, sf)))

@@ -33,6 +33,18 @@ def _(spark, sf):
         "request_id", "text", "cwd", "ts_ms")
 
 
+@query("a01_bad_instants", with_ctes(["messages_t"], """SELECT session_id, seq AS line_no, lane, prompt_id, CASE WHEN line_no % 7 NOT IN (3, 5, 6) THEN epoch_ms(ts) END AS ts_ms FROM messages_t
+    JOIN (SELECT session_id, line_no, row_number() OVER (PARTITION BY session_id ORDER BY line_no) AS seq FROM rec) USING (session_id, line_no)"""))
+def _(spark, sf):
+    said = r'"timestamp":"([^"]*)"'
+    lines, at = st.event_lines(spark, sf), F.col("row_seq") % 7
+    millis = F.unix_millis(F.to_timestamp(F.regexp_extract("value", said, 1))).cast("string")
+    put = F.when(at == 3, F.lit("not a time")).when(at == 4, millis).when(at == 5, F.lit("")).when(at == 6, F.lit("99999999999999999999"))
+    bad = lines.withColumn("value", F.when(put.isNull(), F.col("value")).otherwise(F.regexp_replace("value", F.lit(said), F.concat(F.lit('"timestamp":"'), put, F.lit('"')))))
+    rows = tr.messages_of(tr.entries_of(tr.number_records(tr.parse_lines(tr.session_lines(bad)))))
+    return rows.select("session_id", "line_no", "lane", "prompt_id", F.unix_millis("ts").alias("ts_ms"))
+
+
 SPAN = """SELECT session_id, well, lines, epoch_ms(first_ts) AS first_ms, epoch_ms(last_ts) AS last_ms, epoch_ms(last_activity_ts) AS active_ms,
     job_session_id, bridge_key FROM sessions_t"""
 

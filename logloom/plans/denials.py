@@ -23,7 +23,11 @@ def input_target(payload: Column) -> Column:
 
 
 def record_steps(records: DataFrame) -> DataFrame:
-    """Numbered log records -> the fields the report follows, one row per record."""
+    """Numbered log records -> the fields the report follows, one row per record.
+
+    A record may hold several calls or results: `calls` and `result_ids` list them all, so that any
+    of them is found again. What came next, and what was denied, goes by the first.
+    """
     calls = F.filter("blocks", lambda b: b["type"] == "tool_use")
     first = F.try_element_at(calls, F.lit(1))
     results = F.filter("blocks", lambda b: b["type"] == "tool_result")
@@ -36,7 +40,8 @@ def record_steps(records: DataFrame) -> DataFrame:
         F.when(assistant, first["id"]).alias("call_id"), F.when(assistant, first["name"]).alias("call_tool"),
         F.when(assistant & first.isNotNull(), input_target(first["input"])).alias("call_cmd"),
         F.when(assistant, F.nullif(F.trim(texts), F.lit(""))).alias("said"),
-        F.when(user, result["tool_use_id"]).alias("result_id"),
+        F.when(assistant, F.transform(calls, lambda b: F.struct(b["id"].alias("id"), b["name"].alias("tool"), input_target(b["input"]).alias("cmd")))).alias("calls"),
+        F.when(user, result["tool_use_id"]).alias("result_id"), F.when(user, F.transform(results, lambda b: b["tool_use_id"])).alias("result_ids"),
         (user & (F.coalesce(F.size(results), F.lit(0)) <= 0) & ~F.coalesce("is_meta", F.lit(False))).alias("human"),
         F.when(F.col("denial_kind").isNotNull(), fold_space(F.regexp_extract(raw, r"(?s)Reason:\s*(.*?)(?:\s*If you have other tasks|$(?![\s\S]))", 1))).alias("reason"))
 
@@ -44,6 +49,7 @@ def record_steps(records: DataFrame) -> DataFrame:
 def denial_rows(steps: DataFrame) -> DataFrame:
     """One row per denial, with the next call, the text before it, and who spoke first.
 
+    The denied call is any call of the file under the result's id, the last one if the id returns.
     "Next" is a backward scan over chunks: the nearest following call, text and
     human record are carried towards the denial.
     """
@@ -52,10 +58,11 @@ def denial_rows(steps: DataFrame) -> DataFrame:
     rows = scan(steps, ["file_path"], ["line_no"], descending=True, carry_before={
         "next_call": F.when(acted, call), "next_said": F.when(F.col("said").isNotNull(), F.struct("line_no", "said")),
         "next_human": F.when(F.col("human"), F.col("line_no"))})
-    rows = rows.filter(F.col("kind").isNotNull())
-    calls = steps.filter(acted).groupBy("file_path", F.col("call_id").alias("result_id")).agg(
-        F.max_by(F.struct(F.col("call_tool").alias("tool"), F.col("call_cmd").alias("cmd")), "line_no").alias("src"))
-    denied = steps.filter("kind IS NOT NULL AND result_id IS NOT NULL").groupBy("file_path", F.col("result_id").alias("nid")).agg(F.max_by("kind", "line_no").alias("next_denied"))
+    rows = rows.filter(F.col("kind").isNotNull()).drop("calls", "result_ids")
+    made = steps.select("file_path", "line_no", F.posexplode("calls").alias("pos", "c"))
+    calls = made.groupBy("file_path", F.col("c.id").alias("result_id")).agg(F.max_by(F.struct("c.tool", "c.cmd"), F.struct("line_no", "pos")).alias("src"))
+    told = steps.filter("kind IS NOT NULL").select("file_path", "line_no", "kind", F.explode("result_ids").alias("nid"))
+    denied = told.groupBy("file_path", "nid").agg(F.max_by("kind", "line_no").alias("next_denied"))
     before = F.col("next_call").isNull() | (F.col("next_said.line_no") <= F.col("next_call.line_no"))
     human = F.col("next_human").isNotNull() & (F.col("next_call").isNull() | (F.col("next_human") < F.col("next_call.line_no")))
     return (rows.join(calls, ["file_path", "result_id"], "left").withColumn("nid", F.col("next_call.id")).join(denied, ["file_path", "nid"], "left")

@@ -19,6 +19,7 @@ as texts. One posting holds a term's places in one text, so it is bounded by the
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -32,7 +33,7 @@ from logloom.plans.query_text import read
 from logloom.schemas import Corpus, whole
 from logloom.sources.side_files import instant
 
-BUCKETS, HEAD = 256, 2
+BUCKETS, HEAD = 64, 2
 
 
 def _bucket(term: Column, buckets: int) -> Column:
@@ -51,13 +52,15 @@ class TextIndex:
     owner: str
     carry: tuple[str, ...] = field(default=())
     buckets: int = BUCKETS
+    seen: dict = field(default_factory=dict, compare=False, repr=False)
 
     # --- writing ----------------------------------------------------------------------
 
     def write(self, docs: DataFrame, text: Column, generation: int = 0) -> "TextIndex":
         """Index docs as one generation; all earlier postings of their owners are out of use from then on."""
         held = list(dict.fromkeys([*self.keys, self.owner, *self.carry]))
-        rows = docs.select(*held, tokens(F.coalesce(text, F.lit(""))).alias("w")).withColumn("length", F.size("w"))
+        # cut into tokens once: the owners' sums, the ranges' sample and the exchange read them from here
+        rows = staged(docs.select(*held, tokens(F.coalesce(text, F.lit(""))).alias("w")), "index-tokens").withColumn("length", F.size("w"))
         spread = rows.select(*held, "length", F.posexplode("w").alias("at_token", "term")).withColumn("bucket", _bucket(F.col("term"), self.buckets))
         order = ["bucket", "term", *self.keys]
         # the one exchange: grouping, order of the files and folders all follow it
@@ -90,11 +93,18 @@ class TextIndex:
 
     # --- reading ----------------------------------------------------------------------
 
+    def _table(self, name: str) -> DataFrame:
+        # the columns stay the same from generation to generation: footers are read for them once
+        found = self.spark.read.schema(self.seen[name]).parquet(f"{self.path}/{name}") if name in self.seen else self.spark.read.parquet(f"{self.path}/{name}")
+        self.seen[name] = found.schema
+        return found
+
     def generations(self) -> list[int]:
-        return [r.generation for r in self.spark.read.parquet(f"{self.path}/owners").select("generation").distinct().collect()]
+        """Told by the folders of the owners' files, without a job."""
+        return sorted({int(g) for f in self._table("owners").inputFiles() for g in re.findall(r"/generation=(\d+)/", f)})
 
     def _owners(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/owners").groupBy("owner", "generation").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        return self._table("owners").groupBy("owner", "generation").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
 
     def live_owners(self) -> DataFrame:
         last = F.max_by(F.struct("generation", "docs", "tokens"), "generation")
@@ -103,7 +113,7 @@ class TextIndex:
     def postings(self, wanted: Column | None = None) -> DataFrame:
         """Postings in use, of the wanted terms."""
         generations = self.generations()
-        rows = self.spark.read.parquet(f"{self.path}/postings").where(F.col("generation").isin(generations))
+        rows = self._table("postings").where(F.col("generation").isin(generations))
         rows = rows if wanted is None else rows.where(wanted)
         if len(generations) == 1:
             return rows
@@ -142,7 +152,7 @@ class TextIndex:
         query = read(query) if isinstance(query, str) else query
         held = list(dict.fromkeys([*self.keys, self.owner, *self.carry]))
         if not query.leaves():
-            return self.spark.read.parquet(f"{self.path}/postings").where("false").select(*held, F.lit(0.0).alias("rank"))
+            return self._table("postings").where("false").select(*held, F.lit(0.0).alias("rank"))
         rows, columns = self._matched(query)
         leaves = [columns[p] for p in query.leaves()]
         figures = rows.agg(F.struct(*[F.sum((F.size(c) > 0).cast("double")).alias(f"df{i}") for i, c in enumerate(leaves)])).scalar()

@@ -32,8 +32,8 @@ def _parsed(lines: DataFrame, schema: str) -> DataFrame:
 
 
 def instant(s):
-    """An instant spelled in ISO or as epoch milliseconds."""
-    return F.when(s.rlike(r"^\d+$"), F.timestamp_millis(s.try_cast("bigint"))).otherwise(F.try_to_timestamp(s))
+    """An instant spelled in ISO or as epoch milliseconds; NULL where it is neither."""
+    return F.when(s.rlike(r"^\d{9,14}$"), F.timestamp_millis(s.try_cast("bigint"))).otherwise(F.try_to_timestamp(s))
 
 
 def history(lines: DataFrame) -> DataFrame:
@@ -44,10 +44,10 @@ def history(lines: DataFrame) -> DataFrame:
 
 
 def limit_log(lines: DataFrame) -> DataFrame:
-    """Window readings of source 'mod'; invalid lines skipped, the first of equal keys kept."""
-    rows = _parsed(lines, schemas.LIMIT_LINE).filter("r._corrupt IS NULL AND r.ts IS NOT NULL AND r.kind IS NOT NULL AND r.pct IS NOT NULL")
-    rows = rows.select(F.lit("mod").alias("source"), F.col("r.session").alias("session_id"), F.to_timestamp("r.ts").alias("ts"), F.col("r.kind").alias("kind"),
-                       F.col("r.pct").alias("pct"), F.to_timestamp("r.resetsAt").alias("resets_at"), "block_start", "row_seq")
+    """Window readings of source 'mod'; invalid lines skipped (also those without a readable time), the first of equal keys kept."""
+    rows = _parsed(lines, schemas.LIMIT_LINE).withColumn("ts", instant(F.col("r.ts"))).filter("r._corrupt IS NULL AND ts IS NOT NULL AND r.kind IS NOT NULL AND r.pct IS NOT NULL")
+    rows = rows.select(F.lit("mod").alias("source"), F.col("r.session").alias("session_id"), "ts", F.col("r.kind").alias("kind"),
+                       F.col("r.pct").alias("pct"), instant(F.col("r.resetsAt")).alias("resets_at"), "block_start", "row_seq")
     at = F.struct("block_start", "row_seq")
     return top_one(rows, ["source", "session_id", "ts", "kind"], at, ["pct", "resets_at"])
 
@@ -125,4 +125,4 @@ def workflow_runs(files: DataFrame) -> DataFrame:
     return rows.select(F.col("r.runId").alias("run_id"), F.regexp_extract("file_path", RUN_PATH, 1).alias("well_dir"),
                        F.regexp_extract("file_path", RUN_PATH, 2).alias("session_id"), F.col("m.name").alias("name"), F.col("m.description").alias("description"),
                        F.when(F.size("m.phases") > 0, F.col("m.phases")).alias("phases"), F.col("r.taskId").alias("task_id"), F.col("r.script").alias("script"),
-                       F.to_timestamp("r.timestamp").alias("recorded_ts"))
+                       instant(F.col("r.timestamp")).alias("recorded_ts"))

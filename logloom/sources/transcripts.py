@@ -9,6 +9,7 @@ from logloom.functions.envelope import ack_msg_id, bridge_key
 from logloom.functions.text import extract
 from logloom.operators.ordered import scan
 from logloom.schemas import BLOCKS, LIST_KINDS, RECORD, RESULT_KINDS, REQUEST_TOKENS, TEXT_BLOCKS, whole
+from logloom.sources.side_files import instant
 
 SESSION_PATH = r"/([^/]+)/([^/]+)\.jsonl$"
 SPAWN_PATH = r"/([^/]+)/([^/]+)/subagents/(?:workflows/(wf_[^/]+)/)?agent-([^/]+)\.jsonl$"
@@ -54,7 +55,8 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     """Parsed records: blank and malformed lines dropped, one row per remaining line.
 
     `blocks` holds what may become entries, whatever shape the record had: content
-    blocks as they are, or one text block for a plain string.
+    blocks as they are, or one text block for a plain string. A timestamp that is no
+    instant gives a record without one: it keeps its place in the file.
     """
     ids = [c for c in lines.columns if c != "value"]
     parsed = (lines.filter(F.trim("value") != "")
@@ -100,7 +102,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         *ids,
         F.coalesce("r.type", F.lit("unknown")).alias("type"),
         F.col("r.uuid").alias("uuid"),
-        F.to_timestamp("r.timestamp").alias("ts"),
+        instant(F.col("r.timestamp")).alias("ts"),
         F.col("r.cwd").alias("cwd"), F.col("r.gitBranch").alias("git_branch"),
         F.nullif(F.col("r.promptId"), F.lit("")).alias("prompt_id"),
         F.when(~F.col("r.session_id").eqNullSafe(F.col("r.sessionId")), F.col("r.session_id")).alias("root_id"),
@@ -118,7 +120,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         token("output_tokens_details.thinking_tokens").alias("thinking_tokens"),
         F.when((F.col("r.type") == "assistant") & (F.col("r.apiError") == "usage_limit_reached"),
                limit["rateLimitType"]).alias("limit_kind"),
-        F.timestamp_seconds(limit["resetsAt"]).alias("limit_resets_at"),
+        limit["resetsAt"].try_cast("timestamp").alias("limit_resets_at"),
         F.col("r.toolDenialKind").alias("denial_kind"), F.col("r.toolUseResult").alias("tool_use_result"),
         blocks.alias("blocks"), "list_results")
 

@@ -221,3 +221,34 @@ def test_redaction_reaches_json_text(spark):
     got = [r.state for r in rf.redacted(rows, "/home/me", json={"state": kind}).collect()]
     assert json.loads(got[0]) == {"detail": "detail", "at": {"path": "/Users/u/x"}, "tags": ["-Users-u-y"]}
     assert got[1:] == ["{}", None]
+
+
+def test_parallel_calls_of_a_record_are_all_known(spark, tmp_path):
+    denied = user(3, [result("t2", "x")], toolDenialKind="automode-blocked", toolUseResult="Reason: no")
+    both = user(5, [result("t3", "x"), result("t4", "y")], toolDenialKind="user-rejected", toolUseResult="Reason: stop")
+    recs = [reply(2, "m1", call("t1", "Read", file_path="/a")), denied, reply(4, "m2", call("t4", "Bash", command="rm -r /b")), both]
+    recs[0]["message"]["content"].append(call("t2", "Bash", command="rm -r /b"))
+    recs[2]["message"]["content"].append(call("t3", "Edit", file_path="/c"))
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "s1.jsonl").write_text("\n".join(json.dumps(r) for r in recs))
+    first, second = dn.read_denials(tr.read_lines(spark, str(tmp_path))).orderBy("line_no").collect()
+    assert (first.tool, first.cmd, first.next_cmd, first.next_denied) == ("Bash", "rm -r /b", "rm -r /b", "user-rejected")
+    assert (second.tool, second.cmd, second.next_tool) == ("Edit", "/c", "")
+    assert [s.shape for s in dn.shapes(dn.read_denials(tr.read_lines(spark, str(tmp_path)))).collect()] == ["RETRIED VERBATIM"]
+
+
+def test_a_record_without_a_readable_time_stays(spark):
+    from logloom.sources import side_files as sd
+
+    said = ["2026-01-01T00:00:00Z", "not a time", "1767225600000", "", "9" * 25, "2026-13-45T99:00:00Z", None]
+    records = [{**user(i, f"text {i}"), "timestamp": t} for i, t in enumerate(said)]
+    refused = {"type": "assistant", "apiError": "usage_limit_reached", "apiErrorParams": {"rate_limit_info": {"rateLimitType": "five_hour", "resetsAt": 1e300}}, "message": {"model": "<synthetic>", "content": []}}
+    lines = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate([*records, refused])], "no long, value string")
+    rows = {r.no: r for r in tr.parse_lines(lines).collect()}
+    assert [rows[i].ts and rows[i].ts.isoformat() for i in range(7)] == ["2026-01-01T00:00:00", None, "2026-01-01T00:00:00", None, None, None, None]
+    assert rows[7].limit_kind == "five_hour"
+    raw = spark.createDataFrame([(json.dumps({"ts": t, "session": "s", "kind": "k", "pct": 1.0, "resetsAt": z}), 0, i) for i, (t, z) in enumerate([("2026-01-01T00:00:00Z", "soon"), ("never", "2026-01-01T00:00:00Z")])],
+                                "value string, block_start long, row_seq long")
+    assert [(r.ts.isoformat(), r.resets_at) for r in sd.limit_log(raw).collect()] == [("2026-01-01T00:00:00", None)]
+    run = json.dumps({"runId": "r", "script": "x()", "timestamp": "yesterday"})
+    assert sd.workflow_runs(spark.createDataFrame([("/w/s/workflows/wf_r.json", run)], "file_path string, value string")).first().recorded_ts is None

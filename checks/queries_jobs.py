@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks import standins as st
+from checks import queries_trace as qt, standins as st
 from checks.queries_usage import KEYS, PRICE, SUB_TABLES, all_in_sql, r2
 from checks.registry import query
 from checks.standins import with_ctes
@@ -12,7 +12,7 @@ from logloom.functions import envelope as env
 from logloom.functions.python_helpers import slug
 from logloom.operators import identity as idn, packing
 from logloom.operators.stages import staged
-from logloom.plans import jobs as jb, sessions as ses, threads as th
+from logloom.plans import jobs as jb, sessions as ses, threads as th, trace as trc
 
 BASE = ["sessions_t", "jobs_t"]
 KEYED = """br AS (SELECT session_id AS root, min(bridge_key) AS b FROM jobs_t WHERE bridge_key IS NOT NULL GROUP BY 1),
@@ -86,6 +86,16 @@ def _(spark, sf):
     return idn.name_holders(keyed(spark, sf), st.jobs(spark, sf)).select("name", "key", "kind", "job_id")
 
 
+@query("d07_ambiguous_prefixes", with_ctes(BASE, f"""WITH {KEYED}, {NAMED}, {HOLD}, q AS (SELECT DISTINCT session_id AS sid, substr(session_id, 1, n::INT) AS q FROM sessions_t, range(1, 9) r(n)),
+    h AS (SELECT q, count(DISTINCT sid) AS hits, array_to_string(list_sort(list(DISTINCT sid))[1:5], ',') AS candidates FROM q GROUP BY 1 HAVING count(DISTINCT sid) > 1)
+    SELECT * FROM h WHERE q NOT IN (SELECT name FROM hold) AND q NOT IN (SELECT key FROM jk WHERE kind = 'bridge') AND q NOT IN (SELECT job_id FROM jobs_t) AND q NOT IN (SELECT job_session_id FROM jk WHERE job_session_id IS NOT NULL)"""))
+def _(spark, sf):
+    k, jobs = keyed(spark, sf), st.jobs(spark, sf)
+    asked = k.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda n: F.substring("session_id", F.lit(1), n))).alias("q")).distinct()
+    rows = idn.ambiguous_ids(asked, k, jobs)
+    return rows.select("q", "hits", F.array_join("candidates", ",").alias("candidates"))
+
+
 @query("d07_id_resolution", with_ctes(BASE, f"""WITH {KEYED}, {NAMED}, {HOLD},
     ask AS (SELECT DISTINCT q FROM (SELECT substr(session_id, 1, 8) AS q FROM sessions_t UNION ALL SELECT session_id FROM sessions_t UNION ALL SELECT name FROM jobs_t
       UNION ALL SELECT 'cse_' || bridge_key FROM jobs_t WHERE bridge_key IS NOT NULL UNION ALL SELECT substr(session_id, 1, 7) FROM sessions_t)),
@@ -211,22 +221,44 @@ def _(spark, sf):
     return c.sessions.join(relayed, "session_id", "left_semi").join(c.spawns.filter("open_requests > 3").select("session_id"), "session_id", "left_anti").select("session_id", "lines")
 
 
-@query("d19_fleet_tree", """WITH RECURSIVE listed AS (SELECT cast(p_partkey AS string) AS key, CASE WHEN p_partkey >= 10 THEN cast(p_partkey // 10 AS string) END AS up, p_brand AS repo FROM part
-      UNION ALL SELECT concat('chain', c_custkey), CASE WHEN c_custkey > 1 THEN concat('chain', c_custkey - 1) END, c_mktsegment FROM customer WHERE c_custkey <= 700
-      UNION ALL SELECT concat('ring', s_suppkey), CASE WHEN s_suppkey > 5 THEN concat('ring', s_suppkey - 5) WHEN s_suppkey > 1 THEN concat('ring', s_suppkey % 5 + 1) END, s_name FROM supplier),
-    t AS (SELECT key, key AS top, 0 AS depth, repo FROM listed WHERE up IS NULL
-    UNION ALL SELECT l.key, t.top, t.depth + 1, t.repo FROM listed l JOIN t ON t.key = l.up)
-    SELECT key, top, cast(least(depth, 3) AS bigint) AS depth, repo AS top_repo FROM t""")
-def _(spark, sf):
+FLEET = """listed AS (SELECT cast(p_partkey AS string) AS key, CASE WHEN p_partkey >= 10 THEN cast(p_partkey // 10 AS string) END AS up, p_brand AS repo FROM part
+      UNION ALL SELECT concat('chain', c_custkey), CASE WHEN c_custkey % 900 > 0 THEN concat('chain', c_custkey - 1) END, c_mktsegment FROM customer
+      UNION ALL SELECT concat('ring', s_suppkey), CASE WHEN s_suppkey > 5 THEN concat('ring', s_suppkey - 5) WHEN s_suppkey > 1 THEN concat('ring', s_suppkey % 5 + 1) END, s_name FROM supplier)"""
+
+
+def fleet(spark, sf):
     part = spark.read.parquet(f"{sf}/part.parquet")
     up = F.floor(F.col("p_partkey") / 10).cast("bigint")
     rows = part.select(F.col("p_partkey").cast("string").alias("key"), F.when(F.col("p_partkey") >= 10, up.cast("string")).alias("parent_key"), F.col("p_brand").alias("repo"))
     c, s = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("customer", "supplier"))
-    chain = c.filter("c_custkey <= 700").select(F.expr("concat('chain', c_custkey)"), F.expr("CASE WHEN c_custkey > 1 THEN concat('chain', c_custkey - 1) END"), "c_mktsegment")
+    chain = c.select(F.expr("concat('chain', c_custkey)"), F.expr("CASE WHEN c_custkey % 900 > 0 THEN concat('chain', c_custkey - 1) END"), "c_mktsegment")
     # the first five suppliers spawn each other in a ring, which the SQL cuts at the least key; the rest hang on it
     ring = s.select(F.expr("concat('ring', s_suppkey)"), F.expr("CASE WHEN s_suppkey > 5 THEN concat('ring', s_suppkey - 5) WHEN s_suppkey > 0 THEN concat('ring', s_suppkey % 5 + 1) END"), "s_name")
-    rows = rows.union(chain).union(ring)
-    return jb.fleet_tree(rows).select("key", "top", "depth", "top_repo")
+    return rows.union(chain).union(ring)
+
+
+@query("d19_fleet_tree", f"""WITH RECURSIVE {FLEET},
+    t AS (SELECT key, key AS top, 0 AS depth, repo FROM listed WHERE up IS NULL
+    UNION ALL SELECT l.key, t.top, t.depth + 1, t.repo FROM listed l JOIN t ON t.key = l.up)
+    SELECT key, top, cast(least(depth, 3) AS bigint) AS depth, repo AS top_repo FROM t""")
+def _(spark, sf):
+    return jb.fleet_tree(fleet(spark, sf)).select("key", "top", "depth", "top_repo")
+
+
+# the order of the listing is drawn from the key; siblings and groups follow it
+@query("d19_fleet_listing", f"""WITH RECURSIVE {FLEET}, r AS (SELECT key, up, repo, ('0x' || substr(md5(key), 1, 5))::BIGINT AS rank, substr(md5(key), 1, 1) IN ('0', '7') AS live FROM listed),
+    t AS (SELECT key, 0 AS depth, repo, [printf('%09d', rank) || key] AS way FROM r WHERE up IS NULL
+      UNION ALL SELECT r.key, t.depth + 1, t.repo, list_append(t.way, printf('%09d', rank) || r.key) FROM r JOIN t ON t.key = r.up),
+    j AS (SELECT t.*, r.rank, r.live FROM t JOIN r USING (key)),
+    g AS (SELECT repo, min(rank) AS first, count(*) AS n, count(*) FILTER (live) AS live FROM j GROUP BY 1),
+    o AS (SELECT 'group' AS kind, repo, NULL::VARCHAR AS key, NULL::BIGINT AS depth, n, live, [printf('%09d', first) || repo] AS way FROM g
+      UNION ALL SELECT 'row', repo, key, least(depth, 3)::BIGINT, NULL::BIGINT, j.live::BIGINT, list_concat([printf('%09d', first) || repo], way) FROM j JOIN g USING (repo))
+    SELECT row_number() OVER (ORDER BY way) AS position, kind, repo, key, depth, n, live FROM o""")
+def _(spark, sf):
+    rows = fleet(spark, sf).toDF("key", "parent_key", "repo")
+    digest = F.md5(F.col("key").cast("binary"))
+    rows = rows.withColumns({"rank": F.conv(F.substring(digest, 1, 5), 16, 10).cast("bigint"), "live": F.substring(digest, 1, 1).isin("0", "7")})
+    return jb.fleet_listing(rows).select("position", "kind", "repo", "key", "depth", "n", "live")
 
 
 FEES = f"""fee0 AS (SELECT key AS sid, requests, output_tokens, list_usd, spawn_usd FROM ({all_in_sql('session')})),
@@ -247,6 +279,31 @@ def _(spark, sf):
                     "name", "name_source", "state", "repo", "requests", "output_tokens", "list_usd", "spawn_usd", "all_in_usd", "parent_key")
 
 
+TURNS = f"""n AS (SELECT session_id, tx, count(*) FILTER (beat = 'you') AS you, count(*) FILTER (beat = 'peer') AS peer, count(*) FILTER (beat = 'said') AS said, count(*) FILTER (beat = 'sent') AS sent FROM evn GROUP BY 1, 2),
+    w AS (SELECT session_id, tx, count(DISTINCT segment) AS work FROM seg GROUP BY 1, 2),
+    tn AS (SELECT session_id, tx, kind, CASE WHEN kind <> 'meta' THEN cast(sum(CASE WHEN kind <> 'meta' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY tx) AS bigint) END AS turn_no,
+      coalesce(you, 0) AS you, coalesce(n.peer, 0) AS peer, coalesce(said, 0) AS said, coalesce(sent, 0) AS sent, coalesce(work, 0) AS work
+      FROM tk LEFT JOIN n USING (session_id, tx) LEFT JOIN w USING (session_id, tx)),
+    jt AS (SELECT key, tn.*, row_number() OVER (PARTITION BY key ORDER BY first_ts, session_id, tx) AS position FROM tn JOIN (SELECT session_id, key, first_ts FROM jk) USING (session_id))"""
+
+
+def job_corpus(spark, sf):
+    return st.corpus(spark, sf).with_tables(jobs=st.jobs(spark, sf))
+
+
+@query("e21_job_conversation", with_ctes(["messages_t", *BASE], f"WITH {KEYED}, {qt.ROWS}, {qt.OPENERS}, {qt.PAIRED}, {qt.EVENTS}, {TURNS} SELECT * FROM jt"))
+def _(spark, sf):
+    t = trc.job_conversation(job_corpus(spark, sf))
+    return t.select("key", "session_id", "tx", "kind", "turn_no", "you", "peer", "said", "sent", "work", "position")
+
+
+@query("e21_job_conversation_tail", with_ctes(["messages_t", *BASE], f"""WITH {KEYED}, {qt.ROWS}, {qt.OPENERS}, {qt.PAIRED}, {qt.EVENTS}, {TURNS}
+    SELECT * EXCLUDE (position) FROM jt WHERE key = 'B0' ORDER BY position DESC LIMIT 9"""))
+def _(spark, sf):
+    t = trc.job_conversation_tail(job_corpus(spark, sf), "B0", 9)
+    return t.select("key", "session_id", "tx", "kind", "turn_no", "you", "peer", "said", "sent", "work")
+
+
 LANES = f"""ln AS (SELECT e.session_id, e.child_key AS key, e.parent_key, n.name, n.state, epoch_ms(e.ts) AS spawned_ms, coalesce(fee.requests, 0) AS requests, fee.list_usd, fee.spawn_usd,
       {r2('fee.list_usd + fee.spawn_usd')} AS all_in_usd FROM edges e LEFT JOIN nj n ON n.key = e.child_key LEFT JOIN fee ON fee.key = e.child_key)"""
 

@@ -27,7 +27,7 @@ OPENER = f"""op AS (SELECT session_id, {STRIP} AS first_prompt, CASE WHEN lane =
       QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY line_no) = 1),
     mo AS (SELECT session_id, string_agg(model || 'x' || cast(n AS string), ',' ORDER BY n DESC, model) AS models FROM (SELECT session_id, model, count(*) AS n FROM requests_t GROUP BY 1, 2) GROUP BY 1)
     SELECT session_id, well, lines, epoch_ms(first_ts) AS first_ms, epoch_ms(coalesce(last_activity_ts, last_ts)) AS last_ms, CASE WHEN last_ts > last_activity_ts THEN epoch_ms(last_ts) END AS idle_ms,
-      coalesce(prompts, 0) AS prompts, work_dir, work_dirs, first_prompt, opened_by, steer, models
+      coalesce(prompts, 0) AS prompts, work_dir, work_dirs, first_prompt, opened_by, steer, models, (SELECT count(*) >= 40 FROM sessions_t) AS capped
     FROM (SELECT * FROM sessions_t ORDER BY first_ts DESC, session_id LIMIT 40) LEFT JOIN op USING (session_id) LEFT JOIN pr USING (session_id) LEFT JOIN wm USING (session_id) LEFT JOIN wc USING (session_id)
     LEFT JOIN stx USING (session_id) LEFT JOIN mo USING (session_id)"""))
 def _(spark, sf):
@@ -35,7 +35,13 @@ def _(spark, sf):
 
     rows = ses.session_list(st.corpus(spark, sf), limit=40)
     return rows.select("session_id", "well", "lines", F.unix_millis("first_ts").alias("first_ms"), F.unix_millis("last_at").alias("last_ms"), F.unix_millis("idle_until").alias("idle_ms"),
-                       "prompts", "work_dir", "work_dirs", "first_prompt", "opened_by", "steer", models_text(F.col("models")).alias("models"))
+                       "prompts", "work_dir", "work_dirs", "first_prompt", "opened_by", "steer", models_text(F.col("models")).alias("models"), "capped")
+
+
+@query("e11_session_list_since", with_ctes(["sessions_t"], """SELECT session_id, epoch_ms(coalesce(last_activity_ts, last_ts)) AS last_ms, false AS capped FROM sessions_t
+    WHERE coalesce(last_activity_ts, last_ts) >= TIMESTAMP '2024-01-10'"""))
+def _(spark, sf):
+    return ses.session_list(st.corpus(spark, sf), since="2024-01-10").select("session_id", F.unix_millis("last_at").alias("last_ms"), "capped")
 
 
 @query("e12_session_dump", with_ctes(["messages_t"], """SELECT session_id, line_no, lane, type, peer, text FROM messages_t WHERE starts_with(session_id, '0000000') AND lane IN ('prompt', 'text', 'relay')

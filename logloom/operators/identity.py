@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logloom.functions import fixed_values as fv
 from logloom.functions.envelope import bridge_key
@@ -109,17 +109,48 @@ def resolve_ids(asked: DataFrame, keyed: DataFrame, jobs: DataFrame) -> DataFram
         F.col("job_id").alias("q"), "key", F.lit(2).alias("rule"))
     roots = keyed.filter("job_session_id IS NOT NULL").groupBy(F.col("job_session_id").alias("q")).agg(
         F.min("key").alias("key"), F.lit(3).alias("rule"))
+    matched = _prefixed(asked, keyed).groupBy("q").agg(F.min("key").alias("key"), F.count_distinct("stub").alias("hits"), F.lit(4).alias("rule")).filter("hits = 1").drop("hits")
+    found = names.unionByName(via_bridge).unionByName(ids).unionByName(roots).unionByName(matched)
+    answers = top_one(found.join(asked.select("q").distinct(), "q", "left_semi"), ["q"], F.struct("rule", "key"), ["key", "rule"])
+    return asked.select("q").distinct().join(answers, "q", "left")
+
+
+def _prefixed(asked: DataFrame, keyed: DataFrame) -> DataFrame:
+    """q, session_id, key, stub of all sessions whose id begins with q; stubs leave out what an orphaned copy's id ends in."""
     probes = asked.select("q", F.length("q").alias("n")).filter("n > 0")
     # the lengths in question: at most one per character of an id
     sizes = probes.agg(F.collect_set("n")).scalar()
     prefixes = keyed.select("session_id", "key", sizes.alias("sizes")).select("session_id", "key", F.explode("sizes").alias("n")).filter(
         F.col("n") <= F.length("session_id")).withColumn("q", F.substring(F.col("session_id"), F.lit(1), F.col("n")))
-    stub = F.regexp_replace("session_id", r"\.orphaned-.*$", "")
-    matched = prefixes.join(probes.select("q").distinct(), "q", "left_semi").groupBy("q").agg(
-        F.min("key").alias("key"), F.count_distinct(stub).alias("hits"), F.lit(4).alias("rule")).filter("hits = 1").drop("hits")
-    found = names.unionByName(via_bridge).unionByName(ids).unionByName(roots).unionByName(matched)
-    answers = top_one(found.join(asked.select("q").distinct(), "q", "left_semi"), ["q"], F.struct("rule", "key"), ["key", "rule"])
-    return asked.select("q").distinct().join(answers, "q", "left")
+    found = prefixes.join(probes.select("q").distinct(), "q", "left_semi")
+    return found.select("q", "session_id", "key", F.regexp_replace("session_id", r"\.orphaned-.*$", "").alias("stub"))
+
+
+def ambiguous_ids(asked: DataFrame, keyed: DataFrame, jobs: DataFrame, shown: int = 5) -> DataFrame:
+    """Questions that no rule answers because several sessions begin so: q, hits, and the first `shown` of them."""
+    open_ = resolve_ids(asked, keyed, jobs).filter("key IS NULL").select("q")
+    stubs = _prefixed(open_, keyed).select("q", "stub").distinct()
+    hits = stubs.groupBy("q").agg(F.count("*").alias("hits")).filter("hits > 1")
+    first = Window.partitionBy("q").orderBy("stub")  # the limit on its number is applied before the shuffle too
+    few = stubs.withColumn("i", F.row_number().over(first)).filter(F.col("i") <= shown).groupBy("q").agg(F.sort_array(F.collect_list("stub")).alias("candidates"))
+    return hits.join(few, "q")
+
+
+class AmbiguousId(ValueError):
+    """An id prefix that several sessions share."""
+
+
+def resolve_one(q: str, keyed: DataFrame, jobs: DataFrame) -> str | None:
+    """The job key of one question, None if nothing answers; AmbiguousId names the sessions in question."""
+    asked = keyed.sparkSession.range(1).select(F.lit(q).alias("q"))
+    answer = resolve_ids(asked, keyed, jobs).first()
+    if answer.key is not None:
+        return answer.key
+    several = ambiguous_ids(asked, keyed, jobs).first()
+    if several is None:
+        return None
+    more = f" and {several.hits - len(several.candidates)} more" if several.hits > len(several.candidates) else ""
+    raise AmbiguousId(f"{q!r} fits {several.hits} sessions: {', '.join(several.candidates)}{more}")
 
 
 # --- spawn edges --------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logloom.functions import envelope as env, fixed_values as fv, models, pricing
 from logloom.functions.timekeys import window_filter
 from logloom.operators import identity as idn
-from logloom.operators.ordered import scan, top_one
+from logloom.operators.ordered import CHUNK_ROWS, scan, top_one
 from logloom.operators.stages import staged
 from logloom.plans import sessions as ses, usage as us
 from logloom.schemas import Corpus
@@ -241,6 +241,14 @@ def fleet_tree(rows: DataFrame, depth_cap: int = 3) -> DataFrame:
     Parents outside the listing do not count. Of a cycle the least key is the
     top; the others, and what hangs on them, nest under it.
     """
+    _, walk = _forest(rows)
+    home = rows.select(F.col("key").alias("top"), F.col("repo").alias("top_repo"))
+    out = walk.select("key", F.coalesce("anc", "key").alias("top"), F.least(F.col("hops"), F.lit(depth_cap)).alias("depth"))
+    return out.join(home, "top", "left")
+
+
+def _forest(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, repo, up) with unlisted parents and one link of each cycle cut, and the furthest ancestors in it."""
     listed = rows.select(F.col("key").alias("parent_key"))
     base = rows.join(listed.distinct().withColumn("known", F.lit(True)), "parent_key", "left").select(
         "key", "repo", F.when(F.col("known") & (F.col("parent_key") != F.col("key")), F.col("parent_key")).alias("up"))
@@ -253,9 +261,54 @@ def fleet_tree(rows: DataFrame, depth_cap: int = 3) -> DataFrame:
         cut = first.filter("key = least").select("key", F.lit(True).alias("cut"))
         base = staged(base.join(cut, "key", "left").select("key", "repo", F.when(F.col("cut").isNull(), F.col("up")).alias("up")), "fleet-cut")
         walk = _ancestors(base)
-    home = rows.select(F.col("key").alias("top"), F.col("repo").alias("top_repo"))
-    out = walk.select("key", F.coalesce("anc", "key").alias("top"), F.least(F.col("hops"), F.lit(depth_cap)).alias("depth"))
-    return out.join(home, "top", "left")
+    return base, walk
+
+
+def fleet_listing(rows: DataFrame, depth_cap: int = 3) -> DataFrame:
+    """rows(key, parent_key, repo, rank, live) -> the fleet as it is printed: position, kind, repo, key, depth, n, live.
+
+    Repositories come in the order in which their first job is listed, each as a `group` row with its
+    number of jobs and of live ones; below it every job (`row`), jobs that none of the listing spawned by
+    rank, and after each job those it spawned. A job goes where the top of its chain is. Keys are
+    unique; equal ranks are ordered by key. Cycles are cut as in fleet_tree.
+
+    Groups, tops and children are one forest. Its Euler tour, into a job and out of it again, is a linked
+    list of two events a job, and a position is the number of entries up to it: list ranking by
+    pointer doubling, log2 of the list's length joins whatever the depth of a chain or the size of a group.
+    """
+    base, walk = _forest(rows)
+    home = rows.select(F.col("key").alias("anc"), F.coalesce("repo", F.lit("elsewhere")).alias("home"))
+    placed = walk.select("key", F.coalesce("anc", "key").alias("anc"), "hops").join(home, "anc").select("key", "home", "hops")
+    jobs = staged(base.select("key", "up").join(placed, "key").join(rows.select("key", F.col("rank").cast("bigint").alias("rank"), F.coalesce("live", F.lit(False)).alias("live")), "key"), "fleet-jobs")
+    groups = jobs.groupBy("home").agg(F.min("rank").alias("rank"), F.count("*").alias("n"), F.count_if("live").alias("n_live"))
+    group, row = (lambda c: F.concat(F.lit("g:"), c)), (lambda c: F.concat(F.lit("r:"), c))
+    nodes = jobs.select(row(F.col("key")).alias("node"), F.coalesce(row(F.col("up")), group(F.col("home"))).alias("above"), "rank").unionByName(
+        groups.select(group(F.col("home")).alias("node"), F.lit("").alias("above"), "rank"))
+    at = _preorder(nodes)
+    heads = groups.select(group(F.col("home")).alias("node"), F.lit("group").alias("kind"), F.col("home").alias("repo"), F.lit(None).cast("string").alias("key"),
+                          F.lit(None).cast("bigint").alias("depth"), "n", F.col("n_live").alias("live"))
+    body = jobs.select(row(F.col("key")).alias("node"), F.lit("row").alias("kind"), F.col("home").alias("repo"), "key", F.least("hops", F.lit(depth_cap)).cast("bigint").alias("depth"),
+                       F.lit(None).cast("bigint").alias("n"), F.col("live").cast("bigint").alias("live"))
+    return heads.unionByName(body).join(at, "node").drop("node")
+
+
+def _preorder(nodes: DataFrame) -> DataFrame:
+    """(node, position) of a forest given as (node, above, rank); the tops have above ''. Siblings go by rank, then node."""
+    # the next sibling is the row before in a backward scan, in chunks: a parent may have any number of children
+    ordered = scan(nodes, ["above"], ["rank", "node"], F.floor(F.col("rank") / CHUNK_ROWS).cast("bigint"), lag={"beside": F.col("node")}, descending=True)
+    first = nodes.groupBy(F.col("above").alias("node")).agg(F.min_by("node", F.struct("rank", "node")).alias("below"))
+    links = ordered.join(first, "node", "left")
+    into, out_of = (lambda c: F.concat(F.lit("+"), c)), (lambda c: F.concat(F.lit("-"), c))
+    events = F.array(F.struct(into(F.col("node")).alias("event"), F.coalesce(into(F.col("below")), out_of(F.col("node"))).alias("next"), F.lit(1).cast("bigint").alias("ahead")),
+                     F.struct(out_of(F.col("node")).alias("event"), F.coalesce(into(F.col("beside")), F.when(F.col("above") != "", out_of(F.col("above")))).alias("next"), F.lit(0).cast("bigint").alias("ahead")))
+    tour = staged(links.select(F.explode(events).alias("e")).select("e.*"), "fleet-tour")
+    # `ahead` sums the entries from an event up to, not including, `next`
+    while not tour.where("next IS NOT NULL").isEmpty():
+        step = tour.select(F.col("event").alias("next"), F.col("next").alias("beyond"), F.col("ahead").alias("more"))
+        moved = tour.where("next IS NOT NULL").join(step, "next").select("event", F.col("beyond").alias("next"), (F.col("ahead") + F.col("more")).alias("ahead"))
+        tour = staged(moved.unionByName(tour.where("next IS NULL")), "fleet-tour")
+    entered = tour.where(F.startswith("event", F.lit("+")))
+    return entered.select(F.substring("event", F.lit(2), F.length("event")).alias("node"), (entered.agg(F.count("*")).scalar() - F.col("ahead") + 1).alias("position"))
 
 
 def _ancestors(base: DataFrame) -> DataFrame:

@@ -43,14 +43,21 @@ def steers(messages: DataFrame) -> DataFrame:
     return first.select("session_id", F.when(F.col("mode.bashFirst"), F.coalesce("mode.bashFirstSteer", F.lit("strict"))).otherwise("off").alias("steer"))
 
 
-def session_list(c: Corpus, limit: int = 100, by_activity: bool = False, well=None, exact=False, since=None, tz="UTC") -> DataFrame:
-    """The newest `limit` sessions, oldest first: picked before they are decorated."""
+def session_list(c: Corpus, limit: int | None = None, by_activity: bool = False, well=None, exact=False, since=None, tz="UTC") -> DataFrame:
+    """The newest `limit` sessions, oldest first: picked before they are decorated.
+
+    Without a limit the newest 100 are listed, and with `since` all of the window. `capped` tells
+    whether as many were found as the limit allows.
+    """
+    limit = limit if limit is not None or since else 100
     last = F.coalesce("last_activity_ts", "last_ts")
     rows = in_wells(c.sessions, c.wells, "well", well, exact).withColumn("last_at", last)
     if since:
         rows = rows.filter(window_filter(F.col("last_at"), since, None, tz))
     newest = F.col("last_at") if by_activity else F.col("first_ts")
-    picked = rows.orderBy(newest.desc(), "session_id").limit(limit).select(
+    picked = rows if limit is None else rows.orderBy(newest.desc(), "session_id").limit(limit)
+    full = F.lit(False) if limit is None else picked.agg(F.count("*") >= limit).scalar()
+    picked = picked.select(
         "session_id", "well", "lines", "first_ts", "last_at",
         F.when(F.col("last_activity_ts").isNotNull() & (F.col("last_ts") > F.col("last_activity_ts")), F.col("last_ts")).alias("idle_until"))
     mine = c.messages.join(picked.select("session_id"), "session_id", "left_semi")
@@ -60,6 +67,7 @@ def session_list(c: Corpus, limit: int = 100, by_activity: bool = False, well=No
         out = out.join(part, "session_id", "left")
     out = out.withColumns({"prompts": F.coalesce("prompts", F.lit(0)), "work_dirs": F.coalesce("work_dirs", F.lit(0)),
                            "first_day": local_day(F.col("first_ts"), tz), "last_day": local_day(F.col("last_at"), tz)})
+    out = out.withColumn("capped", full)
     return out.orderBy(*(["last_at", "first_ts"] if by_activity else ["first_ts"]), "session_id")
 
 

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logloom.functions import envelope as env, fixed_values as fv, models, pricing, tools
 from logloom.functions.text import cut, extract
 from logloom.functions.timekeys import millis_between
+from logloom.operators import identity as idn
 from logloom.operators.ordered import scan
+from logloom.operators.sizes import small_side
 from logloom.operators.stages import staged
 from logloom.plans import waits
 from logloom.schemas import Corpus, uncut
@@ -323,3 +325,43 @@ def conversation(c: Corpus) -> DataFrame:
 def conversation_tail(turns: DataFrame, session: str, n: int) -> DataFrame:
     """The newest n rows of one session, in order."""
     return turns.filter(F.col("session_id") == session).orderBy(F.col("tx").desc()).limit(n).orderBy("tx")
+
+
+def job_order(keyed: DataFrame, turns: DataFrame) -> DataFrame:
+    """Turns of every job, its sessions one after another: key, session_no, position beside the turn's columns.
+
+    Sessions go by their first instant, then id; turn numbers start anew in each. A session's offset is the running
+    sum of the rows before it, so a job of many sessions is never one window.
+    """
+    per = turns.groupBy("session_id").agg(F.count("*").alias("rows"))
+    mine = keyed.select("key", "session_id", F.coalesce(F.unix_micros("first_ts"), F.lit(0)).alias("began")).join(per, "session_id")
+    day = F.floor(F.col("began") / 86_400_000_000).cast("bigint")
+    placed = scan(mine, ["key"], ["began", "session_id"], day, running={"upto": F.col("rows"), "session_no": F.lit(1).cast("bigint")})
+    offsets = small_side(staged(placed.select("key", "session_id", "session_no", (F.col("upto") - F.col("rows")).alias("before")), "job-offsets"))
+    return turns.join(offsets, "session_id").withColumn("position", F.col("before") + F.col("tx")).drop("before")
+
+
+def job_conversation(c: Corpus) -> DataFrame:
+    """The conversation of every job, across its sessions."""
+    return job_order(idn.job_keys(c.sessions, c.jobs), conversation(c))
+
+
+def job_conversation_tail(c: Corpus, key: str, n: int) -> DataFrame:
+    """The newest n rows of one job's conversation, in order.
+
+    Sessions are taken from the newest back, twice as many each time, until they hold n rows; only their
+    messages and requests are read.
+    """
+    mine = idn.job_keys(c.sessions, c.jobs).where(F.col("key") == key).select("key", "session_id", "first_ts")
+    mine = staged(mine, "job-sessions")
+    newest, want = mine.orderBy(F.coalesce(F.unix_micros("first_ts"), F.lit(0)).desc(), F.col("session_id").desc()), 4
+    while True:
+        ids = [r.session_id for r in newest.limit(want).collect()]
+        rows = bucketed(c.messages.where(F.col("session_id").isin(ids))).select(*TX).distinct()
+        if len(ids) < want or rows.limit(n).count() >= n:
+            break
+        want *= 2
+    within = [F.col("session_id").isin(ids)]
+    few = c.with_tables(messages=c.messages.where(*within), requests=c.requests.where(*within), sessions=c.sessions.where(*within))
+    turns = job_order(mine.where(*within), conversation(few))
+    return turns.orderBy(F.col("position").desc()).limit(n).orderBy("position").drop("position", "session_no")

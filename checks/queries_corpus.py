@@ -380,6 +380,18 @@ def _(spark, sf):
                         F.array_join(F.json_object_keys(F.to_json("child")), ",").alias("fields"))
 
 
+@query("a20_redacted_json", """SELECT doc_id, '/Users/u/' || source AS path, 'label' AS label, CASE WHEN text = '' THEN '' ELSE 'question' END AS question, source AS title, 1.5::DOUBLE AS n, 'id,unknown,title,question,n' AS keys,
+    'path,list' AS inner_keys, 'label' AS innermost_keys, NULL::VARCHAR AS secret FROM documents""")
+def _(spark, sf):
+    deep = F.struct(F.concat(F.lit("/home/me/"), "source").alias("path"), F.col("text").alias("password"), F.array(F.struct(F.coalesce("lang", F.lit("x")).alias("label"), F.col("text").alias("api_secret"))).alias("list"))
+    said = F.to_json(F.struct(F.col("doc_id").alias("id"), deep.alias("unknown"), F.col("source").alias("title"), F.col("text").alias("question"), F.lit(1.5).alias("n"), F.col("text").alias("token")))
+    rows = rf.redacted(table(spark, sf, "documents").select("doc_id", said.alias("state")), "/home/me", json={"state": None})
+    at = lambda path: F.get_json_object("state", path)
+    keys = lambda x: F.array_join(F.json_object_keys(x), ",")
+    return rows.select("doc_id", at("$.unknown.path").alias("path"), at("$.unknown.list[0].label").alias("label"), at("$.question").alias("question"), at("$.title").alias("title"), at("$.n").cast("double").alias("n"),
+                       keys(F.col("state")).alias("keys"), keys(at("$.unknown")).alias("inner_keys"), keys(at("$.unknown.list[0]")).alias("innermost_keys"), at("$.unknown.password").alias("secret"))
+
+
 @query("a21_table_sink", with_ctes(["requests_t"], "SELECT session_id, message_id, output_tokens FROM requests_t"))
 def _(spark, sf):
     import uuid

@@ -239,7 +239,7 @@ def _(spark, sf):
     WHERE coalesce(job_session_id, session_id) IN (SELECT coalesce(job_session_id, session_id) FROM hit)
       AND session_id NOT IN (SELECT session_id FROM matched)"""))
 def _(spark, sf):
-    return sp.session_miss(st.corpus(spark, sf, messages=False, spawns=True), "0000001")[1]
+    return sp.session_miss(st.corpus(spark, sf, messages=False, spawns=True), "0000001", 5)[1]
 
 
 # --- model identity and calendar keys over whole tables ---------------------------

@@ -7,11 +7,6 @@ from pyspark.sql import Column, functions as F
 from logloom.functions import fixed_values as fv
 from logloom.functions.text import extract, plain, strip
 
-_RELAY = r"<cross-session-message\b([^>]*)>([\s\S]*?)(?:</cross-session-message>|$)"
-_AGENT = r"<agent-message\b([^>]*)>([\s\S]*?)(?:</agent-message>|$)"
-_PREAMBLE = r"^\[Subagent hand-back\][\s\S]*?The report follows:\n"
-
-
 def _blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
@@ -28,10 +23,10 @@ def _tag_body(name: str, s: Column) -> Column:
 
 def relay_head(text: Column) -> Column:
     """struct<from_name, addr, text> of a relayed message or a sub-agent hand-back."""
-    relayed, handed = text.rlike(_RELAY), text.rlike(_AGENT)
-    body = strip(plain(F.regexp_extract(text, _RELAY, 2)))
-    report = F.regexp_replace(F.regexp_replace(strip(F.regexp_extract(text, _AGENT, 2)), _PREAMBLE, ""), "(?m)^ {2}", "")
-    relay_attrs, agent_attrs = F.regexp_extract(text, _RELAY, 1), F.regexp_extract(text, _AGENT, 1)
+    relayed, handed = text.rlike(fv.RELAY), text.rlike(fv.HANDED_BACK)
+    body = strip(plain(F.regexp_extract(text, fv.RELAY, 2)))
+    report = F.regexp_replace(F.regexp_replace(strip(F.regexp_extract(text, fv.HANDED_BACK, 2)), fv.HAND_BACK_PREAMBLE, ""), "(?m)^ {2}", "")
+    relay_attrs, agent_attrs = F.regexp_extract(text, fv.RELAY, 1), F.regexp_extract(text, fv.HANDED_BACK, 1)
     said = F.when(relayed, body).when(handed, report)
     return F.struct(
         F.when(relayed, _attr("from-name", relay_attrs)).alias("from_name"),
@@ -49,10 +44,10 @@ def meta_head(text: Column) -> Column:
     status = _blank_to_null(_tag_body("status", task))
     stdout = _tag_body("local-command-stdout", t)
     reminder = _tag_body("system-reminder", t)
-    skill = extract(t, r"^Base directory for this skill: (\S+)")
-    image = extract(t, r"^\[Image: (?:source: )?(.+?)\]")
-    model = extract(t, r"\*\*Model:\*\*\s*(\S+)")
-    tokens = F.trim(extract(t, r"\*\*Tokens:\*\*\s*(.+)"))
+    skill = extract(t, fv.SKILL_FOLDER)
+    image = extract(t, fv.IMAGE_MARK)
+    model = extract(t, fv.MODEL_LINE)
+    tokens = F.trim(extract(t, fv.TOKENS_LINE))
     last_segment = lambda p: F.regexp_extract(p, r"([^/]+)/*$", 1)
     rules = [
         (command.isNotNull(), "command",

@@ -14,10 +14,10 @@ RATE_NAMES = ["rate_input", "rate_write5m", "rate_write1h", "rate_read", "rate_o
 MAP_RATES = 1_000
 
 
-def rate_table(spark: SparkSession, rows=None) -> DataFrame:
+def rate_table(spark: SparkSession, rows) -> DataFrame:
+    """Dated rates in USD per million tokens: prefix, from day, input, 5-minute write, 1-hour write, cache read, output."""
     import datetime as dt
 
-    rows = fv.LIST_RATES if rows is None else rows
     return spark.createDataFrame(
         [(r[0], dt.date.fromisoformat(r[1]), *map(float, r[2:])) for r in rows], RATE_SCHEMA)
 

@@ -1,13 +1,16 @@
-"""The two per-value helpers Spark has no expression for, as Arrow batches."""
+"""The per-value helpers Spark has no expression for, as Arrow batches."""
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from logloom.functions import fixed_values as fv
+
 _ASTRAL = "[\\x{10000}-\\x{10FFFF}]"
 
 
@@ -82,3 +85,36 @@ def read_workflow_meta(script: str | None) -> dict:
 @F.pandas_udf(WORKFLOW_META)
 def workflow_meta(script: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read_workflow_meta(s) for s in script], columns=["name", "description", "phases"])
+
+
+def _scrubbed(value, key: str, framed: bool, home: str, slugged: str):
+    if isinstance(value, list):
+        return [_scrubbed(v, key, False, home, slugged) for v in value]
+    if isinstance(value, dict):
+        frame = value.get("kind") == fv.FRAME_KIND
+        return {k: _scrubbed(v, k, frame, home, slugged) for k, v in value.items() if not re.search(fv.SECRET_KEYS, k)}
+    if not isinstance(value, str):
+        return value
+    if key == fv.LINK_KEY:
+        return fv.LINK_STANDIN
+    if framed and key in fv.FRAME_STANDINS:
+        return fv.FRAME_STANDINS[key]
+    if key in fv.PROSE_KEYS:
+        return key if value else ""
+    over, to = (fv.ARGUMENT_CHARS, fv.ARGUMENT_HEAD) if key in fv.ARGUMENT_KEYS else (fv.TITLE_CHARS, fv.TITLE_CHARS) if key == "title" else (len(value), 0)
+    value = value[:to] + "…" if len(value) > over else value
+    return value.replace(home, fv.HOME_STANDIN).replace(slugged, fv.HOME_SLUG_STANDIN)
+
+
+def scrubbed_json(text: Column, key: str, home: str, slugged: str) -> Column:
+    """JSON text with the redaction rules applied to whatever fields it has, at any depth; what is no JSON, or
+    too deep to be read, becomes an empty object."""
+    @F.pandas_udf(T.StringType())
+    def scrub(s: pd.Series) -> pd.Series:
+        def one(v: str) -> str:
+            try:
+                return json.dumps(_scrubbed(json.loads(v), key, False, home, slugged), ensure_ascii=False, separators=(",", ":"))
+            except (ValueError, RecursionError):
+                return "{}"
+        return s.map(one, na_action="ignore")
+    return scrub(text)

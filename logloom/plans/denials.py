@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logloom.functions import envelope as env, fixed_values as fv, tools
 from logloom.functions.text import fold_space
 from logloom.operators.ordered import scan
+from logloom.operators.sizes import small_side
 from logloom.operators.stages import staged
 
+FILES_AT_ONCE = 5_000
+
+
+def denial_files(lines: DataFrame) -> DataFrame:
+    """Files that hold a denial at all: a raw-text test before any parsing."""
+    return lines.filter(F.contains("value", F.lit(fv.DENIAL_NEEDLE))).select("file_path").distinct()
+
 
 def matching_files(lines: DataFrame) -> DataFrame:
-    """Lines of the files that hold a denial at all: a raw-text test before any parsing."""
-    files = lines.filter(F.contains("value", F.lit(fv.DENIAL_NEEDLE))).select("file_path").distinct()
-    return lines.join(files, "file_path", "left_semi")
+    """Lines of the files that hold a denial. Lines are not shuffled on their file as long as the list of files is measured small."""
+    return lines.join(small_side(staged(denial_files(lines), "denial-files")), "file_path", "left_semi")
 
 
 def input_target(payload: Column) -> Column:
@@ -150,7 +157,25 @@ def handovers(rows: DataFrame) -> DataFrame:
 
 def read_denials(lines: DataFrame) -> DataFrame:
     """Raw numbered-scan lines -> denial rows: prefilter, parse the matching files only, follow."""
+    return _followed(matching_files(lines))
+
+
+def _followed(lines: DataFrame) -> DataFrame:
     from logloom.sources import transcripts as tr
 
-    records = tr.number_records(tr.parse_lines(tr.session_lines(matching_files(lines))))
+    records = tr.number_records(tr.parse_lines(tr.session_lines(lines)))
     return denial_rows(staged(record_steps(records), "denial-steps"))
+
+
+def scan_denials(spark: SparkSession, root: str) -> DataFrame:
+    """Denials under a folder: all files are searched for one, and those that hold any are opened again, no others.
+
+    The list of files goes through the driver up to FILES_AT_ONCE; a longer one is joined with all lines.
+    """
+    from logloom.sources import transcripts as tr
+
+    files = staged(denial_files(tr.read_lines(spark, root)), "denial-files")
+    names = [r.file_path for r in files.limit(FILES_AT_ONCE + 1).collect()]
+    if len(names) > FILES_AT_ONCE:
+        return _followed(tr.read_lines(spark, root).join(files, "file_path", "left_semi"))
+    return _followed(tr.read_lines(spark, names) if names else tr.read_lines(spark, root).where("false"))

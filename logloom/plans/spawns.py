@@ -84,11 +84,11 @@ def fan_out(c: Corpus, session: str | None = None) -> DataFrame:
         F.count("*").alias("n"), F.sum("output_tokens").alias("output_tokens"))
 
 
-def session_miss(c: Corpus, asked: str) -> tuple[DataFrame, DataFrame]:
-    """What an empty session prefix did match, and which job-mates hold spawns."""
+def session_miss(c: Corpus, asked: str, shown: int) -> tuple[DataFrame, DataFrame]:
+    """What an empty session prefix did match (the `shown` longest), and which job-mates hold spawns."""
     job = F.coalesce("job_session_id", "session_id")
     hit = c.sessions.filter(F.startswith("session_id", F.lit(asked)))
-    matched = hit.orderBy(F.col("lines").desc(), "session_id").limit(5).select("session_id", "lines")
+    matched = hit.orderBy(F.col("lines").desc(), "session_id").limit(shown).select("session_id", "lines")
     mates = c.sessions.withColumn("job", job).join(hit.select(job.alias("job")).distinct(), "job", "left_semi")
     held = c.spawns.groupBy("session_id").agg(F.count("*").alias("spawns"))
     siblings = (mates.join(held, "session_id").join(matched.select("session_id"), "session_id", "left_anti")

@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # the corpus queries take smaller batches
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
     # reports want inferred filters, also after a query of the session that did without
     "spark.sql.constraintPropagation.enabled": "true",
 }

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from logloom.functions import fixed_values as fv
+from logloom.functions.python_helpers import scrubbed_json
 from logloom.schemas import SCHEMA_VERSION, Corpus
 from logloom.sources import transcripts as tr
 
@@ -154,13 +155,14 @@ class _Redaction:
         return value
 
 
-def redacted(rows: DataFrame, home: str, text: str = "text", json: dict[str, str] | None = None) -> DataFrame:
+def redacted(rows: DataFrame, home: str, text: str = "text", json: dict[str, str | None] | None = None) -> DataFrame:
     """A copy without secrets or prose, at any depth of structs, arrays and maps: secret-like keys
     dropped, prose replaced by its key name (empty stays empty), links and the names of frames by
     stand-ins, launch arguments and titles cut, home paths rewritten, long text kept as its length.
 
-    `json` names columns that hold JSON text and their types; they come back as JSON of those
-    fields, so what the type does not name is left out too. Text that is no such JSON becomes an empty object.
+    `json` names columns that hold JSON text. With a type they come back as JSON of its fields, and what
+    the type does not name is left out; with None all fields stay, whatever they are, in their order.
+    Text that is no such JSON becomes an empty object.
     """
     rules, out = _Redaction(home), {}
     for f in rows.schema.fields:
@@ -169,6 +171,8 @@ def redacted(rows: DataFrame, home: str, text: str = "text", json: dict[str, str
         col = F.col(f"`{f.name}`")
         if f.name in (text, f"whole_{text}") and isinstance(f.dataType, T.StringType):
             out[f"{f.name}_chars"] = F.length(col)
+        elif json and f.name in json and json[f.name] is None:
+            out[f.name] = scrubbed_json(col, f.name, home, rules.slug)
         elif json and f.name in json:
             kind = T.DataType.fromDDL(json[f.name])
             out[f.name] = F.to_json(rules.value(F.from_json(col, kind), kind, F.lit(f.name), F.lit(False)))

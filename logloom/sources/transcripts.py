@@ -15,7 +15,7 @@ SESSION_PATH = r"/([^/]+)/([^/]+)\.jsonl$"
 SPAWN_PATH = r"/([^/]+)/([^/]+)/subagents/(?:workflows/(wf_[^/]+)/)?agent-([^/]+)\.jsonl$"
 
 
-def read_lines(spark: SparkSession, root: str) -> DataFrame:
+def read_lines(spark: SparkSession, root: str | list[str]) -> DataFrame:
     """Raw lines with the position that orders them inside their file.
 
     The position is taken at the scan, before any shuffle: byte start of the

@@ -102,7 +102,7 @@ def test_limit_window_reset_and_stale_reading(spark):
         F.to_timestamp("t").alias("ts"), "session_id", "kind", "pct", F.to_timestamp("z").alias("resets_at"), "source")
     toks = {k: F.lit(v).cast("bigint") for k, v in dict(input_tokens=0, cache_write_tokens=0, cache_write_1h_tokens=0, cache_read_tokens=1_000_000, output_tokens=0).items()}
     reqs = spark.createDataFrame([("2026-11-09 00:00",), ("2026-11-12 10:00",), ("2026-11-13 03:00",)], "t string").select(F.to_timestamp("t").alias("ts"), F.lit("claude-opus-5").alias("model"), *[v.alias(k) for k, v in toks.items()])
-    c = Corpus(limits=lim, requests=reqs, rates=pricing.rate_table(spark))
+    c = Corpus(limits=lim, requests=reqs, rates=pricing.rate_table(spark, [("claude-opus-5", "2026-01-01", 5.0, 6.25, 10.0, 0.5, 25.0)]))
     got = {w.kind: w for w in lm.limit_windows(c, "2026-11-13T12:00:00Z").collect()}
     w = got["seven_day"]
     assert (w.pct, w.reset_pct, w.was, w.requests, w.list_usd, w.implied_requests, w.usd_per_point) == (10.0, 0.0, 100.0, 2, 1.0, 20, 0.1)

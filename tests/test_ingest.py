@@ -19,6 +19,10 @@ def user(n, content, **kw):
     return {"type": "user", "timestamp": at(n), "sessionId": "s1", "cwd": "/u/code/app", "message": {"role": "user", "content": content}, **kw}
 
 
+RATES = [("claude-fable-5-1", "2026-09-01", 10.0, 12.5, 20.0, 0.25, 50.0), ("claude-fable-5", "2026-01-01", 10.0, 12.5, 20.0, 1.0, 50.0),
+         ("claude-opus-4-8", "2026-01-01", 5.0, 6.25, 10.0, 0.5, 25.0), ("claude-opus-4", "2025-01-01", 15.0, 18.75, 30.0, 1.5, 75.0)]
+
+
 def reply(n, mid, block, out=5, stop=None, model="claude-opus-5", **kw):
     return {"type": "assistant", "timestamp": at(n), "sessionId": "s1", "message": {"id": mid, "model": model, "role": "assistant", "stop_reason": stop, "content": [block], "usage": {**USAGE, "output_tokens": out}}, **kw}
 
@@ -134,7 +138,7 @@ def test_usage_prices_and_poisons(spark):
     toks = {"input_tokens": 0, "cache_write_tokens": 1_000_000, "cache_write_1h_tokens": 2_000_000, "cache_read_tokens": 1_000_000, "output_tokens": 0, "thinking_tokens": 0}
     reqs = spark.createDataFrame(rows, "session_id string, message_id string, model string, d string").withColumns({"ts": F.to_timestamp("d"), **{k: F.lit(v).cast("bigint") for k, v in toks.items()}})
     sessions = spark.createDataFrame([("s1", "w1"), ("s2", "w1")], "session_id string, well string")
-    c = Corpus(requests=reqs, sessions=sessions, wells=None, rates=pricing.rate_table(spark))
+    c = Corpus(requests=reqs, sessions=sessions, wells=None, rates=pricing.rate_table(spark, RATES))
     got = {r.key: r for r in us.usage(c, "session").collect()}
     # the 1-hour slice is clipped to the write total; the longer prefix shadows the shorter one
     assert got["s1"].list_usd == pytest.approx(2 * (20 + 0.25)) and got["s2"].list_usd is None
@@ -208,7 +212,7 @@ def test_reports_read_whole_texts(spark, tmp_path):
 def test_rates_as_an_expression_equal_the_join(spark, monkeypatch):
     pairs = [(m, d) for m in ("claude-fable-5-1-x", "claude-fable-5", "claude-opus-4-8", "mystery", "", None) for d in ("2025-12-01", "2026-09-02", "2026-12-01", None)]
     rows = spark.createDataFrame(pairs, "model string, d string").select("model", F.to_date("d").alias("rate_day"), *[F.lit(1_000_000).cast("bigint").alias(t) for t in pricing.TOKENS])
-    shown = lambda: sorted(map(str, pricing.priced(rows, pricing.rate_table(spark)).collect()))
+    shown = lambda: sorted(map(str, pricing.priced(rows, pricing.rate_table(spark, RATES)).collect()))
     picked = shown()
     monkeypatch.setattr(pricing, "MAP_RATES", 0)
     assert picked == shown() and len(picked) == len(pairs)
@@ -223,6 +227,31 @@ def test_redaction_reaches_json_text(spark):
     assert got[1:] == ["{}", None]
 
 
+def test_redaction_of_json_that_has_no_type(spark):
+    said = {"zebra": {"apiSecret": "x", "deep": [[{"password": 1, "kept": None, "path": "/home/me/x"}]], "kind": "frame", "title": "plan", "id": "plan.html"}, "args": ["a" * 300, "/home/me"], "label": "", "href": 5,
+            "detail": ["listed words"], "title": "t" * 100, "n": 12345678901234567890, "ok": True, "token": "t", "tokens": 3}
+    rows = spark.createDataFrame([(json.dumps(said),), ("no json",), (None,), ("[" * 100_000,), ('"/home/me"',)], "state string")
+    got = [r.state for r in rf.redacted(rows, "/home/me", json={"state": None}).collect()]
+    assert json.loads(got[0]) == {"zebra": {"deep": [[{"kept": None, "path": "/Users/u/x"}]], "kind": "frame", "title": "frame", "id": "frame.html"}, "args": ["a" * 48 + "…", "/Users/u"], "label": "",
+                                  "href": 5, "detail": ["detail"], "title": "t" * 80 + "…", "n": 12345678901234567890, "ok": True, "tokens": 3}
+    assert list(json.loads(got[0])) == ["zebra", "args", "label", "href", "detail", "title", "n", "ok", "tokens"]
+    assert got[1:] == ["{}", None, "{}", '"/Users/u"']
+
+
+def test_denial_scan_opens_only_files_that_hold_one(spark, tmp_path, monkeypatch):
+    (tmp_path / "w").mkdir()
+    denied = [reply(1, "m1", call("t1", "Bash", command="ls /x")), user(2, [result("t1", "x")], toolDenialKind="user-rejected", toolUseResult="Reason: no")]
+    for i in range(4):
+        (tmp_path / "w" / f"s{i}.jsonl").write_text("\n".join(json.dumps(r) for r in (denied if i % 2 else [user(1, "calm")])))
+    rows = [sorted((r.file_path.rsplit("/", 1)[1], r.cmd) for r in dn.scan_denials(spark, str(tmp_path)).collect())]
+    monkeypatch.setattr(dn, "FILES_AT_ONCE", 1)
+    rows.append(sorted((r.file_path.rsplit("/", 1)[1], r.cmd) for r in dn.scan_denials(spark, str(tmp_path)).collect()))
+    assert rows == [[("s1.jsonl", "ls /x"), ("s3.jsonl", "ls /x")]] * 2
+    (tmp_path / "calm").mkdir()
+    (tmp_path / "calm" / "s9.jsonl").write_text(json.dumps(user(1, "calm")))
+    assert dn.scan_denials(spark, str(tmp_path / "calm")).count() == 0
+
+
 def test_parallel_calls_of_a_record_are_all_known(spark, tmp_path):
     denied = user(3, [result("t2", "x")], toolDenialKind="automode-blocked", toolUseResult="Reason: no")
     both = user(5, [result("t3", "x"), result("t4", "y")], toolDenialKind="user-rejected", toolUseResult="Reason: stop")

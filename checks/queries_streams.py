@@ -87,7 +87,7 @@ def _(spark, sf):
 def _(spark, sf):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     rows = flat_events(stream_of(spark, sf, "events")).withColumn("pos", F.lit(0))
-    return drained(spark, twins.poll_alerts(waits.calls_of(rows).select("session_id", "line_no", "ref"), None), "polls")
+    return drained(spark, twins.poll_alerts(waits.calls_of(rows).select("session_id", "line_no", "ref", "ts")), "polls")
 
 
 @query("s06_stream_limit_resets", with_ctes(["limits_t"], """SELECT kind, strftime(resets_at, '%Y-%m-%dT%H') AS window_id, seq, pct, was FROM (SELECT *, lag(pct) OVER (PARTITION BY kind, resets_at ORDER BY seq) AS was
@@ -98,8 +98,8 @@ def _(spark, sf):
     week = F.date_trunc("week", "ts") + F.expr("interval 7 days")
     five = F.timestamp_seconds((F.floor(F.unix_seconds("ts") / 18000) + 1) * 18000)
     resets = F.when(F.col("kind") == "five_hour", five).when(F.col("kind") != "spend_limit", week)
-    rows = ev.withColumn("window_id", F.date_format(resets, "yyyy-MM-dd'T'HH")).filter("window_id IS NOT NULL").select("kind", "window_id", "seq", "pct")
-    return drained(spark, twins.reset_alerts(rows, None), "resets")
+    rows = ev.withColumn("window_id", F.date_format(resets, "yyyy-MM-dd'T'HH")).filter("window_id IS NOT NULL").select("kind", "window_id", "seq", "pct", "ts")
+    return drained(spark, twins.reset_alerts(rows), "resets")
 
 
 @query("s07_stream_message_pairs", with_ctes(["pair"], "SELECT msg AS msg_id, sender AS sender_session, receiver AS receiver_session FROM pair WHERE acked AND NOT refused AND copied"))

@@ -58,86 +58,97 @@ def activity_sessions(rows: DataFrame, gap: str = "30 minutes", delay: str = "1
     return out.select("session_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def _in_order(rows: Iterator[pd.DataFrame], order: str, value: str):
-    """One key's rows of one trigger in order. The trigger size (files per trigger) bounds them."""
-    return pd.concat(rows)[[order, value]].sort_values(order).itertuples(index=False)
+POLL_ALERT = T.StructType([T.StructField("session_id", T.StringType()), T.StructField("line_no", T.LongType()), T.StructField("ref", T.StringType())])
+STATE_DAYS = 30
 
 
-POLL_ALERT = T.StructType([T.StructField("session_id", T.StringType()), T.StructField("line_no", T.LongType()), T.StructField("ref", T.StringType())])
+class _Watch(StatefulProcessor):
+    """One key's rows of a trigger in order, and state that goes when the watermark is `days` past the key's last row.
 
+    The trigger size (files per trigger) bounds the rows. A key has one timer, moved on with each row; without `days`
+    nothing expires.
+    """
 
-STATE_DAYS = 30
+    state: str
 
+    def __init__(self, days: int | None = STATE_DAYS):
+        self.days = days
 
-def _kept(handle: StatefulProcessorHandle, name: str, schema: str, days: int | None):
-    return handle.getValueState(name, schema) if days is None else handle.getValueState(name, schema, days * 86_400_000)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.seen = handle, handle.getValueState("seen", self.state)
+
+    def in_order(self, rows: Iterator[pd.DataFrame], order: str, value: str):
+        held = pd.concat(rows)
+        if self.days is not None:
+            timers = list(self.handle.listTimers())
+            until = max([*timers, int(held["at_ms"].max()) + self.days * 86_400_000])
+            for t in timers:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(until)
+        return held[[order, value]].sort_values(order).itertuples(index=False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        return iter([])
 
+    def close(self) -> None:
+        pass
 
-def _alerting(rows: DataFrame, keys: list[str], processor: StatefulProcessor, schema: T.StructType, days: int | None) -> DataFrame:
-    """With `days`, state that old goes; such a stream looks for it in every trigger and does not end by itself, so a drain passes None."""
-    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "None" if days is None else "ProcessingTime")
 
+def _alerting(rows: DataFrame, keys: list[str], columns: list[str], processor: _Watch, schema: T.StructType, delay: str) -> DataFrame:
+    """Timers follow event time, so a drained stream ends by itself; rows later than `delay`, or without an instant, do not count."""
+    if processor.days is None:
+        return rows.select(*keys, *columns).groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "None")
+    timed = rows.where("ts IS NOT NULL").withWatermark("ts", delay).select(*keys, *columns, "ts", F.unix_millis("ts").alias("at_ms"))
+    return timed.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
-class PollGuard(StatefulProcessor):
-    """Alert on every third consecutive read of one task file (S5). State: the current run only, gone after `days` without a call."""
 
-    def __init__(self, days: int | None = STATE_DAYS):
-        self.days = days
+class PollGuard(_Watch):
+    """Alert on every third consecutive read of one task file (S5). State: the current run only."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.run = _kept(handle, "run", "ref string, n bigint", self.days)
+    state = "ref string, n bigint"
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        ref, n = self.run.get() if self.run.exists() else (None, 0)
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        ref, n = self.seen.get() if self.seen.exists() else (None, 0)
         alerts = []
-        for line, seen in _in_order(rows, "line_no", "ref"):
+        for line, seen in self.in_order(rows, "line_no", "ref"):
             seen = None if pd.isna(seen) else seen
             n = n + 1 if seen is not None and seen == ref else (0 if seen is None else 1)
             ref = seen
             if n == fv.RUN_MIN:
                 alerts.append((key[0], int(line), ref))
-        self.run.update((ref, n))
+        self.seen.update((ref, n))
         yield pd.DataFrame(alerts, columns=["session_id", "line_no", "ref"])
 
-    def close(self) -> None:
-        pass
-
 
-def poll_alerts(calls: DataFrame, days: int | None = STATE_DAYS) -> DataFrame:
-    """calls(session_id, line_no, ref), in order within a trigger."""
-    return _alerting(calls, ["session_id"], PollGuard(days), POLL_ALERT, days)
+def poll_alerts(calls: DataFrame, days: int | None = STATE_DAYS, delay: str = "1 day") -> DataFrame:
+    """calls(session_id, line_no, ref, ts), in order within a trigger; ts may be left out if nothing expires."""
+    return _alerting(calls, ["session_id"], ["line_no", "ref"], PollGuard(days), POLL_ALERT, delay)
 
 
 RESET_ALERT = T.StructType([T.StructField("kind", T.StringType()), T.StructField("window_id", T.StringType()), T.StructField("seq", T.LongType()),
                             T.StructField("pct", T.DoubleType()), T.StructField("was", T.DoubleType())])
 
 
-class ResetWatch(StatefulProcessor):
-    """Alert on every drop of at least five points inside one window (S6). State: the last reading, gone after `days` without one."""
+class ResetWatch(_Watch):
+    """Alert on every drop of at least five points inside one window (S6). State: the last reading."""
 
-    def __init__(self, days: int | None = STATE_DAYS):
-        self.days = days
+    state = "pct double"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = _kept(handle, "last", "pct double", self.days)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        was = self.last.get()[0] if self.last.exists() else None
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        was = self.seen.get()[0] if self.seen.exists() else None
         alerts = []
-        for seq, pct in _in_order(rows, "seq", "pct"):
+        for seq, pct in self.in_order(rows, "seq", "pct"):
             if was is not None and was - pct >= fv.RESET_DROP:
                 alerts.append((key[0], key[1], int(seq), float(pct), float(was)))
             was = float(pct)
-        self.last.update((was,))
+        self.seen.update((was,))
         yield pd.DataFrame(alerts, columns=["kind", "window_id", "seq", "pct", "was"])
 
-    def close(self) -> None:
-        pass
-
 
-def reset_alerts(readings: DataFrame, days: int | None = STATE_DAYS) -> DataFrame:
-    """readings(kind, window_id, seq, pct): keyed by window, so one kind's history is split over its windows."""
-    return _alerting(readings, ["kind", "window_id"], ResetWatch(days), RESET_ALERT, days)
+def reset_alerts(readings: DataFrame, days: int | None = STATE_DAYS, delay: str = "1 day") -> DataFrame:
+    """readings(kind, window_id, seq, pct, ts): keyed by window, so one kind's history is split over its windows."""
+    return _alerting(readings, ["kind", "window_id"], ["seq", "pct"], ResetWatch(days), RESET_ALERT, delay)
 
 
 def paired_messages(acks: DataFrame, copies: DataFrame, delay: str = "1 hour", reach: str = "1 day") -> DataFrame:

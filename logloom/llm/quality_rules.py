@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logloom.llm.common import let, packed, unpacked
 from logloom.operators.stages import staged
 
-RIGHT, WRONG, PRIOR, LEAST, ROUNDS = 0.5, 0.1, 5.0, 0.02, 40
+RIGHT, WRONG, PRIOR, LEAST, ROUNDS = 0.5, 0.1, 5.0, 0.01, 40
 MIN_WORDS = 50
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs", "n_caps", "n_letters", "n_ends"]
 _SPACES = r"[\x20\x09-\x0D]+"
@@ -36,7 +36,7 @@ RULES = [
     ("shouts", "false", "100 * n_bangs > 10 * n_words"),
     ("capitals", "false", "100 * n_caps > 30 * n_letters"),
     ("letters", "100 * n_letters >= 92 * word_chars", "100 * n_letters < 75 * word_chars"),
-    ("word_length", "word_chars BETWEEN 3 * n_words AND 9 * n_words", "word_chars < 2 * n_words OR word_chars > 12 * n_words"),
+    ("word_length", "false", "word_chars < 2 * n_words OR word_chars > 12 * n_words"),
     ("lines", "false", "100 * n_dup_lines > 30 * n_lines"),
     ("repeats", "false", "100 * n_repeat_words > 35 * n_words"),
     ("sentences", "100 * n_ends BETWEEN 4 * n_words AND 20 * n_words", "100 * n_ends < n_words"),

@@ -280,25 +280,35 @@ def _(spark, sf):
     return r.select("kind", F.unix_millis("resets_at").alias("window_ms"), "reset_pct", "was", F.unix_millis("reset_at").alias("reset_ms"))
 
 
-@query("e25_limit_windows", with_ctes(MAIN_TABLES + ["limits_t"], f"""WITH {READ}, l0 AS (SELECT *, CASE WHEN kind = 'five_hour' THEN 5 WHEN kind LIKE 'seven_day%' THEN 168 END AS hours FROM lr),
+# sub-agents' instants moved by whole days into the month of the readings
+SPAWN_AT = "ts - to_days(1 * (date_diff('day', TIMESTAMP '1970-01-01', ts) - 19723 - abs(date_diff('day', TIMESTAMP '1970-01-01', ts)) % 30)::int)"
+
+
+@query("e25_limit_windows", with_ctes(MAIN_TABLES + ["sreq_t", "limits_t"], f"""WITH {READ}, l0 AS (SELECT *, CASE WHEN kind = 'five_hour' THEN 5 WHEN kind LIKE 'seven_day%' THEN 168 END AS hours FROM lr),
     la AS (SELECT * FROM l0 QUALIFY row_number() OVER (PARTITION BY kind ORDER BY CASE WHEN resets_at > TIMESTAMP '2024-01-24 06:00:00' THEN 0 ELSE 1 END, ts DESC, seq DESC) = 1),
     w AS (SELECT *, resets_at - to_hours(hours) AS wf, resets_at <= TIMESTAMP '2024-01-24 06:00:00' AS ended, CASE WHEN kind LIKE 'seven_day_%' THEN substr(kind, 11) END AS scope FROM la),
     ins AS (SELECT l.* FROM l0 l JOIN w ON w.kind = l.kind AND NOT w.ended AND l.ts >= w.wf AND l.ts < w.resets_at AND l.resets_at = w.resets_at),
     dr AS (SELECT *, lag(pct) OVER (PARTITION BY kind ORDER BY ts, seq) AS was FROM ins),
     rs AS (SELECT kind, max(ts) AS rat, arg_max(pct, seq) AS rpct FROM dr WHERE was - pct >= 5 GROUP BY 1),
     lf AS (SELECT w.*, coalesce(rat, CASE WHEN NOT ended THEN wf END) AS ff, rat, rpct FROM w LEFT JOIN rs USING (kind)),
-    cell AS (SELECT lf.kind, r.model, cast(r.ts AS date) AS d, count(*) AS nreq, sum(input_tokens) AS i, sum(cache_write_tokens) AS w, sum(cache_write_1h_tokens) AS w1, sum(cache_read_tokens) AS rd, sum(output_tokens) AS o
-      FROM lf JOIN requests_t r ON r.ts >= lf.ff AND r.ts < lf.ts AND (lf.scope IS NULL OR contains(r.model, lf.scope)) GROUP BY 1, 2, 3), {PRICE},
-    us AS (SELECT kind, cast(sum(nreq) AS bigint) AS requests, cast(sum(rd) AS bigint) AS cache_read, {r2('CASE WHEN count(usd) = count(*) THEN sum(usd) ELSE 0 END')} AS list_usd FROM cost GROUP BY 1)
+    rq AS (SELECT ts, model, input_tokens, cache_write_tokens, cache_write_1h_tokens, cache_read_tokens, output_tokens, true AS main FROM requests_t
+      UNION ALL SELECT {SPAWN_AT}, model, input_tokens, cache_write_tokens, cache_write_1h_tokens, cache_read_tokens, output_tokens, false FROM sreq_t),
+    cell AS (SELECT lf.kind, r.main, r.model, cast(r.ts AS date) AS d, count(*) AS nreq, sum(input_tokens) AS i, sum(cache_write_tokens) AS w, sum(cache_write_1h_tokens) AS w1, sum(cache_read_tokens) AS rd, sum(output_tokens) AS o
+      FROM lf JOIN rq r ON r.ts >= lf.ff AND r.ts < lf.ts AND (lf.scope IS NULL OR contains(r.model, lf.scope)) GROUP BY 1, 2, 3, 4), {PRICE},
+    side AS (SELECT kind, main, sum(nreq) AS n, sum(rd) AS rd, sum(o) AS o, {r2('CASE WHEN count(usd) = count(*) THEN sum(usd) ELSE 0 END')} AS usd FROM cost GROUP BY 1, 2),
+    us AS (SELECT kind, cast(sum(n) AS bigint) AS requests, cast(sum(rd) AS bigint) AS cache_read, cast(sum(o) AS bigint) AS output, cast(coalesce(sum(n) FILTER (main), 0) AS bigint) AS main_requests,
+      coalesce(max(usd) FILTER (main), 0) AS main_usd, {r2('coalesce(max(usd) FILTER (main), 0) + coalesce(max(usd) FILTER (NOT main), 0)')} AS list_usd FROM side GROUP BY 1)
     SELECT lf.kind, pct, epoch_ms(ts) AS ts_ms, coalesce(ended, false) AS ended, scope AS model, epoch_ms(CASE WHEN NOT ended THEN wf END) AS from_ms, epoch_ms(rat) AS reset_ms, rpct AS reset_pct,
-      CASE WHEN ff < ts THEN coalesce(requests, 0) END AS requests, CASE WHEN ff < ts THEN coalesce(cache_read, 0) END AS cache_read, CASE WHEN ff < ts THEN coalesce(list_usd, 0) END AS list_usd,
+      {', '.join(f"CASE WHEN ff < ts THEN coalesce({m}, 0) END AS {m}" for m in ("requests", "cache_read", "output", "list_usd", "main_requests", "main_usd"))},
       CASE WHEN ff < ts AND pct - coalesce(rpct, 0) >= 5 THEN cast(floor(coalesce(requests, 0) * (100.0::double / (pct - coalesce(rpct, 0))) + 0.5) AS bigint) END AS implied_requests
     FROM lf LEFT JOIN us USING (kind)"""))
 def _(spark, sf):
-    c = st.corpus(spark, sf, messages=False).with_tables(limits=st.limits(spark, sf))
-    w = lm.limit_windows(c, NOW)
+    c = st.corpus(spark, sf, messages=False, spawns=True).with_tables(limits=st.limits(spark, sf))
+    day = F.datediff("ts", F.lit("1970-01-01").cast("date"))
+    moved = F.timestamp_micros(F.unix_micros("ts") - (day - 19723 - day % 30).cast("bigint") * 86_400_000_000)
+    w = lm.limit_windows(c.with_tables(spawn_requests=c.spawn_requests.withColumn("ts", moved)), NOW)
     return w.select("kind", "pct", F.unix_millis("ts").alias("ts_ms"), "ended", "model", F.unix_millis("from").alias("from_ms"), F.unix_millis("reset_at").alias("reset_ms"), "reset_pct",
-                    "requests", "cache_read", "list_usd", "implied_requests")
+                    "requests", "cache_read", "output", "list_usd", "main_requests", "main_usd", "implied_requests")
 
 
 @query("e25_hits_and_history", with_ctes(["limits_t"], f"WITH {READ} SELECT source, kind, said, count(*) AS n, max(pct) AS peak FROM lr WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1, 2, 3"))

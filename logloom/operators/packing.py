@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -13,18 +14,24 @@ PACKED = T.StructType([T.StructField("parent", T.StringType()), T.StructField("c
                        T.StructField("row", T.IntegerType())])
 
 
-def _first_fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Lowest row whose end is at or before the start, in start order: one heap of the busy rows by end, one of the free."""
-    busy: list[tuple[int, int]] = []
-    free: list[int] = []
-    rows = []
-    for r in pdf.sort_values(["start_ms", "lane"]).itertuples(index=False):
-        while busy and busy[0][0] <= r.start_ms:
-            heapq.heappush(free, heapq.heappop(busy)[1])
-        row = heapq.heappop(free) if free else len(busy)
-        heapq.heappush(busy, (r.end_ms, row))
-        rows.append((r.parent, r.cluster, r.lane, row))
-    return pd.DataFrame(rows, columns=["parent", "cluster", "lane", "row"])
+def _first_fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Lowest row whose end is at or before the start, for lanes sorted by (parent, cluster, start, lane).
+
+    What is kept between lanes is one heap of the busy rows by end and one of the free: as many
+    entries as lanes ran at once, however many lanes a cluster has.
+    """
+    at, busy, free = None, [], []
+    for lanes in batches:
+        rows = []
+        for parent, cluster, start, end in zip(lanes.parent, lanes.cluster, lanes.start_ms, lanes.end_ms):
+            if (parent, cluster) != at:
+                at, busy, free = (parent, cluster), [], []
+            while busy and busy[0][0] <= start:
+                heapq.heappush(free, heapq.heappop(busy)[1])
+            row = heapq.heappop(free) if free else len(busy)
+            heapq.heappush(busy, (end, row))
+            rows.append(row)
+        yield lanes[["parent", "cluster", "lane"]].assign(row=rows)
 
 
 def clustered(lanes: DataFrame) -> DataFrame:
@@ -41,7 +48,9 @@ def clustered(lanes: DataFrame) -> DataFrame:
 
 def pack(lanes: DataFrame) -> DataFrame:
     rows = clustered(lanes).select("parent", "cluster", "lane", "start_ms", "end_ms")
-    return rows.groupBy("parent", "cluster").applyInPandas(_first_fit, PACKED)
+    keys = ["parent", "cluster"]
+    # sorted by Spark, which spills, and read batch by batch: a cluster is one pass, never one frame
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "start_ms", "lane").mapInPandas(_first_fit, PACKED)
 
 
 def concurrency_peak(lanes: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logloom.functions import fixed_values as fv, pricing
 from logloom.functions.timekeys import utc_day, window_filter
 from logloom.operators.ordered import scan, top_one
+from logloom.operators.sizes import small_side
 from logloom.operators.stages import staged
 from logloom.schemas import Corpus
 
@@ -47,22 +48,36 @@ def latest_readings(readings: DataFrame, now: Column) -> DataFrame:
     return top_one(readings, ["kind"], best, ["pct", "ts", "session_id", "source", "resets_at", "length"], largest=True)
 
 
+def _hour(at: Column) -> Column:
+    return F.floor(F.unix_seconds(at) / HOUR).cast("bigint")
+
+
 def _usage_in(c: Corpus, spans: DataFrame) -> DataFrame:
-    """All-in ledger of [from_ts, until_ts) spans.
+    """All-in ledger of [from_ts, until_ts) spans (kind, span, from_ts, until_ts, scope).
 
-    Spans become one row per UTC day they touch (at most nine); requests meet
-    them on the day, so the range test never becomes a nested loop.
+    Requests are summed once, by model and by hour, an hour being cut where a span begins or ends;
+    a span is then the sum of the whole pieces it covers. So requests meet only the cuts (two a
+    span) on their way into the sums, and never the spans.
     """
-    days = spans.filter("from_ts < until_ts").withColumn(
-        "day", F.explode(F.sequence(F.to_date("from_ts"), F.to_date("until_ts"))))
+    spans = spans.filter("from_ts < until_ts")
+    cuts = spans.select(F.explode(F.array("from_ts", "until_ts")).alias("at")).groupBy(_hour(F.col("at")).alias("hour")).agg(
+        F.collect_set("at").alias("cuts"))
+    n_cuts = lambda cond: F.coalesce(F.size(F.filter("cuts", cond)), F.lit(0))
     cols = ["ts", "model", *pricing_tokens()]
     main = c.requests.select(*cols, F.lit(True).alias("main"))
     reqs = main.unionByName(c.spawn_requests.select(*cols, F.lit(False).alias("main"))) if c.spawn_requests is not None else main
-    hit = (reqs.withColumn("day", utc_day(F.col("ts"))).join(days, "day")
-           .filter((F.col("ts") >= F.col("from_ts")) & (F.col("ts") < F.col("until_ts")))
-           .filter(F.col("scope").isNull() | F.contains(F.lower("model"), F.col("scope"))))
-    cell = hit.groupBy("kind", "span", "main", "model", F.col("day").alias("rate_day")).agg(
-        F.count("*").alias("requests"), *[F.sum(t).alias(t) for t in pricing_tokens()])
+    reqs = reqs.filter((F.col("ts") >= spans.agg(F.min("from_ts")).scalar()) & (F.col("ts") < spans.agg(F.max("until_ts")).scalar()))
+    pieces = (reqs.withColumn("hour", _hour(F.col("ts"))).join(small_side(cuts), "hour", "left")
+              .groupBy("hour", n_cuts(lambda at: at <= F.col("ts")).alias("piece"), "main", "model")
+              .agg(F.count("*").alias("requests"), *[F.sum(t).alias(t) for t in pricing_tokens()]))
+    # a piece is inside when it begins at or after from_ts and ends by until_ts
+    covered = (spans.withColumn("hour", F.explode(F.sequence(_hour(F.col("from_ts")), _hour(F.col("until_ts")))))
+               .join(small_side(cuts), "hour", "left")
+               .select("kind", "span", "scope", "hour", n_cuts(lambda at: at <= F.col("from_ts")).alias("lo"), n_cuts(lambda at: at < F.col("until_ts")).alias("hi")))
+    hit = pieces.join(covered, "hour").filter(F.col("piece").between(F.col("lo"), F.col("hi"))).filter(
+        F.col("scope").isNull() | F.contains(F.lower("model"), F.col("scope")))
+    cell = hit.groupBy("kind", "span", "main", "model", utc_day(F.timestamp_seconds(F.col("hour") * HOUR)).alias("rate_day")).agg(
+        *[F.sum(t).alias(t) for t in ["requests", *pricing_tokens()]])
     priced = pricing.priced(cell, c.rates)
     side = lambda flag, x: F.sum(F.when(F.col("main") == flag, F.col(x)))
     whole = lambda flag: F.when(F.count(F.when(F.col("main") == flag, F.lit(1))) == F.count(F.when((F.col("main") == flag), F.col("list_usd"))),
@@ -115,7 +130,7 @@ def limit_windows(c: Corpus, now: str, kind: str | None = None) -> DataFrame:
         "kind", F.lit("window").alias("span"), F.col("ledger_from").alias("from_ts"), F.col("ts").alias("until_ts"), F.col("model").alias("scope"))
     rate = edge.join(out.filter("counted").select("kind", F.col("model").alias("scope")), "kind").select(
         "kind", F.lit("mod").alias("span"), F.col("a.ts").alias("from_ts"), F.col("z.ts").alias("until_ts"), "scope")
-    used = staged(_usage_in(c, spans.unionByName(rate)), "limit-usage")
+    used = staged(_usage_in(c, staged(spans.unionByName(rate), "limit-spans")), "limit-usage")
     measures = ["requests", "cache_read", "output", "list_usd", "main_requests", "main_usd"]
     window = used.filter("span = 'window'").drop("span")
     whole = spans.filter("from_ts < until_ts").select("kind").withColumn("spanned", F.lit(True))

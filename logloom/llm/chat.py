@@ -80,10 +80,20 @@ def streamed(conversations: DataFrame) -> DataFrame:
     """The event log that would have streamed finished conversations (conv_id, turn, role, text).
 
     Messages are numbered by turn, then role and text; each opens empty and arrives in deltas.
+    By a hash of (conv_id, number) a quarter of the messages first receives a wrong text, which an
+    edit replaces; another quarter opens under a wrong role, is regenerated, goes wrong again and is
+    edited. The wrong text is the right one backwards. Null roles and texts are empty.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
     number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    rows = conversations.select("conv_id", number.alias("message"), "role", text.alias("text"))
-    parts = F.concat(F.array(F.lit("")), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{DELTA_CHARS}}}"), F.lit(0)))
-    events = rows.select("conv_id", "message", "role", F.posexplode(parts).alias("seq", "text"))
-    return events.withColumn("kind", F.when(F.col("seq") == 0, "open").otherwise("delta"))
+    rows = conversations.select("conv_id", number.alias("message"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")])
+    event = lambda kind, role, text: F.struct(F.lit(kind).alias("kind"), role.cast("string").alias("role"), text.alias("text"))
+    cut = lambda text: F.regexp_extract_all(text, F.lit(f"(?s).{{1,{DELTA_CHARS}}}"), F.lit(0))
+    deltas = lambda parts: F.transform(parts, lambda t: event("delta", F.lit(None), t))
+    empty, right, wrong = F.lit(""), deltas(cut(F.col("text"))), deltas(cut(F.reverse("text")))
+    opened = lambda kind, role: F.array(event(kind, role, empty))
+    edited = F.concat(F.array(event("edit", F.lit(None), F.substring("text", 1, DELTA_CHARS))), deltas(cut(F.substr(F.col("text"), F.lit(DELTA_CHARS + 1)))))
+    fate = F.pmod(F.xxhash64("conv_id", "message"), F.lit(4))
+    log = (F.when(fate == 0, F.concat(opened("open", F.col("role")), wrong, edited))
+           .when(fate == 1, F.concat(opened("open", F.lit("draft")), wrong, opened("regenerate", F.col("role")), wrong, edited))
+           .otherwise(F.concat(opened("open", F.col("role")), right)))
+    return rows.select("conv_id", "message", F.posexplode(log).alias("seq", "e")).select("conv_id", "message", "seq", "e.*")

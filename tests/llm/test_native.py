@@ -105,6 +105,18 @@ def test_streamed_log_gives_the_conversation_back(spark):
     assert got == [("", "first"), ("user", "x" * 1000), ("assistant", ""), ("assistant", "ü🙂" * 700)]
 
 
+def test_streamed_log_holds_edits_and_regenerations(spark):
+    said = [(c, t, "assistant" if t % 2 else None, f"{c} <s> {t} " * (c % 120)) for c in range(200) for t in range(3)]
+    rows = spark.createDataFrame([(*r, "clash", "clash") for r in said], "conv_id long, turn long, role string, text string, seq string, kind string")
+    events = chat.streamed(rows)
+    per = events.groupBy("conv_id", "message").pivot("kind", ["open", "delta", "edit", "regenerate"]).count().fillna(0).toPandas()
+    assert (per.open == 1).all() and 100 < (per.edit == 1).sum() < 500 and 60 < (per.regenerate == 1).sum() < 300
+    # what was wrong is in the log, and gone from the messages
+    assert events.where("role = 'draft'").count() == (per.regenerate == 1).sum()
+    got = {(r.conv_id, r.message): (r.role, r.text) for r in chat.fold(events.orderBy(F.rand(3))).collect()}
+    assert got == {(c, t + 1): (role or "", text) for c, t, role, text in said}
+
+
 def lanes(spark, *texts):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", fingerprints.fingerprint(F.col("text")).alias("f")).orderBy("i").collect()
     return [r.f for r in rows]

@@ -87,9 +87,12 @@ def named_jobs(keyed: DataFrame, jobs: DataFrame) -> DataFrame:
     return named.select("key", "kind", "first", "last", *[F.when(got, F.col(c)).otherwise(F.col("d_" + c)).alias(c) for c in cols])
 
 
-def name_holders(keyed: DataFrame, jobs: DataFrame) -> DataFrame:
-    """name -> the job that holds it now: live before gone before remembered, then last active."""
-    rows = named_jobs(keyed, jobs).filter("name IS NOT NULL")
+def name_holders(keyed: DataFrame, jobs: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """name -> the job that holds it now: live before gone before remembered, then last active.
+
+    `named` are the named jobs where the caller has them already.
+    """
+    rows = (named_jobs(keyed, jobs) if named is None else named).filter("name IS NOT NULL")
     best = F.struct(job_rank(), -F.coalesce(F.unix_micros("last"), F.lit(0)), "key")
     return top_one(rows, ["name"], best, ["key", "kind", "job_id", "state", "source"])
 

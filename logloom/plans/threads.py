@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from logloom.functions import envelope as env, tools
 from logloom.operators import identity as idn
-from logloom.operators.ordered import top_one
+from logloom.operators.sizes import small_side
+from logloom.operators.stages import staged
 from logloom.plans.trace import address_book
 from logloom.schemas import Corpus, uncut
 
@@ -21,24 +22,35 @@ def pairs(messages: DataFrame) -> DataFrame:
     return acks.join(copies, "msg_id")
 
 
-def sent_halves(messages: DataFrame, spawns: DataFrame | None = None) -> DataFrame:
+def traffic(messages: DataFrame) -> DataFrame:
+    """Calls that send and copies received, stored once: the narrow part of messages that threads read."""
+    sends = "type = 'assistant' AND lane = 'tool' AND tool_name = 'SendMessage'"
+    rows = uncut(messages).filter(f"lane = 'relay' OR ({sends})")
+    return staged(rows.select("session_id", "prompt_id", "type", "lane", "ts", "line_no", "pos", "tool_name", "tool_use_id", "msg_id", "peer", "text"), "traffic")
+
+
+def sent_halves(messages: DataFrame, spawns: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """SendMessage calls with their ack: address, gloss, text, delivered, reason, message id.
 
-    Follow-ups to a session's own sub-agents are not part of any thread.
+    Follow-ups to a session's own sub-agents are not part of any thread. `known` is the traffic
+    of these messages where the caller has it already.
     """
-    messages = uncut(messages)
-    calls = messages.filter("type = 'assistant' AND lane = 'tool' AND tool_name = 'SendMessage'")
+    known = traffic(messages) if known is None else known
+    calls = known.filter("lane = 'tool'")
     head = env.sent_head(tools.call_input(F.col("tool_name"), F.col("text")))
+    asked = calls.select("session_id", "tool_use_id").filter("tool_use_id IS NOT NULL").distinct()
     calls = calls.select("session_id", "prompt_id", "ts", "tool_use_id", "line_no", head.alias("h")).select(
         "session_id", "prompt_id", "ts", "tool_use_id", "line_no", F.col("h.to").alias("addr"), F.col("h.summary").alias("summary"), F.col("h.message").alias("body"))
-    acks = messages.filter("type = 'user' AND lane = 'tool' AND tool_use_id IS NOT NULL").groupBy("session_id", "tool_use_id").agg(
+    # of all results only those of these calls are grouped
+    results = uncut(messages).filter("type = 'user' AND lane = 'tool' AND tool_use_id IS NOT NULL")
+    acks = results.join(small_side(asked), ["session_id", "tool_use_id"], "left_semi").groupBy("session_id", "tool_use_id").agg(
         F.max_by(F.struct("text", "msg_id"), "line_no").alias("a"))
     ack = env.ack_head(F.col("a.text"))
     rows = calls.join(acks, ["session_id", "tool_use_id"], "left").select(
         "session_id", "prompt_id", "ts", "addr", "summary", "body", F.col("a.msg_id").alias("msg_id"), ack["delivered"].alias("delivered"), ack["error"].alias("error"))
     if spawns is not None:
         rows = rows.join(spawns.select("session_id", F.col("agent_id").alias("addr")), ["session_id", "addr"], "left_anti")
-    book = address_book(messages)
+    book = address_book(known)
     plain_name = F.regexp_replace("addr", r"\s+\[[0-9a-f]+\]$", "")
     return rows.join(book, ["session_id", "addr"], "left").withColumn("to_name", F.coalesce("to_name", plain_name))
 
@@ -51,16 +63,19 @@ def thread_rows(c: Corpus, keyed: DataFrame) -> DataFrame:
     unseen           acked, but no copy is known
     """
     key = keyed.select("session_id", "key")
-    names = idn.named_jobs(keyed, c.jobs).select("key", "name")
-    holders = idn.name_holders(keyed, c.jobs).select(F.col("name").alias("to_name"), F.col("key").alias("named_key"))
-    sent = sent_halves(c.messages, c.spawns).join(key.withColumnRenamed("key", "from_key"), "session_id").select(
-        "from_key", F.struct(*COPY).alias("sent"), "to_name", "summary", "body", "msg_id", "delivered", "error")
-    copies = c.messages.filter("lane = 'relay'").join(key.withColumnRenamed("key", "to_key"), "session_id").select(
-        "to_key", "peer", F.struct(*COPY).alias("received"), F.col("msg_id").alias("m"), (F.col("type") == "attachment").alias("mid"),
-        env.relay_head(F.col("text"))["text"].alias("heard"))
-    # halves without an id cannot pair; kept out of the join so they never share one null key
-    paired = sent.filter("msg_id IS NOT NULL").join(copies.filter("m IS NOT NULL"), F.col("msg_id") == F.col("m"), "full")
-    both = paired.unionByName(sent.filter("msg_id IS NULL"), True).unionByName(copies.filter("m IS NULL"), True)
+    named_rows = staged(idn.named_jobs(keyed, c.jobs), "thread-names")
+    names = named_rows.select("key", "name")
+    holders = idn.name_holders(keyed, c.jobs, named_rows).select(F.col("name").alias("to_name"), F.col("key").alias("named_key"))
+    known = traffic(c.messages)
+    # halves without an id cannot pair: each side has keys of its own for them, spread over the tasks
+    alone = lambda side, half: F.concat(F.lit("\x00" + side), F.xxhash64(half, "msg_id").cast("string"))
+    sent = sent_halves(c.messages, c.spawns, known).join(key.withColumnRenamed("key", "from_key"), "session_id").select(
+        "from_key", F.struct(*COPY).alias("sent"), "to_name", "summary", "body", "msg_id", "delivered", "error").withColumn(
+        "at", F.coalesce("msg_id", alone("s", "sent")))
+    copies = known.filter("lane = 'relay'").join(key.withColumnRenamed("key", "to_key"), "session_id").select(
+        "to_key", "peer", F.struct(*COPY).alias("received"), "msg_id", (F.col("type") == "attachment").alias("mid"),
+        env.relay_head(F.col("text"))["text"].alias("heard")).withColumn("at", F.coalesce("msg_id", alone("r", "received"))).withColumnRenamed("msg_id", "m")
+    both = sent.join(copies, "at", "full").drop("at")
     # rows without a name find nothing; a key of their own keeps them from meeting in one task
     own = F.concat(F.lit("\x00"), F.xxhash64("msg_id", "m", "sent", "received").cast("string"))
     both = both.withColumns({"to_at": F.coalesce("to_name", own), "peer_at": F.coalesce("peer", own)})

@@ -76,15 +76,18 @@ def named_jobs(keyed: DataFrame, jobs: DataFrame) -> DataFrame:
             .withColumn("seen", F.coalesce("lb", "ls")).withColumn("rank", job_rank()))
     best = F.struct("rank", -F.coalesce(F.unix_micros("seen"), F.lit(0)), "job_id")
     cols = ["job_id", "name", "cwd", "state", "source"]
-    pick = lambda on, kind: top_one(rows.filter(F.col(on).isNotNull()), [on], best, cols).withColumnRenamed(on, "key").withColumn("kind", F.lit(kind))
-    bridge = pick("bridge_key", "bridge")
-    root = pick("session_id", "root")
-    ids = (top_one(rows.filter("source = 'state'").withColumn("root8", F.col("job_id")), ["root8"], best, cols)
-           .withColumnsRenamed({c: "d_" + c for c in cols}))
-    named = spans.join(bridge.unionByName(root), ["key", "kind"], "left").withColumn(
-        "root8", F.when(F.col("kind") == "root", F.substring("key", 1, 8))).join(ids, "root8", "left")
-    got = F.col("job_id").isNotNull()
-    return named.select("key", "kind", "first", "last", *[F.when(got, F.col(c)).otherwise(F.col("d_" + c)).alias(c) for c in cols])
+    # a job row answers to each of its ids, a key asks by its kind and then by daemon id: one pass over either
+    by = lambda how, value, rank=0: F.struct(F.lit(how).alias("how"), value.alias("id"), F.lit(rank).alias("nth"))
+    answers = F.array(by("bridge", F.col("bridge_key")), by("root", F.col("session_id")), by("daemon", F.when(F.col("source") == "state", F.col("job_id"))))
+    picked = top_one(rows.withColumn("to", F.explode(answers)).filter("to.id IS NOT NULL").withColumns({"how": F.col("to.how"), "id": F.col("to.id")}),
+                     ["how", "id"], best, cols).filter("job_id IS NOT NULL")
+    asks = F.array_compact(F.array(
+        F.struct(F.col("kind").alias("how"), F.col("key").alias("id"), F.lit(0).alias("nth")),
+        F.when(F.col("kind") == "root", by("daemon", F.substring("key", 1, 8), 1))))
+    asked = spans.select("key", "kind", "first", "last", F.explode(asks).alias("ask")).select("key", "kind", "first", "last", "ask.*")
+    found = asked.join(picked, ["how", "id"], "left")
+    return found.groupBy("key", "kind", "first", "last").agg(
+        F.min_by(F.struct(*cols), F.when(F.col("job_id").isNotNull(), F.col("nth"))).alias("r")).select("key", "kind", "first", "last", "r.*")
 
 
 def name_holders(keyed: DataFrame, jobs: DataFrame, named: DataFrame | None = None) -> DataFrame:
@@ -183,20 +186,20 @@ def spawn_edges(keyed: DataFrame, jobs: DataFrame, ledger: DataFrame, messages:
             .join(by_session, "parent_session", "left").join(known, "b", "left").join(by_job, "parent_job", "left")
             .withColumn("parent_key", F.coalesce("k_session", "k_bridge", "k_job")))
     cols = ["child_key", "parent_key", "session_id", "ts"]
-    edges = held.filter("parent_key IS NOT NULL AND parent_key <> child_key").select(
-        "child_key", "parent_key", F.coalesce("parent_session", F.lit("")).alias("session_id"), "ts")
-    if messages is None:
-        return edges.select(cols)
-    bash = messages.filter("type = 'assistant' AND lane = 'tool' AND tool_name = 'Bash' AND tool_use_id IS NOT NULL").select(
-        "session_id", "tool_use_id", "ts")
-    said = uncut(messages).filter("type = 'user' AND lane = 'tool' AND tool_use_id IS NOT NULL").filter(
-        F.contains("text", F.lit("backgrounded · ")) | F.contains("text", F.lit('"ref"')))
-    refs = said.select("session_id", "tool_use_id", F.explode(F.array_union(
-        F.regexp_extract_all("text", F.lit(fv.CHILD_ID), F.lit(1)), F.regexp_extract_all("text", F.lit(fv.CHILD_ID), F.lit(2)))).alias("child")).filter("child <> ''")
-    told = (refs.join(bash, ["session_id", "tool_use_id"]).join(keyed.select("session_id", F.col("key").alias("parent_key")), "session_id")
-            .join(kids, "child").filter("parent_key <> child_key").join(held.select("child_key"), "child_key", "left_anti"))
-    fallback = top_one(told, ["child_key"], F.struct("ts", "session_id", "parent_key"), ["parent_key", "session_id", "ts"])
-    return edges.select(cols).unionByName(fallback.select(cols))
+    edges = held.withColumn("session_id", F.coalesce("parent_session", F.lit(""))).select(cols)
+    if messages is not None:
+        bash = messages.filter("type = 'assistant' AND lane = 'tool' AND tool_name = 'Bash' AND tool_use_id IS NOT NULL").select(
+            "session_id", "tool_use_id", "ts")
+        said = uncut(messages).filter("type = 'user' AND lane = 'tool' AND tool_use_id IS NOT NULL").filter(
+            F.contains("text", F.lit("backgrounded · ")) | F.contains("text", F.lit('"ref"')))
+        refs = said.select("session_id", "tool_use_id", F.explode(F.array_union(
+            F.regexp_extract_all("text", F.lit(fv.CHILD_ID), F.lit(1)), F.regexp_extract_all("text", F.lit(fv.CHILD_ID), F.lit(2)))).alias("child")).filter("child <> ''")
+        told = (refs.join(bash, ["session_id", "tool_use_id"]).join(keyed.select("session_id", F.col("key").alias("parent_key")), "session_id")
+                .join(kids, "child").filter("parent_key <> child_key"))
+        # the ledger's row of a child comes before anything told, so it is worked out once
+        both = edges.withColumn("told", F.lit(0)).unionByName(told.select(*cols, F.lit(1).alias("told")))
+        edges = top_one(both, ["child_key"], F.struct("told", "ts", "session_id", "parent_key"), ["parent_key", "session_id", "ts"]).select(cols)
+    return edges.filter("parent_key IS NOT NULL AND parent_key <> child_key")
 
 
 # --- peers ----------------------------------------------------------------------------

@@ -23,7 +23,8 @@ def keyed_sessions(c: Corpus) -> DataFrame:
 
 def _fees(c: Corpus, keyed: DataFrame, **scope) -> DataFrame:
     """Per job: requests, output and dollars over its sessions; a side is priced when any session is."""
-    per = us.usage(c, "session", subagents=True, **scope).withColumnRenamed("key", "session_id").select(
+    # without the spawn table no spawn counts are joined on: none are shown
+    per = us.usage(c.with_tables(spawns=None), "session", subagents=True, **scope).withColumnRenamed("key", "session_id").select(
         "session_id", "requests", "output_tokens", "list_usd", "spawn_usd")
     rows = per.join(keyed.select("session_id", "key"), "session_id")
     out = rows.groupBy("key").agg(

@@ -118,3 +118,25 @@ def test_pages_of_messages_and_documents(spark, tmp_path):
     typed = ti.index_history(spark, history, str(tmp_path / "h"), ("file_path", "line_no"), "file_path")
     assert [r.line_no for r in ti.search_history(history, typed, "alpha", 10, until="2024-02-01").collect()] == [1]
     assert [r.at.isoformat() for r in ti.search_history(history, typed, "alpha", 10, session="s2").collect()] == ["2024-03-01T00:00:00"]
+
+
+def test_a_task_sorts_a_bounded_part_of_the_postings(spark, tmp_path, monkeypatch):
+    """Ranges follow the tokens, also in a merge, and nothing is sorted or grouped again after the exchange."""
+    docs = spark.range(400).select("id", (F.col("id") % 3).cast("string").alias("own"), F.concat(F.lit("one two one "), F.col("id").cast("string")).alias("text"))
+    monkeypatch.setattr(ti, "TASK_TOKENS", 100)
+    index = ti.TextIndex(spark, str(tmp_path / "one"), ("id",), "own", buckets=4).write(docs, F.col("text"))
+    whole = index.merged(str(tmp_path / "two"))
+    for made in (index, whole):
+        files = spark.read.parquet(f"{made.path}/postings").groupBy(F.input_file_name().alias("f")).agg(F.sum(F.size("positions")).alias("n"))
+        assert files.count() >= 16 and files.agg(F.max("n")).first()[0] <= 400  # 1600 tokens
+        assert {(r.id, r.term, tuple(r.positions), r.length) for r in made.postings().collect()} == {
+            x for i in range(400) for x in ((i, "one", (0, 2), 4), (i, "two", (1,), 4), (i, str(i), (3,), 4))}
+    plan = index._dealt(index.postings(), 1600)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count("Sort ") == 1
+
+
+def test_rows_of_the_same_keys_are_one_text(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "o", "alpha beta"), (1, "o", "alpha beta"), (None, "o", "beta"), (None, "o", "beta"), (2, "o", "")], "id int, own string, text string")
+    index = ti.TextIndex(spark, str(tmp_path), ("id",), "own", buckets=4).write(docs, F.col("text"))
+    assert {(r.id, r.term, tuple(r.positions)) for r in index.postings().collect()} == {(1, "alpha", (0, 0)), (1, "beta", (1, 1)), (None, "beta", (0, 0))}
+    assert [tuple(r) for r in index.live_owners().select("docs", "tokens").collect()] == [(5, 6)]

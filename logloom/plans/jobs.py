@@ -249,19 +249,21 @@ def fleet_tree(rows: DataFrame, depth_cap: int = 3) -> DataFrame:
 
 
 def _forest(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, repo, up) with unlisted parents and one link of each cycle cut, and the furthest ancestors in it."""
+    """(key, repo, up) with unlisted parents and one link of each cycle cut, and its _ancestors."""
     listed = rows.select(F.col("key").alias("parent_key"))
     base = rows.join(listed.distinct().withColumn("known", F.lit(True)), "parent_key", "left").select(
         "key", "repo", F.when(F.col("known") & (F.col("parent_key") != F.col("key")), F.col("parent_key")).alias("up"))
     base = staged(base, "fleet-up")
     walk = _ancestors(base)
-    circling = walk.join(base.filter("up IS NULL").select(F.col("key").alias("anc")), "anc", "left_anti")
+    circling = walk.where("anc IS NOT NULL").join(base.filter("up IS NULL").select(F.col("key").alias("anc")), "anc", "left_anti")
     if not circling.isEmpty():
         # after as many hops as there are keys, whoever still moves stands on a cycle
         first = _least_on_cycle(base.join(circling.select(F.col("anc").alias("key")).distinct(), "key", "left_semi"))
         cut = first.filter("key = least").select("key", F.lit(True).alias("cut"))
         base = staged(base.join(cut, "key", "left").select("key", "repo", F.when(F.col("cut").isNull(), F.col("up")).alias("up")), "fleet-cut")
-        walk = _ancestors(base)
+        # no other chain holds a cut link
+        again = staged(circling.select("key").distinct(), "fleet-circling")
+        walk = walk.join(again, "key", "left_anti").unionByName(_ancestors(base.join(again, "key", "left_semi")))
     return base, walk
 
 
@@ -273,59 +275,59 @@ def fleet_listing(rows: DataFrame, depth_cap: int = 3) -> DataFrame:
     rank, and after each job those it spawned. A job goes where the top of its chain is. Keys are
     unique; equal ranks are ordered by key. Cycles are cut as in fleet_tree.
 
-    Groups, tops and children are one forest. Its Euler tour, into a job and out of it again, is a linked
-    list of two events a job, and a position is the number of entries up to it: list ranking by
-    pointer doubling, log2 of the list's length joins whatever the depth of a chain or the size of a group.
+    A job's place is the sum, over it and those above it, of the entries between each and the one above: one
+    and the sizes of the siblings listed before. Sizes, and the sums, are climbed by pointer doubling: log2 of the
+    longest chain's length joins, of the jobs still under way only, whatever the size of a group.
     """
     base, walk = _forest(rows)
     home = rows.select(F.col("key").alias("anc"), F.coalesce("repo", F.lit("elsewhere")).alias("home"))
-    placed = walk.select("key", F.coalesce("anc", "key").alias("anc"), "hops").join(home, "anc").select("key", "home", "hops")
+    placed = walk.select("key", F.coalesce("anc", "key").alias("anc"), "hops", "under").join(home, "anc").select("key", "home", "hops", "under")
     jobs = staged(base.select("key", "up").join(placed, "key").join(rows.select("key", F.col("rank").cast("bigint").alias("rank"), F.coalesce("live", F.lit(False)).alias("live")), "key"), "fleet-jobs")
-    groups = jobs.groupBy("home").agg(F.min("rank").alias("rank"), F.count("*").alias("n"), F.count_if("live").alias("n_live"))
-    group, row = (lambda c: F.concat(F.lit("g:"), c)), (lambda c: F.concat(F.lit("r:"), c))
-    nodes = jobs.select(row(F.col("key")).alias("node"), F.coalesce(row(F.col("up")), group(F.col("home"))).alias("above"), "rank").unionByName(
-        groups.select(group(F.col("home")).alias("node"), F.lit("").alias("above"), "rank"))
-    at = _preorder(nodes)
-    heads = groups.select(group(F.col("home")).alias("node"), F.lit("group").alias("kind"), F.col("home").alias("repo"), F.lit(None).cast("string").alias("key"),
-                          F.lit(None).cast("bigint").alias("depth"), "n", F.col("n_live").alias("live"))
-    body = jobs.select(row(F.col("key")).alias("node"), F.lit("row").alias("kind"), F.col("home").alias("repo"), "key", F.least("hops", F.lit(depth_cap)).cast("bigint").alias("depth"),
-                       F.lit(None).cast("bigint").alias("n"), F.col("live").cast("bigint").alias("live"))
-    return heads.unionByName(body).join(at, "node").drop("node")
-
-
-def _preorder(nodes: DataFrame) -> DataFrame:
-    """(node, position) of a forest given as (node, above, rank); the tops have above ''. Siblings go by rank, then node."""
-    # the next sibling is the row before in a backward scan, in chunks: a parent may have any number of children
-    ordered = scan(nodes, ["above"], ["rank", "node"], F.floor(F.col("rank") / CHUNK_ROWS).cast("bigint"), lag={"beside": F.col("node")}, descending=True)
-    first = nodes.groupBy(F.col("above").alias("node")).agg(F.min_by("node", F.struct("rank", "node")).alias("below"))
-    links = ordered.join(first, "node", "left")
-    into, out_of = (lambda c: F.concat(F.lit("+"), c)), (lambda c: F.concat(F.lit("-"), c))
-    events = F.array(F.struct(into(F.col("node")).alias("event"), F.coalesce(into(F.col("below")), out_of(F.col("node"))).alias("next"), F.lit(1).cast("bigint").alias("ahead")),
-                     F.struct(out_of(F.col("node")).alias("event"), F.coalesce(into(F.col("beside")), F.when(F.col("above") != "", out_of(F.col("above")))).alias("next"), F.lit(0).cast("bigint").alias("ahead")))
-    tour = staged(links.select(F.explode(events).alias("e")).select("e.*"), "fleet-tour")
-    # `ahead` sums the entries from an event up to, not including, `next`
-    while not tour.where("next IS NOT NULL").isEmpty():
-        step = tour.select(F.col("event").alias("next"), F.col("next").alias("beyond"), F.col("ahead").alias("more"))
-        moved = tour.where("next IS NOT NULL").join(step, "next").select("event", F.col("beyond").alias("next"), (F.col("ahead") + F.col("more")).alias("ahead"))
-        tour = staged(moved.unionByName(tour.where("next IS NULL")), "fleet-tour")
-    entered = tour.where(F.startswith("event", F.lit("+")))
-    return entered.select(F.substring("event", F.lit(2), F.length("event")).alias("node"), (entered.agg(F.count("*")).scalar() - F.col("ahead") + 1).alias("position"))
+    groups = staged(jobs.groupBy("home").agg(F.min("rank").alias("rank"), F.count("*").alias("n"), F.count_if("live").alias("n_live")), "fleet-groups")
+    heads = _listed_after(groups.select("home", "rank", "n", "n_live", (F.col("n") + 1).alias("under"), F.lit("").alias("above")), "home").withColumnRenamed("after", "position")
+    above = F.coalesce(F.concat(F.lit("r:"), "up"), F.concat(F.lit("g:"), "home"))
+    sums = _ancestors(_listed_after(jobs.select("key", "up", "rank", "under", above.alias("above")), "key").select("key", "up", F.col("after").alias("weight"))).select("key", "total")
+    body = jobs.join(sums, "key").join(heads.select("home", F.col("position").alias("head")), "home")
+    return heads.select(F.lit("group").alias("kind"), F.col("home").alias("repo"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("bigint").alias("depth"),
+                        "n", F.col("n_live").alias("live"), "position").unionByName(
+        body.select(F.lit("row").alias("kind"), F.col("home").alias("repo"), "key", F.least("hops", F.lit(depth_cap)).cast("bigint").alias("depth"),
+                    F.lit(None).cast("bigint").alias("n"), F.col("live").cast("bigint").alias("live"), (F.col("head") + F.col("total")).alias("position")))
+
+
+def _listed_after(nodes: DataFrame, name: str) -> DataFrame:
+    """nodes(name, above, rank, under) with `after`: how many entries a node comes after the one above it. Siblings go by rank, then name."""
+    # in chunks: a parent may have any number of children
+    chunk = F.coalesce(F.floor(F.col("rank") / CHUNK_ROWS).cast("bigint"), F.lit(-(1 << 62)))
+    rows = scan(nodes, ["above"], ["rank", name], chunk, running={"upto": F.col("under")})
+    return rows.withColumn("after", F.col("upto") - F.col("under") + 1).drop("upto")
 
 
 def _ancestors(base: DataFrame) -> DataFrame:
-    """(key, anc, hops): the furthest ancestor. Pointer doubling: a chain of n keys takes log2 n
-    joins, each key keeps one row, and the rounds end when no pointer has moved or all keys are passed."""
-    walk = staged(base.select("key", F.col("up").alias("anc"), F.col("up").isNotNull().cast("bigint").alias("hops")), "fleet-walk")
-    reach, keys = 1, walk.count()
-    while reach < keys:
-        step = walk.filter("anc IS NOT NULL").select(F.col("key").alias("anc"), F.col("anc").alias("next"), F.col("hops").alias("more"))
-        moved = walk.join(step, "anc", "left")
-        walk = staged(moved.select("key", F.coalesce("next", "anc").alias("anc"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("next").isNotNull().alias("moved")), "fleet-walk")
-        going = not walk.filter("moved").isEmpty()
-        walk, reach = walk.drop("moved"), reach * 2
-        if not going:
-            break
-    return walk
+    """base(key, up, and a weight if sums are wanted) -> key, anc: the furthest ancestor; hops to it; under: how
+    many keys hang on a key, itself counted; total: the weights of the key and its ancestors.
+
+    Pointer doubling: a chain of n keys takes log2 n joins. A key takes part while it has an ancestor as
+    far as the round reaches, or is one; the rounds end when none has, or all keys are passed (cycles).
+    """
+    weight = F.col("weight") if "weight" in base.columns else F.lit(0).cast("bigint")
+    live = staged(base.select("key", "up", F.lit(None).cast("string").alias("anc"), F.col("up").isNotNull().cast("bigint").alias("hops"),
+                              F.lit(1).cast("bigint").alias("under"), weight.alias("total"), F.lit(True).alias("on")), "fleet-walk")
+    columns, done, reach, keys = ["key", "anc", "hops", "under", "total"], [], 1, live.count()
+    while reach <= keys and not live.where("up IS NOT NULL").isEmpty():
+        # `up` is as far as the round reaches, and `hops`, `under` and `total` are of the keys nearer than that
+        below = live.where("up IS NOT NULL").groupBy(F.col("up").alias("key")).agg(F.sum("under").alias("more"))
+        both = live.join(below, "key", "left").withColumns({"on": F.col("more").isNotNull(), "under": F.col("under") + F.coalesce("more", F.lit(0))})
+        step = both.where("on").select(F.col("key").alias("up"), F.col("up").alias("next"), F.coalesce("anc", "key").alias("top"), F.col("hops").alias("further"), F.col("total").alias("rest"))
+        moved = both.where("up IS NOT NULL").join(step, "up").select(
+            "key", F.col("next").alias("up"), F.when(F.col("next").isNull(), F.col("top")).alias("anc"), (F.col("hops") + F.col("further")).alias("hops"),
+            "under", (F.col("total") + F.col("rest")).alias("total"), (F.col("on") | F.col("next").isNotNull()).alias("on"))
+        walk = staged(moved.unionByName(both.where("up IS NULL").select(*moved.columns)), "fleet-walk")
+        done.append(walk.where("NOT on").select(*columns))
+        live, reach = walk.where("on"), reach * 2
+    out = live.select("key", F.coalesce("anc", "up").alias("anc"), "hops", "under", "total")
+    for part in done:
+        out = out.unionByName(part)
+    return out
 
 
 def _least_on_cycle(ring: DataFrame) -> DataFrame:

@@ -55,6 +55,22 @@ def test_fleet_listing_is_depth_first(spark, monkeypatch):
     assert [(r.kind, r.repo, r.key, r.depth, r.n, r.live) for r in got] == _printed(rows)
 
 
+def test_a_job_takes_part_in_a_round_only_while_its_chain_is_that_long(spark, monkeypatch):
+    """Few long chains among many short ones: what the rounds write is about one row a job, not one a job and round."""
+    rows = [(f"c{i:03}", f"c{i - 1:03}" if i else None, "chain", i, True) for i in range(65)] + [(f"n{i:04}", f"n{i % 100:04}" if i >= 100 else None, "a", i, False) for i in range(1000)]
+    written, stage = [], jb.staged
+
+    def counting(df, name):
+        out = stage(df, name)
+        written.append((name, out.count()))
+        return out
+    monkeypatch.setattr(jb, "staged", counting)
+    got = jb.fleet_listing(spark.createDataFrame(rows, "key string, parent_key string, repo string, rank int, live boolean")).orderBy("position").collect()
+    assert [(r.kind, r.repo, r.key, r.depth, r.n, r.live) for r in got] == _printed(rows)
+    assert sum(n for name, n in written if name in ("fleet-walk", "fleet-tour")) <= 5 * len(rows)
+    assert not [name for name, _ in written if name == "fleet-cut"]  # without a cycle nothing is walked again
+
+
 def test_fleet_listing_of_nothing(spark):
     assert jb.fleet_listing(spark.createDataFrame([], "key string, parent_key string, repo string, rank int, live boolean")).count() == 0
 

@@ -47,12 +47,12 @@ def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                               pa.array(counted.values(), pa.int64()), pa.array([docs[t] for t in terms], pa.int64())], ["lang", "source", "term", "n", "docs"])
     for batch in batches:
         for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
-            own = Counter(_TERM.findall(text.encode().lower()))
+            said = _TERM.findall(text.encode().lower())
             counted = uses.setdefault((lang, source), Counter())
             held -= len(counted)
-            counted.update(own)
+            counted.update(said)  # a list or a set is counted without a step of Python per term, a mapping is not
             held += len(counted)
-            holders.setdefault((lang, source), Counter()).update(own.keys())
+            holders.setdefault((lang, source), Counter()).update(set(said))
             if held > FLUSH:
                 yield from flushed()
                 uses, holders, held = {}, {}, 0
